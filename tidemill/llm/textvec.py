@@ -143,3 +143,17 @@ def per_document(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[at[1:]] - total[at[:-1]]
+
+
+def joined(words: Words, keep: np.ndarray) -> pa.Array:
+    """Each text's kept words, joined by one space."""
+    kept = np.flatnonzero(keep)
+    start, length = words.start[kept], words.end[kept] - words.start[kept] + 1
+    place = np.concatenate([[0], np.cumsum(length)])
+    out = words.data[np.minimum(np.arange(place[-1]) + np.repeat(start - place[:-1], length), max(len(words.data) - 1, 0))] if len(kept) else np.zeros(0, np.uint8)
+    out[place[1:] - 1] = 0x20
+    at = place[np.searchsorted(kept, words.at)]
+    last = at[1:][np.diff(at) > 0] - 1  # the space after each text's last word goes
+    out = np.delete(out, last)
+    offsets = at - np.concatenate([[0], np.cumsum(np.diff(at) > 0)])
+    return pa.Array.from_buffers(pa.string(), words.n, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(out.tobytes())])
