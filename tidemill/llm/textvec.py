@@ -68,13 +68,14 @@ def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 class Words:
-    """The words of some texts: byte ranges start:end, and at[d]:at[d + 1] are document d's words."""
+    """The words of some texts: byte ranges start:end, and at[d]:at[d + 1] are document d's words. spelling maps bytes first."""
 
-    def __init__(self, column: pa.Array, table: np.ndarray, fold: bool):
+    def __init__(self, column: pa.Array, table: np.ndarray, fold: bool, spelling: np.ndarray | None = None):
         column = pc.fill_null(column.cast(pa.large_binary()) if not pa.types.is_large_binary(column.type) else column, b"")
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
         buffer = column.buffers()[2]
         self.data = np.frombuffer(buffer, np.uint8)[offsets[0] : offsets[-1]] if buffer is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
+        self.data = self.data if spelling is None else spelling[self.data]
         self.offsets, self.fold, self.n = offsets - offsets[0], fold, len(column)
         inside = table[self.data]
         first, last = inside.copy(), inside.copy()
