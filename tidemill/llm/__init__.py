@@ -1,0 +1 @@
+"""Operators of a training-corpus pipeline. Nothing outside this package imports it."""
