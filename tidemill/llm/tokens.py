@@ -127,9 +127,9 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     schema = "doc_id long, local_start long, n_tokens long, ids array<int>"
     part = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("long")
     rows = spark.read.schema(schema).orc(path).withColumn("part", part)
-    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row a file
+    sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row a file: some MB for a million files
     before = sums.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before"))
-    return rows.join(before, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def _digest(batches):
