@@ -73,14 +73,31 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), counts
 
 
+def inverted(a: np.ndarray) -> np.ndarray:
+    """Inverse by Gauss-Jordan elimination without BLAS, whose threads may hang in a driver process; singular: ValueError."""
+    m = len(a)
+    work = np.concatenate([a.astype(float), np.eye(m)], axis=1)
+    for i in range(m):
+        k = i + int(np.abs(work[i:, i]).argmax())
+        if abs(work[k, i]) < 1e-12:
+            raise ValueError("singular")
+        work[[i, k]] = work[[k, i]]
+        work[i] /= work[i, i]
+        factor = work[:, i].copy()
+        factor[i] = 0
+        work -= factor[:, None] * work[i]
+    return work[:, m:]
+
+
 def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (rows: counts by size) and how often to cut each, in real numbers, so that demand is met by few sequences.
 
     The linear program min sum(x), A x >= demand is solved by the revised simplex method; the knapsack prices columns. It
     ends when no pattern prices above 1, or when the total length or demand . duals / value, both of them lower bounds,
-    prove the sum to be within gap of the optimum. Its size is that of the length histogram (some hundred bins), whatever the corpus.
+    prove the sum to be within gap of the optimum; or after a few rounds a size, with patterns that are valid as they are. Its size is that of the length histogram
+    (some hundred bins), whatever the corpus.
     """
-    m, volume = len(sizes), demand @ sizes / capacity
+    m, volume = len(sizes), (demand * sizes).sum() / capacity
     columns, left = [np.zeros(m, np.int64) for _ in range(m)], demand.astype(float)
     for i in range(m - 1, -1, -1):  # a first basis: each pattern uses up one size and takes along smaller ones, largest first
         a, room = columns[i], capacity
@@ -92,28 +109,28 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
                 a[j] = min(room // sizes[j], int(left[j] / times))
                 room -= a[j] * sizes[j]
         left = left - a * times
-    cost, inverse = np.ones(m), np.linalg.inv(np.array(columns, float).T)
-    x = np.maximum(inverse @ demand, 0)
-    for k in range(40 * m + 100):
+    cost, inverse = np.ones(m), inverted(np.array(columns, float).T)
+    x = np.maximum((inverse * demand).sum(1), 0)
+    for k in range(4 * m + 100):
         if k % 64 == 63:  # against rounding errors
             try:
-                inverse = np.linalg.inv(np.array(columns, float).T)
-            except np.linalg.LinAlgError:  # any patterns found so far are valid; the rest goes by largest fit
+                inverse = inverted(np.array(columns, float).T)
+            except ValueError:  # any patterns found so far are valid; the rest goes by largest fit
                 break
-            x = np.maximum(inverse @ demand, 0)
-        if cost @ x <= volume * (1 + gap):
+            x = np.maximum((inverse * demand).sum(1), 0)
+        if (cost * x).sum() <= volume * (1 + gap):
             break
-        duals = cost @ inverse
+        duals = (cost[:, None] * inverse).sum(0)
         worst = int(duals.argmin())
         if duals[worst] < -1e-9:
             entering, price_of = np.zeros(m, np.int64), 0.0
             entering[worst] = -1
         else:
             value, entering = price(np.maximum(duals, 0), sizes, capacity)
-            if value <= 1 + 1e-9 or cost @ x * (1 - 1 / value) <= gap * max(1.0, cost @ x):
+            if value <= 1 + 1e-9 or (cost * x).sum() * (1 - 1 / value) <= gap * max(1.0, (cost * x).sum()):
                 break
             price_of = 1.0
-        step = inverse @ entering
+        step = (inverse * entering).sum(1)
         ratio = np.where(step > 1e-7, x / np.where(step > 1e-7, step, 1), np.inf)
         out = int(np.lexsort((-step, ratio))[0])
         if not np.isfinite(ratio[out]):
@@ -122,7 +139,7 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, gap:
         others = np.arange(m) != out
         inverse[others] -= np.outer(step[others], inverse[out])
         columns[out], cost[out] = entering, price_of
-        x = np.maximum(inverse @ demand, 0)
+        x = np.maximum((inverse * demand).sum(1), 0)
     used = [i for i in range(m) if cost[i] > 0 and 0 < x[i] < np.inf]
     return np.array([columns[i] for i in used]).reshape(len(used), m), x[used]
 

@@ -122,9 +122,9 @@ def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
     """Logistic regression on probabilities y by Adam, all rows at once; the last weight is the bias."""
     w, m, s = np.zeros(WIDTH + 1, np.float32), np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,j->i", x, w[:-1]) + w[-1], -30, 30)))
         e = (p - y).astype(np.float32)
-        g = np.append(e @ x / len(y), e.mean()) + 1e-5 * w
+        g = np.append(np.einsum("i,ij->j", e, x) / len(y), e.mean()) + 1e-5 * w
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w = (w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
     return w

@@ -158,18 +158,20 @@ def _redacted(text: Column, rule: Rule, mask: str) -> Column:
 
 
 def _with_rules(docs: DataFrame, rules: tuple[Rule, ...], id_col: str, text_col: str) -> tuple[DataFrame, list[Column]]:
-    """docs with a column of bits of the rules to verify; for each rule, whether to verify it in a row."""
+    """docs with a column of bits of the rules to verify, under a name of its own; for each rule, whether to verify it."""
     queries = [trigram_query(r.pattern) for r in rules]
     trigrams = sorted({t for q in queries if q for c in q for t in c})
+    bits, key = "_rules", "_candidate"
+    while bits in docs.columns or key in docs.columns:
+        bits, key = bits + "_", key + "_"
     if trigrams:
         index = materialize(trigram_index(docs, trigrams, id_col, text_col), "trigrams")
-        found = materialize(candidates(index, queries).withColumnRenamed("doc_id", "_candidate").withColumnRenamed("rules", "_rules"), "candidates")
-        docs = docs.join(found, docs[id_col].cast("long") == found["_candidate"], "left")  # broadcast only if Catalyst sees a small table
-        bits = F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.coalesce("_rules", F.lit(0)))
-        docs = docs.withColumn("_rules", bits).drop("_candidate")
+        found = materialize(candidates(index, queries).select(F.col("doc_id").alias(key), F.col("rules").alias(bits)), "candidates")
+        docs = docs.join(found, docs[id_col].cast("long") == found[key], "left")  # broadcast only if Catalyst sees a small table
+        docs = docs.withColumn(bits, F.when(F.col(id_col).isNull(), F.lit(-1)).otherwise(F.coalesce(bits, F.lit(0)))).drop(key)
     else:
-        docs = docs.withColumn("_rules", F.lit(0))
-    guards = [F.col("_rules").bitwiseAND(F.lit(1 << k)) != 0 if q else F.col(text_col).rlike(r.pattern) for k, (r, q) in enumerate(zip(rules, queries))]
+        docs = docs.withColumn(bits, F.lit(0))
+    guards = [F.col(bits).bitwiseAND(F.lit(1 << k)) != 0 if q else F.col(text_col).rlike(r.pattern) for k, (r, q) in enumerate(zip(rules, queries))]
     return docs, guards
 
 
