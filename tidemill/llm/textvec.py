@@ -16,8 +16,8 @@ import xxhash
 
 from tidemill.llm.common import process_cache
 
-SLICE = 4 << 20
-CHUNK = 1 << 19
+SLICE = 1 << 20
+CHUNK = 1 << 18
 LONG_WORD = 1 << 16
 P = 0x9E3779B97F4A7C15
 Q = 0xD6E8FEB86659FD93

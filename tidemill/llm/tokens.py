@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from tidemill.llm.common import documents, input_columns, process_cache, shared_path
 
 #: Entries that a worker's word caches hold at most; further words are encoded anew, with the same ids.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 SPLIT, ODD = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[\x1C-\x1F]")
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
