@@ -20,8 +20,20 @@ def process_cache() -> types.ModuleType:
     return sys.modules.setdefault("_tidemill_worker_cache", types.ModuleType("_tidemill_worker_cache"))
 
 
+#: Bytes of a batch of rows on its way to a Python worker; a longer single row is a batch of its own.
+BATCH_BYTES = 4 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes where the session sets nothing: 10000 rows of long texts are no bound on memory."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in spark.conf.getAll:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    bound_batches(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = tempfile.mkdtemp(prefix="tidemill-")
@@ -92,4 +104,5 @@ def input_columns(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
