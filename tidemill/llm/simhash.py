@@ -187,10 +187,15 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, distance: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     marks = materialize(rows.mapInArrow(_fingerprint(shingle), "doc_id long, fp long"), "fingerprints")
     cells = materialize(marks.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")), "cells")
-    n, total = cells.agg(F.count(F.lit(1)), F.sum("n")).first()
-    roots = components(near_links(cells, n, distance, blocks)).select(F.col("node.fp").alias("fp"), F.col("root.first").alias("root"))
+    return labelled(marks, cells, near_links(cells, cells.count(), distance, blocks))
+
+
+def labelled(marks: DataFrame, cells: DataFrame, links: DataFrame) -> DataFrame:
+    """marks (doc_id, fp) with component_id, by links between the nodes of cells (fp, first, n)."""
+    total = cells.agg(F.sum("n")).first()[0]
+    roots = components(links).select(F.col("node.fp").alias("fp"), F.col("root.first").alias("root"))
     nobody = F.lit(2**63 - 1)
-    grouped = cells.join(roots, "fp", "left").where("root IS NOT NULL OR n > 1")
+    grouped = cells.select("fp", "first", "n").join(roots, "fp", "left").where("root IS NOT NULL OR n > 1")
     table = materialize(grouped.select("fp", F.nullif(F.coalesce("root", "first"), nobody).alias("component_id")), "components")
     joined = heavy_split_join(marks, table, "fp", cells.select("fp", "n"), total or 0)
     return joined.select("doc_id", "fp", F.coalesce("component_id", "doc_id").alias("component_id"))
@@ -199,7 +204,12 @@ def simhash_components(docs: DataFrame, shingle: int = SHINGLE, distance: int =
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
     """One document of each group, the one of the smallest doc_id, with all columns. Rows with one doc_id count as one
     document, of which one row stays; rows without an id have none to be judged by and stay. Other cases as above."""
-    marked = materialize(simhash_components(docs, shingle, distance).select("doc_id", "component_id"), "marked")
+    return keep_first(docs, simhash_components(docs, shingle, distance))
+
+
+def keep_first(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """docs without those that marked (doc_id, component_id) gives another document's component."""
+    marked = materialize(marked.select("doc_id", "component_id"), "marked")
     gone = marked.groupBy("doc_id").agg(F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("stays"), F.count(F.lit(1)).alias("n"))
     gone = materialize(gone.where("doc_id IS NOT NULL AND (stays = 0 OR n > 1)"), "gone")
     kept = docs.join(gone.where("stays = 0").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
