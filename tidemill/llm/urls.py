@@ -8,7 +8,7 @@ from tidemill.llm.common import documents, heavy_split_join, materialize
 
 #: (verdict, rule): a rule is a host, which covers its subdomains, and the start of a path.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Levels of the tree; deeper segments share one node "**".
+#: Levels of OP7_SQL's tree, whose deeper segments share one node "**"; the operator goes on to the last segment.
 DEPTH = 4
 #: A node's children are variable if there are so many, seen fewer than so often on average.
 CHILDREN, VISITS = 16, 4.0
@@ -37,30 +37,46 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def templates(shapes: DataFrame) -> DataFrame:
-    """shapes (host, shape, n, labelled, bad) with template: the tree's generalised path of each shape.
+    """shapes (host, shape, n, labelled, bad) with template: the tree's generalised path of each shape, to its last segment.
 
     Level by level from the root, a child becomes a wildcard if its siblings are many and rare (a variable segment), or if
     its labelled pages do not differ from its siblings' by more than chance (a two-proportion z test): such branches merge.
     Counts of a node are aggregated; no task holds a node's children.
+
+    Levels at which a node has one child decide nothing. Each round therefore takes each subtree to its own next branching,
+    past what its least and largest path have in common, and leaves alone those with one path. There are as many rounds as
+    branchings on one way from the root at most, however long the paths are.
     """
     segments = F.slice(F.split("shape", "/", -1), 2, 1 << 30)
-    deep = F.when(F.size(segments) > DEPTH, F.concat(F.slice(segments, 1, DEPTH), F.array(F.lit("**")))).otherwise(segments)
-    tree = shapes.withColumn("segments", deep)
-    for k in range(DEPTH + 1):
-        at = tree.where(F.size("segments") > k).select("host", F.array_join(F.slice("segments", 1, k), "/").alias("prefix"), F.get("segments", F.lit(k)).alias("segment"), "n", "labelled", "bad")
-        child = at.groupBy("host", "prefix", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
-        node = child.groupBy("host", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
+    todo, done = shapes.withColumn("segments", segments).withColumn("prefix", F.lit("")).withColumn("level", F.lit(0)), None
+    rounds = 0
+    while True:
+        least, largest = F.min("segments"), F.max("segments")
+        differ = F.array_position(F.zip_with(least, largest, lambda a, b: a.eqNullSafe(b)), False).cast("int") - 1
+        ways = todo.groupBy("host", "prefix", "level").agg(differ.alias("branching"))
+        at = todo.join(ways, ["host", "prefix", "level"]).withColumn("prefix", F.array_join(F.slice("segments", F.lit(1), F.greatest("branching", F.lit(0))), "/"))
+        at = materialize(at.withColumn("segment", F.get("segments", F.col("branching"))), "tree")
+        ended = at.where("branching < 0 OR segment IS NULL").select(*shapes.columns, "segments")
+        done = ended if done is None else done.unionByName(ended)
+        rounds += 1
+        if rounds % 16 == 0:  # keeps the plan short
+            done = materialize(done, "done")
+        at = at.where("branching >= 0 AND segment IS NOT NULL").drop("level").withColumnRenamed("branching", "level")
+        if at.isEmpty():
+            break
+        child = at.groupBy("host", "level", "prefix", "segment").agg(*[F.sum(c).alias(c) for c in ("n", "labelled", "bad")])
+        node = child.groupBy("host", "level", "prefix").agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("all_n"), F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
         l, b, big_l, big_b = (F.col(c).cast("double") for c in ("labelled", "bad", "all_labelled", "all_bad"))
         gap = b * (big_l - l) - (big_b - b) * l
         variable = (F.col("children") >= CHILDREN) & (F.col("all_n") / F.col("children") < VISITS)
         spread = l * (big_l - l) * big_b * (big_l - big_b)
         similar = (F.col("children") > 1) & ((spread == 0) | (gap * gap * big_l < Z2 * spread))
-        merged = child.join(node, ["host", "prefix"]).where((variable | similar) & (F.col("segment") != "*")).select("host", "prefix", "segment", F.lit(True).alias("merged"))
-        keyed = tree.withColumn("prefix", F.array_join(F.slice("segments", 1, k), "/")).withColumn("segment", F.get("segments", F.lit(k)))
-        wild = F.concat(F.slice("segments", 1, k), F.array(F.lit("*")), F.slice("segments", k + 2, DEPTH + 1))
-        tree = keyed.join(merged, ["host", "prefix", "segment"], "left").withColumn("segments", F.when(F.col("merged"), wild).otherwise(F.col("segments"))).drop("prefix", "segment", "merged")
-        tree = materialize(tree, "tree")
-    return tree.withColumn("template", F.concat(F.when(F.size("segments") > 0, F.lit("/")).otherwise(F.lit("")), F.array_join("segments", "/"))).drop("segments")
+        merged = child.join(node, ["host", "level", "prefix"]).where((variable | similar) & (F.col("segment") != "*")).select("host", "level", "prefix", "segment", F.lit(True).alias("merged"))
+        wild = F.concat(F.slice("segments", F.lit(1), F.col("level")), F.array(F.lit("*")), F.slice("segments", F.col("level") + 2, F.lit(1 << 30)))
+        new = at.join(merged, ["host", "level", "prefix", "segment"], "left").withColumn("segments", F.when(F.col("merged"), wild).otherwise(F.col("segments"))).withColumn("level", F.col("level") + 1)
+        todo = materialize(new.withColumn("prefix", F.array_join(F.slice("segments", F.lit(1), F.col("level")), "/")).select(*shapes.columns, "segments", "prefix", "level"), "tree")
+    done = materialize(done, "done")
+    return done.withColumn("template", F.concat(F.when(F.size("segments") > 0, F.lit("/")).otherwise(F.lit("")), F.array_join("segments", "/"))).drop("segments")
 
 
 def filter_urls(pages: DataFrame, labels: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
