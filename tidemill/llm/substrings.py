@@ -1,4 +1,4 @@
-"""Removal of repeated passages by sharded Aho-Corasick automata (operator 6)."""
+"""Removal of repeated passages by a join of window hashes, marked through Aho-Corasick automata (operator 6)."""
 
 from __future__ import annotations
 
@@ -138,8 +138,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
        remain. Phrases of two documents at least recur; a sketch of fixed size holds them. It may let more pass, never less.
     2. Windows of such phrases are aggregated to their first document: the recurring ones.
     3. Each recurring window goes to the shards of the documents that hold it later on, shards of SHARD_BYTES of text.
-    4. A shard joins its windows to maximal passages, compiles them into an automaton over words, and streams all its
-       documents through it to locate every occurrence. An automaton has at most as many nodes as its shard has words.
+    4. A shard looks up each window of its documents among its recurring ones. That join of hashes locates the passages. Per
+       slice of about 1 MB, the passages found are compiled into an automaton, and the slice streamed through it marks the
+       same words once more: no document is streamed through automata of passages confirmed elsewhere.
 
     A passage in very many documents is one aggregated row in steps 1 and 2, and step 3's join splits its rows over tasks
     (adaptive skew joins). Words are compared by 64-bit hashes: among n windows, n * n / 2**65 false matches are expected.
