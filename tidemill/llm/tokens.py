@@ -16,6 +16,8 @@ from tidemill.llm.common import documents, input_columns, process_cache, shared_
 #: Entries that a worker's word caches hold at most; further words are encoded anew, with the same ids.
 CACHE_WORDS = 250_000
 SPLIT, ODD = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[\x1C-\x1F]")
+#: Files whose offsets (16 bytes each) are broadcast on reading; those of more files are joined as Catalyst sees fit.
+BROADCAST_FILES = 1 << 20
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -30,8 +32,9 @@ class WordEncoder:
 
     For a vocabulary whose pre-tokenizer drops white space and whose merges never cross a word: a text's ids are then those
     of its white-space separated pieces, one after the other. Pieces are cached. A piece of Latin letters and trailing
-    punctuation goes to the BPE model directly; any other piece goes through the whole tokenizer. Special tokens' strings
-    in a text are ordinary text. One text of 100 MB is fine: nothing is kept but its pieces and ids.
+    punctuation goes to the BPE model directly; any other piece goes through the whole tokenizer. Strings of added tokens
+    (such as <|endoftext|>) get their own ids, as the tokenizer gives them: a text is cut at them first. One text of 100 MB
+    is fine: nothing is kept but its pieces and ids.
     """
 
     def __init__(self, path: str):
@@ -39,7 +42,11 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = self.whole.get_added_tokens_decoder()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added.values()):
+            raise ValueError("added tokens that strip, or match whole words or normalised text, are not supported")
+        self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
         self.model = self.whole.model
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         extra = iter(range(256, 512))
@@ -71,6 +78,11 @@ class WordEncoder:
         return ids
 
     def encode(self, text: str) -> bytes:
+        if self.cut is None or not self.cut.search(text):
+            return self._plain(text)
+        return b"".join([self.added.get(p) or self._plain(p) for p in self.cut.split(text)])
+
+    def _plain(self, text: str) -> bytes:
         get, miss = self.pieces.get, self._piece
         # str.split() also cuts at 0x1C to 0x1F, which the tokenizer keeps
         parts = SPLIT.findall(text) if ODD.search(text) else text.split()
@@ -129,7 +141,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(schema).orc(path).withColumn("part", part)
     sums = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))  # a row a file: some MB for a million files
     before = sums.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("before"))
-    return rows.join(F.broadcast(before), "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
+    files = len(spark.read.schema(schema).orc(path).inputFiles())
+    return rows.join(F.broadcast(before) if files <= BROADCAST_FILES else before, "part").select("doc_id", (F.col("before") + F.col("local_start")).alias("start"), "n_tokens", "ids")
 
 
 def _digest(batches):
