@@ -28,9 +28,7 @@ def sha(text):
 
 @functools.cache
 def whole_tokenizer():
-    t = Tokenizer.from_file(tokens.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.tokenizer_path())
 
 
 def ids_of(text, end):
@@ -208,14 +206,14 @@ def test_top_k(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 60)
     monkeypatch.setattr(topk, "BLOCK", 7)
     rng = np.random.default_rng(2)
-    rows_ = [(i, rng.normal(size=6).round(1).tolist(), 0) for i in range(300)] + [(300, None, 0), (301, [float("nan")] * 6, 0), (302, [1.0, None], 0), (None, [1.0] * 6, 0), (303, [0.5, 0.5], 0), (5, rows5 := [0.25] * 6, 0), (5, rows5, 0)]
-    frame = spark.createDataFrame(rows_, "vec_id long, embedding array<float>, label int")
+    rows_ = [(i, rng.normal(size=6).round(1).tolist(), 0) for i in range(300)] + [(300, None, 0), (301, [float("nan")] * 6, 0), (302, [1.0, None], 0), (None, [1.0] * 6, 0), (303, [0.5, 0.5], 0), (5, rows5 := [0.25] * 6, 0), (5, rows5, 0), (40, rows5, 0), (40, rows5, 0), (60, [9.0] * 6, 0), (60, [8.5] * 6, 0)]
+    frame = spark.createDataFrame([(*r, 1, "c", 2.0) for r in rows_], "vec_id long, embedding array<float>, label int, row int, shard string, kth double")
     got = topk.top_k(frame, F.col("vec_id") % 20 == 0, 20).collect()
-    good = sorted({(i, *(int(np.floor(64 * float(np.float32(x)))) for x in (*v, *[0.0] * (6 - len(v))))) for i, v, _ in rows_ if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)})
+    good = [(i, *(int(np.floor(64 * float(np.float32(x)))) for x in (*v, *[0.0] * (6 - len(v))))) for i, v, _ in rows_ if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q in good:
+    for at, q in enumerate(good):
         if q[0] % 20 == 0:
-            scores = sorted((-int(np.dot(q[1:], v[1:])), v[0]) for v in good if v[0] != q[0])[:20]
+            scores = sorted((-int(np.dot(q[1:], v[1:])), v[0]) for j, v in enumerate(good) if j != at)[:20]
             want += [(q[0], k, v, -s) for k, (s, v) in enumerate(scores, 1)]
     assert sorted(map(tuple, got)) == sorted(want)
 
