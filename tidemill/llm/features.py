@@ -48,8 +48,8 @@ class Texts:
         """Distinct values of each document, and how often its most frequent one occurs."""
         if not len(values):
             return np.zeros(n, np.int64), np.zeros(n, np.int64)
-        bits = np.uint64(max(1, int(n - 1).bit_length()))
-        key = np.sort((doc.astype(np.uint64) << (np.uint64(64) - bits)) | (values >> bits))  # a document's values by their first 40 bits or more
+        bits = np.uint64(16 if n <= 1 << 16 else int(n - 1).bit_length())  # the same in all slices: their rows are few
+        key = np.sort((doc.astype(np.uint64) << (np.uint64(64) - bits)) | (values >> bits))  # a document's values by their first 48 bits
         d = (key >> (np.uint64(64) - bits)).astype(np.int64)
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]

@@ -1,8 +1,8 @@
 """Words and word n-grams of whole Arrow text columns, as NumPy arrays: no Python loop over words.
 
-A batch's texts are one byte buffer. Words are maximal runs of bytes that a table marks; their 64-bit hashes come from
-prefix sums of a Rabin-Karp polynomial over random byte codes. Long batches are cut into slices of SLICE bytes, so that
-memory is bounded by the slice, or by the longest single text.
+A batch's texts are one byte buffer. Words are maximal runs of bytes that a table marks; their 64-bit hashes are mixed from 8
+bytes of all words at a time. Long batches are cut into slices of SLICE bytes, so that memory is bounded by the slice, or by
+the longest single text.
 """
 
 from __future__ import annotations
@@ -14,11 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-from tidemill.llm.common import process_cache
-
 SLICE = 1 << 20
-CHUNK = 1 << 18
-LONG_WORD = 1 << 16
+LONG_WORD = 256
 P = 0x9E3779B97F4A7C15
 Q = 0xD6E8FEB86659FD93
 M64 = (1 << 64) - 1
@@ -34,19 +31,6 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-def _tables():
-    c = process_cache()
-    if not hasattr(c, "powers"):
-        codes = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        c.codes = {False: codes, True: codes[LOWER]}
-        step = np.full(CHUNK + LONG_WORD + 2, P, np.uint64)
-        step[0] = 1
-        powers = np.multiply.accumulate(step)
-        step[1:] = pow(P, -1, 1 << 64)
-        c.powers = (powers, np.multiply.accumulate(step))
-    return c.codes, c.powers
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -92,29 +76,24 @@ class Words:
         return np.repeat(np.arange(self.n), self.counts)
 
     def hashes(self) -> np.ndarray:
-        codes, (up, down) = _tables()
-        codes = codes[self.fold]
-        out = np.empty(len(self.start), np.uint64)
-        length = self.end - self.start
+        """A 64-bit hash of each word's bytes: 8 bytes at a time are mixed into it, with the length. Each step is a bijection
+        of the state, so words of up to 8 bytes have no clash but by their lengths, and no structure of longer words
+        (periods, complements) makes them clash. Words over LONG_WORD bytes are hashed by XXH64 instead."""
+        data = np.zeros(len(self.data) + 8, np.uint8)
+        data[: len(self.data)] = LOWER[self.data] if self.fold else self.data
+        eight = np.ndarray(len(self.data) + 1, "<u8", buffer=data, strides=(1,))  # the 8 bytes from each place on
+        start, length = self.start, self.end - self.start
+        out = mix(length.astype(np.uint64) * np.uint64(P) + np.uint64(Q))
+        live, k = np.flatnonzero(length <= LONG_WORD), 0
+        while len(live):
+            left = np.minimum(length[live] - 8 * k, 8).astype(np.uint64)
+            chunk = eight[start[live] + 8 * k] & (np.uint64(M64) >> (np.uint64(64) - np.uint64(8) * left))
+            out[live] = mix((out[live] ^ chunk) * np.uint64(P) + np.uint64(k))
+            k += 1
+            live = live[length[live] > 8 * k]
         for i in np.flatnonzero(length > LONG_WORD):
-            b = self.data[self.start[i] : self.end[i]]
-            out[i] = xxhash.xxh64_intdigest((LOWER[b] if self.fold else b).tobytes())
-        a, n = 0, len(self.start)
-        while a < n:
-            base = self.start[a]
-            if length[a] > LONG_WORD:
-                a += 1
-                continue
-            b = max(int(np.searchsorted(self.end, base + CHUNK, "right")), a + 1)
-            long = np.flatnonzero(length[a:b] > LONG_WORD)
-            b = a + int(long[0]) if len(long) else b
-            m = self.end[b - 1] - base
-            total = np.zeros(m + 1, np.uint64)
-            np.cumsum(codes[self.data[base : base + m]] * up[:m], out=total[1:])
-            s = self.start[a:b] - base
-            out[a:b] = (total[self.end[a:b] - base] - total[s]) * down[s]
-            a = b
-        return mix(out)
+            out[i] = xxhash.xxh64_intdigest(data[start[i] : self.end[i]].tobytes())
+        return out
 
     def fits(self, k: int) -> np.ndarray:
         """For each word, whether k words of its document start with it."""
@@ -134,13 +113,16 @@ def ngrams(words: np.ndarray, k: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = words[:n].copy()
     for j in range(1, k):
+        h ^= h >> np.uint64(29)
         h *= np.uint64(Q)
         h += words[j : j + n]
     return mix(h + np.uint64(k))
 
 
 def per_document(values: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Sums of values[at[d]:at[d + 1]]."""
+    """Sums of values[at[d]:at[d + 1]], whole numbers: sums of floats would depend on the texts before."""
+    if values.dtype.kind == "f":
+        raise TypeError("whole numbers only")
     total = np.zeros(len(values) + 1, np.int64)
     np.cumsum(values, out=total[1:])
     return total[at[1:]] - total[at[:-1]]

@@ -81,7 +81,7 @@ def features(column: pa.Array, lexicon: list[tuple[np.ndarray, np.ndarray]], pro
     per = lambda flag: per_document(flag, at)
     return np.stack(
         [
-            np.log1p(per(exact)), 100 * per(exact) / n, np.log1p(per(stem)), 100 * per(stem) / n, strongest, np.log1p(per(any_odds * 16).clip(0) / 16),
+            np.log1p(per(exact)), 100 * per(exact) / n, np.log1p(per(stem)), 100 * per(stem) / n, strongest, np.log1p(per(np.rint(any_odds * 4096).astype(np.int64)) / 4096),
             np.log1p(per(near)), 100 * per(second) / n, np.log1p(np.maximum(hidden, 0)), t.of_words((letters > 0) & (digits + symbols > 0)), t.of_words((upper >= 2) & (upper == letters)),
             t.share(np.isin(np.arange(256), np.arange(0x41, 0x5B))), t.share(MARK), t.share(bang), t.share(SYMBOL), t.share(DIGIT), np.log1p(words.counts),
         ],
@@ -208,13 +208,15 @@ def training_rows(doc_id: Column) -> Column:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> dict:
     """The model from labels (doc_id, toxic) of training rows, FIT_ROWS of them at most: two thirds make the lexicon and
-    the trees, the rest calibrates. Only ids, at most FIT_ROWS, are broadcast to the documents."""
+    the trees, the rest calibrates. Only ids, at most FIT_ROWS, are broadcast to the documents. Of several texts of one id the
+    least one counts, so that rows repeating an id add nothing; a label given twice counts once, contradicting ones each."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & training_rows(F.col("doc_id")))
     ids = usable.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    ids = materialize(ids.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(FIT_ROWS), "labels")
+    ids = materialize(ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(FIT_ROWS), "labels")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     part = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)).alias("part")
-    rows = materialize(texts.join(F.broadcast(ids), "doc_id").select("text", "toxic", part), "training")
+    one = texts.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = materialize(one.select("text", "toxic", part), "training")
     lexicon = _lexicon(rows.where("part < 2"))
     pronouns = np.sort(Words(pa.array(PRONOUNS), ALNUM, fold=True).hashes())
 
@@ -240,8 +242,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
     Features: words and stems of a lexicon learned from the training rows (count, density, odds), their nearness to
     second-person pronouns, obfuscated entries, and rates of capitals, punctuation, symbols and digits. Null and empty
-    texts have no words and get the score of such. Null and repeated ids each get a row; labels that repeat or contradict
-    each other all count; without labels all scores are a half; an empty table gives none; other columns are ignored.
+    texts have no words and get the score of such. Null and repeated ids each get a row, equal texts equal scores wherever
+    they stand; labels that contradict each other all count; without labels all scores are a half; an empty table gives none;
+    other columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     model = fit_toxicity(rows, labels)
