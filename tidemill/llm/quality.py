@@ -7,14 +7,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemill.llm.common import documents, materialize
+from tidemill.llm.common import documents
 from tidemill.llm.features import QUALITY, quality
-from tidemill.llm.textvec import Words, slices
+from tidemill.llm.textvec import NOT_SPACE, P, Words, mix, ngrams, slices
 
-#: Rows that the linear scorer is fitted on: those of the smallest hashes of doc_id.
+#: Rows that the linear scorer is fitted on at most: those of the smallest hashes of id and text.
 FIT_ROWS = 6000
-#: Hashed dimensions, the last 64 of which hold the labellers' votes.
-WIDTH, VOTES = 2048, 64
+#: Hashed dimensions.
+WIDTH = 4096
+NOT_NEWLINE = np.ones(256, bool)
+NOT_NEWLINE[0x0A] = False
 #: Documents of at least this probability of low quality are rejected.
 REJECT = 0.5
 #: (feature, at least words, votes low beyond, votes good within): vote = 2 (low), 1 (good) or 0 (abstains).
@@ -81,24 +83,49 @@ def _classes() -> np.ndarray:
     return c
 
 
-def hashed(column: pa.Array, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, dimension, value): frequencies of hashed trigrams of byte classes, and one dimension a vote."""
-    words = Words(column, np.ones(256, bool), fold=False)
-    c = _classes()[words.data]
-    n = len(c) - 2
-    size = np.diff(words.offsets)
-    doc = np.repeat(np.arange(words.n), size)
-    if n > 0:
-        same = doc[2:] == doc[:-2]
-        code = ((c[:-2] * 32 + c[1:-1]) * 32 + c[2:])[same]
-        doc = doc[:-2][same]
-        dim = (code * 40503 >> 3) % (WIDTH - VOTES)
-    else:
-        doc = dim = np.zeros(0, np.int64)
-    ballot = np.arange(len(LABELLERS)) * 3 + v + WIDTH - VOTES
-    at = np.repeat(np.arange(words.n), v.shape[1])
-    value = 8.0 / np.maximum(size, 1)[doc]
-    return np.concatenate([doc, at]), np.concatenate([dim, ballot.ravel()]), np.concatenate([value, np.ones(len(at))])
+def _again(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
+    """For each value, the binary logarithm of its share of its document's values, downwards from 0."""
+    order = np.lexsort((values, doc))
+    v, d = values[order], doc[order]
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
+    at = np.flatnonzero(new)
+    count = np.empty(len(v), np.int64)
+    count[order] = np.repeat(np.diff(np.append(at, len(v))), np.diff(np.append(at, len(v))))
+    return np.floor(np.log2(np.bincount(doc, minlength=n)[doc] / count)).astype(np.int64)
+
+
+def hashed(column: pa.Array, once: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, dimension, value) of a text's hashed features, sorted and each pair once if so wanted: frequencies of trigrams of byte
+    classes, of words and word pairs, and of words and lines by how much of the text they make up. No vote is among them."""
+    whole = Words(column, np.ones(256, bool), fold=False)
+    words = Words(column, NOT_SPACE, fold=True)
+    lines = Words(column, NOT_NEWLINE, fold=False)
+    parts = []
+
+    def add(kind: int, code: np.ndarray, doc: np.ndarray, weight: float, size: np.ndarray) -> None:
+        dim = mix(code.astype(np.uint64) * np.uint64(P) + np.uint64(kind)) % np.uint64(WIDTH)
+        parts.append((doc, dim.astype(np.int64), np.full(len(doc), weight) / np.maximum(size, 1)[doc]))
+
+    c, size = _classes()[whole.data], np.diff(whole.offsets)
+    at = np.repeat(np.arange(whole.n), size)
+    if len(c) > 2:
+        same = np.flatnonzero(at[2:] == at[:-2])
+        add(0, ((c[:-2] * 32 + c[1:-1]) * 32 + c[2:])[same], at[same], 8.0, size)
+    h, doc = words.hashes(), words.doc()
+    add(1, h, doc, 4.0, words.counts)
+    if len(h) > 1:
+        pair = np.flatnonzero(words.fits(2))
+        add(2, ngrams(h, 2)[pair], doc[pair], 4.0, words.counts)
+        add(3, (h[pair] == h[pair + 1]), doc[pair], 4.0, words.counts)
+    length = np.floor(np.log2(words.counts + 1)).astype(np.int64) // 2
+    add(4, _again(h, doc, words.n) * 32 + length[doc], doc, 4.0, words.counts)
+    add(5, _again(lines.hashes(), lines.doc(), lines.n) * 32 + np.minimum(np.floor(np.log2(lines.counts + 1)).astype(np.int64), 5)[lines.doc()], lines.doc(), 4.0, lines.counts)
+    doc, dim, value = (np.concatenate(x) for x in zip(*parts))
+    if not once:
+        return doc, dim, value
+    key, inverse = np.unique(doc * WIDTH + dim, return_inverse=True)
+    return key // WIDTH, key % WIDTH, np.bincount(inverse, value, minlength=len(key))
 
 
 def _count(batches):
@@ -111,22 +138,23 @@ def _count(batches):
 
 def _sparse(batches):
     for batch in batches:
-        for a, b in slices(batch.column(0)):
-            v = votes(quality(batch.column(0).slice(a, b - a)))
-            doc, dim, value = hashed(batch.column(0).slice(a, b - a), v)
-            x = np.bincount(doc * WIDTH + dim, value, minlength=len(v) * WIDTH).astype(np.float32).reshape(len(v), WIDTH)
-            yield pa.RecordBatch.from_arrays([pa.array(_pattern(v).astype(np.int64)), pa.array([r.tobytes() for r in x], pa.binary())], names=["pattern", "x"])
+        for a, b in slices(batch.column(1)):
+            part = batch.column(1).slice(a, b - a)
+            doc, dim, value = hashed(part)
+            place = pa.array(np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(place, pa.array(x)) for x in (dim.astype(np.int32), value)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(_pattern(votes(quality(part))).astype(np.int64)), *lists], names=["key", "pattern", "dim", "value"])
 
 
-def fit_scorer(x: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
+def fit_scorer(doc: np.ndarray, dim: np.ndarray, value: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
     """Logistic regression on probabilities y by Adam, all rows at once; the last weight is the bias."""
-    w, m, s = np.zeros(WIDTH + 1, np.float32), np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
+    w, m, s = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.einsum("ij,j->i", x, w[:-1]) + w[-1], -30, 30)))
-        e = (p - y).astype(np.float32)
-        g = np.append(np.einsum("i,ij->j", e, x) / len(y), e.mean()) + 1e-5 * w
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, value * w[dim], minlength=len(y)) + w[-1], -30, 30)))
+        e = p - y
+        g = np.append(np.bincount(dim, value * e[doc], minlength=WIDTH) / len(y), e.mean()) + 1e-5 * w
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
-        w = (w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
+        w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     return w
 
 
@@ -136,7 +164,7 @@ def _score(model: np.ndarray, w: np.ndarray):
             for a, b in slices(batch.column(1)):
                 part = batch.column(1).slice(a, b - a)
                 v = votes(quality(part))
-                doc, dim, value = hashed(part, v)
+                doc, dim, value = hashed(part, once=False)
                 z = np.bincount(doc, value * w[dim], minlength=len(v)) + w[-1]
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(posterior(v, model)), pa.array(p)], names=["key", "posterior", "score"])
@@ -146,17 +174,21 @@ def _score(model: np.ndarray, w: np.ndarray):
 
 def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray]:
     """(label model, linear weights). Vote patterns are counted over all documents (3**10 kinds at most reach the driver);
-    the scorer is fitted on FIT_ROWS documents."""
+    the scorer is fitted on FIT_ROWS documents at most, those of the smallest hashes of id and text."""
     text = F.col(text_col).cast("string")
     counted = docs.select(text.alias("text")).mapInArrow(_count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
     model, _ = label_model(np.array([r["pattern"] for r in counted], np.int64), np.array([r["n"] for r in counted], float))
-    key = F.xxhash64(F.col(id_col).cast("long"))
-    chosen = docs.select(key.alias("h")).orderBy("h").limit(FIT_ROWS).agg(F.max("h")).first()[0]
-    rows = docs.where(key <= F.lit(chosen)).select(text.alias("text")).limit(2 * FIT_ROWS) if chosen is not None else docs.select(text.alias("text")).limit(0)
-    sample = rows.mapInArrow(_sparse, "pattern long, x binary").toArrow()
-    x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float32).reshape(-1, WIDTH)
+    key = F.xxhash64(F.col(id_col).cast("long"), text)
+    keys = docs.select(key.alias("key"), text.alias("text"))
+    chosen = keys.select("key").orderBy("key").limit(FIT_ROWS).agg(F.max("key")).first()[0]
+    if chosen is None:
+        return model, np.zeros(WIDTH + 1)
+    rows = keys.where(F.col("key") <= F.lit(chosen)).groupBy("key").agg(F.min("text").alias("text"))  # rows that repeat another count once
+    sample = rows.mapInArrow(_sparse, "key long, pattern long, dim array<int>, value array<double>").toArrow().sort_by("key")  # sums of floats depend on the order
+    dim, value = sample["dim"].combine_chunks(), sample["value"].combine_chunks()
+    doc = np.repeat(np.arange(len(sample)), dim.value_lengths().to_numpy())
     y = posterior(_votes_of(sample["pattern"].to_numpy()), model)
-    return model, fit_scorer(x, y) if len(y) else np.zeros(WIDTH + 1, np.float32)
+    return model, fit_scorer(doc, dim.flatten().to_numpy(), value.flatten().to_numpy(), y)
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,8 +196,9 @@ def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     and whether the latter is below REJECT.
 
     Labellers judge whole texts by rates of symbols, capitals, repetitions and the like, and abstain on texts too short to
-    tell. Null and empty texts get abstentions only, so the prior, and are kept unless most documents are bad. Null and
-    repeated ids each get a row; an empty table gives none; other columns are ignored.
+    tell. The scorer sees hashed features of the text alone, none of the votes. Null and empty texts get abstentions only, so
+    the prior, and no features, so the bias. Null and repeated ids each get a row, equal texts equal scores; an empty table
+    gives none; other columns are ignored.
     """
     model, w = fit_quality(docs, id_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
