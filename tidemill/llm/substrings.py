@@ -1,4 +1,4 @@
-"""Removal of repeated passages by a join of window hashes, marked through Aho-Corasick automata (operator 6)."""
+"""Removal of repeated passages through sharded Aho-Corasick automata of confirmed passages (operator 6)."""
 
 from __future__ import annotations
 
@@ -6,16 +6,49 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidemill.llm.common import documents, materialize, remove
-from tidemill.llm.textvec import NOT_SPACE, Words, joined, ngrams, per_document, slices
+from tidemill.llm.common import documents, heavy_split_join, materialize, remove
+from tidemill.llm.textvec import NOT_SPACE, Words, joined, mix, ngrams, per_document, slices
 
 WINDOW = 13
 #: Words of the shorter phrase whose least hash within a window stands for that window.
 PHRASE = 5
-#: Bits of the sketch of recurring phrases that goes to all tasks (8 MB, whatever the corpus).
-SKETCH_BITS = 1 << 26
-#: Bytes of text whose documents share an automaton.
-SHARD_BYTES = 2 << 20
+#: Windows of a piece of text: what is sent to an automaton at once.
+PIECE = 512
+#: Least and most bits of the sketch of recurring phrases that goes to all tasks (at most 32 MB), and its bits a phrase.
+SKETCH_LEAST, SKETCH_BITS, SKETCH_PER = 1 << 20, 1 << 28, 32
+#: Passage windows of a shard and of an automaton, and bytes of text that a task streams through its shard's automata.
+SHARD_WINDOWS, AUTOMATON_WINDOWS, STREAM_BYTES = 1 << 15, 1 << 16, 4 << 20
+#: Bytes of text whose windows are looked up by one task.
+GROUP_BYTES = 2 << 20
+
+
+# --- pieces of distinct texts
+
+
+def _cut(window: int, size: int):
+    """Pieces (piece, th, at, rep, text) of texts of a window at least: `size` windows each, so that every window of a text is
+    in one piece; words are joined by one space."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in slices(batch.column(2)):
+                words = Words(batch.column(2).slice(a, b - a), NOT_SPACE, fold=False)
+                number = np.where(words.counts >= window, -(-(words.counts - window + 1) // size), 0)
+                doc = np.repeat(np.arange(words.n), number)
+                k = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
+                first = words.at[doc] + k * size
+                last = np.minimum(first + size + window - 1, words.at[doc + 1])
+                texts = [words.bytes(i, j) for i, j in zip(first.tolist(), last.tolist())]
+                th, rep = (batch.column(c).slice(a, b - a).to_numpy()[doc] for c in (0, 1))
+                piece = mix(th.view(np.uint64) + mix(k.astype(np.uint64) + np.uint64(1)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(piece.view(np.int64)), pa.array(th), pa.array(k * size), pa.array(rep), pa.array(texts, pa.binary()).cast(pa.string())], names=["piece", "th", "at", "rep", "text"]
+                )
+
+    return run
+
+
+# --- recurring windows
 
 
 def _windows(column: pa.Array, window: int, phrase: int):
@@ -24,143 +57,239 @@ def _windows(column: pa.Array, window: int, phrase: int):
     hashes = words.hashes()
     at = np.flatnonzero(words.fits(window))
     if not len(at):
-        return words, hashes, at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return words, at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     short, span = ngrams(hashes, phrase), window - phrase + 1
     least = short[: len(short) - span + 1].copy()
     for j in range(1, span):
         np.minimum(least, short[j : j + len(least)], out=least)
-    return words, hashes, at, ngrams(hashes, window)[at], least[at]
-
-
-def _emit(value: np.ndarray, doc: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    """(hash, doc_id) without what repeats in a row."""
-    new = np.ones(len(value), bool)
-    new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
-    return pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), pa.array(ids[doc[new]])], names=["hash", "doc_id"])
+    return words, at, ngrams(hashes, window)[at], least[at]
 
 
 def _hashes(window: int, phrase: int, sketch: np.ndarray | None):
-    """Phrases that stand for windows; with a sketch of the recurring ones, the windows that such phrases stand for."""
+    """(hash, rep, piece) of phrases that stand for windows; with a sketch of the recurring ones, of the windows that such
+    phrases stand for. What repeats in a row is left out."""
 
     def run(batches):
         for batch in batches:
-            batch = batch.filter(batch.column(0).is_valid())
-            for a, b in slices(batch.column(1)):
-                words, _, at, full, least = _windows(batch.column(1).slice(a, b - a), window, phrase)
-                doc, ids = words.doc()[at], batch.column(0).slice(a, b - a).to_numpy()
+            for a, b in slices(batch.column(2)):
+                words, at, value, least = _windows(batch.column(2).slice(a, b - a), window, phrase)
+                doc = words.doc()[at]
                 if sketch is None:
-                    yield _emit(least, doc, ids)
+                    value = least
                 else:
-                    bit = least % np.uint64(SKETCH_BITS)
+                    bit = least % np.uint64(len(sketch) * 8)
                     seen = sketch[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8) & 1 > 0
-                    yield _emit(full[seen], doc[seen], ids)
+                    value, doc = value[seen], doc[seen]
+                new = np.ones(len(value), bool)
+                new[1:] = (value[1:] != value[:-1]) | (doc[1:] != doc[:-1])
+                piece, rep = (batch.column(c).slice(a, b - a).to_numpy()[doc[new]] for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(value[new].view(np.int64)), pa.array(rep), pa.array(piece)], names=["hash", "rep", "piece"])
 
     return run
 
 
-def _recurring(pairs: DataFrame) -> DataFrame:
-    """(hash, first) of those in two documents at least: first is the smallest of them."""
-    return pairs.groupBy("hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("hash", "first")
-
-
-def _sketch(hashes: DataFrame) -> np.ndarray:
-    """A bit for each hash modulo SKETCH_BITS; SKETCH_BITS / 64 rows at most come to the driver."""
-    bit = F.expr(f"hash & {SKETCH_BITS - 1}L")  # the unsigned remainder
-    rows = hashes.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, CAST(hash & 63L AS INT))")).alias("bits")).toArrow()
-    out = np.zeros(SKETCH_BITS // 64, np.int64)
+def _sketch(hashes: DataFrame, bits: int = 1 << 26) -> np.ndarray:
+    """A bit for each hash modulo bits; bits / 64 rows at most come to the driver."""
+    bit = F.expr(f"hash & {bits - 1}L")  # the unsigned remainder
+    rows = hashes.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(hash & 63L AS INT))")).alias("bits")).toArrow()
+    out = np.zeros(bits // 64, np.int64)
     out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
     return out.view(np.uint8)
 
 
-def _remove(window: int, phrase: int):
-    def run(left, right):
-        import ahocorasick
-
-        order = np.argsort(left["hash"].to_numpy().view(np.uint64), kind="stable")
-        keys, firsts = left["hash"].to_numpy().view(np.uint64)[order], left["first"].to_numpy()[order]
-        out, texts = [], right["text"].combine_chunks()
-        doc_ids = right["doc_id"].combine_chunks()
-        ids = doc_ids.fill_null(np.iinfo(np.int64).min).to_numpy()
-        for a, b in slices(texts):
-            words, hashes, at, full, _ = _windows(texts.slice(a, b - a), window, phrase)
-            gone = np.zeros(len(words.start) + 1, np.int64)
-            if len(keys) and len(at):
-                place = np.minimum(np.searchsorted(keys, full), len(keys) - 1)
-                doc, own = words.doc(), ids[a:b]
-                first = firsts[place]
-                repeats = (keys[place] == full) & (first < own[doc[at]])
-                hit = np.flatnonzero(repeats)
-            else:
-                hit = np.zeros(0, np.int64)
-            if len(hit):
-                # a confirmed passage: windows in a row that each start in an earlier document
-                cuts = np.flatnonzero((np.diff(at[hit]) != 1) | (np.diff(doc[at[hit]]) != 0)) + 1
-                letters = _letters(hashes)
-                automaton, wide = ahocorasick.Automaton(), len(letters) // max(len(hashes), 1)
-                for run_of in np.split(hit, cuts):
-                    i, j = int(at[run_of[0]]), int(at[run_of[-1]]) + window
-                    passage, latest = letters[i * wide : j * wide], int(first[run_of].max())
-                    automaton.add_word(passage, (j - i, min(latest, automaton.get(passage, (0, latest))[1])))
-                automaton.make_automaton()
-                for d in range(words.n):
-                    i, j, own_id = int(words.at[d]), int(words.at[d + 1]), own[d]
-                    for end, (n, latest) in automaton.iter(letters[i * wide : j * wide]):
-                        if latest < own_id:  # all its windows start in earlier documents
-                            gone[i + (end + 1) // wide - n] += 1
-                            gone[i + (end + 1) // wide] -= 1
-            keep = np.cumsum(gone)[:-1] == 0
-            n = words.counts.astype(np.int64)
-            out.append(pa.RecordBatch.from_arrays([doc_ids.slice(a, b - a), pa.array(n), pa.array(n - per_document(keep, words.at)), joined(words, keep)], schema=_kept()))
-        return pa.Table.from_batches(out, schema=_kept())
+# --- passages and the texts that meet them
+
+DEALT = pa.schema([("shard", pa.int32()), ("rep", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("passage", pa.bool_()), ("text", pa.string())])
+
+
+def _deal(window: int, phrase: int):
+    """For a group of pieces and what is known of them: the passages they hold first, for their own shard, and their text
+    for each shard that holds some of their windows."""
+
+    def run(known, pieces):
+        out, column = [], pieces["text"].combine_chunks()
+        piece, rep, th, at_word, own = (pieces[c].to_numpy() for c in ("piece", "rep", "th", "at", "own"))
+        of, hashes, shard = known["piece"].to_numpy(), known["hash"], known["shard"]
+        owns = hashes.is_valid().to_numpy() if len(known) else np.zeros(0, bool)
+        owned = np.stack([of[owns], hashes.drop_null().to_numpy()], axis=1) if owns.any() else np.zeros((0, 2), np.int64)
+        owned = mix(mix(owned[:, 0].view(np.uint64)) + owned[:, 1].view(np.uint64)) if len(owned) else np.zeros(0, np.uint64)
+        owned.sort()
+        visits = np.stack([of[~owns], shard.drop_null().to_numpy()], axis=1) if (~owns).any() else np.zeros((0, 2), np.int64)
+        visits = visits[np.argsort(visits[:, 0], kind="stable")]
+        for a, b in slices(column):
+            if len(owned):
+                words, at, full, _ = _windows(column.slice(a, b - a), window, phrase)
+                doc = words.doc()[at]
+                key = mix(mix(piece[a:b].view(np.uint64))[doc] + full)
+                hit = np.flatnonzero(owned[np.minimum(np.searchsorted(owned, key), len(owned) - 1)] == key)
+                if len(hit):  # windows in a row make one passage
+                    cut = np.flatnonzero((np.diff(at[hit]) != 1) | (np.diff(doc[hit]) != 0)) + 1
+                    first, last = hit[np.concatenate([[0], cut])], hit[np.concatenate([cut - 1, [len(hit) - 1]])]
+                    texts = [words.bytes(i, j + window) for i, j in zip(at[first].tolist(), at[last].tolist())]
+                    d = doc[first] + a
+                    columns = [own[d], rep[d], np.zeros(len(d), np.int64), np.zeros(len(d), np.int64), np.ones(len(d), bool)]
+                    out.append(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(texts, pa.binary()).cast(pa.string())], schema=DEALT))
+            lo, hi = np.searchsorted(visits[:, 0], piece[a:b]), np.searchsorted(visits[:, 0], piece[a:b], "right")
+            d = np.repeat(np.arange(b - a), hi - lo)
+            if len(d):
+                place = np.arange(len(d)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[d]
+                columns = [visits[place, 1].astype(np.int32), rep[a + d], th[a + d], at_word[a + d], np.zeros(len(d), bool)]
+                out.append(pa.RecordBatch.from_arrays([*map(pa.array, columns), column.take(pa.array(a + d))], schema=DEALT))
+        return pa.Table.from_batches(out, schema=DEALT)
+
+    return run
+
+
+# --- automata
+
+SPANS = pa.schema([("th", pa.int64()), ("first", pa.int64()), ("last", pa.int64())])
+
+
+def _automata(passages: list[tuple[int, str]], window: int):
+    """Automata of AUTOMATON_WINDOWS windows each: (letter of each word, automaton). A word is a letter, exactly, and a window
+    is a string of letters; its value is the smallest id of a text that holds it."""
+    import ahocorasick
+
+    passages = sorted(passages)  # the smallest id comes first and stays
+    k = 0
+    while k < len(passages):
+        letters, automaton, windows = {}, ahocorasick.Automaton(), 0
+        while k < len(passages) and windows < AUTOMATON_WINDOWS:
+            rep, text = passages[k]
+            for w in (words := text.split(" ")):
+                if w not in letters:
+                    letters[w] = chr(len(letters) + 1 + 0x800 * (len(letters) + 1 >= 0xD800))  # not a surrogate
+            spelled = "".join([letters[w] for w in words])
+            for i in range(len(words) - window + 1):
+                if (seen := spelled[i : i + window]) not in automaton:
+                    automaton.add_word(seen, rep)
+            windows += len(words) - window + 1
+            k += 1
+        automaton.make_automaton()
+        yield letters, automaton
+
+
+def _stream(window: int):
+    """Spans [first, last) of words of the streamed texts that an earlier text's windows cover."""
+
+    def run(table):
+        passage = table["passage"].to_numpy()
+        ids, texts = table["rep"].to_numpy(), table["text"]
+        held = table.filter(pa.array(passage))
+        spans: list[tuple[int, int, int]] = []
+        visits = np.flatnonzero(~passage)
+        rep, th, at = ids[visits].tolist(), table["th"].to_numpy()[visits].tolist(), table["at"].to_numpy()[visits].tolist()
+        words = [t.split(" ") for t in texts.take(pa.array(visits)).to_pylist()]
+        for letters, automaton in _automata(list(zip(held["rep"].to_pylist(), held["text"].to_pylist())), window):
+            letter = letters.get
+            for own, text, start, parts in zip(rep, th, at, words):
+                first = last = -1
+                for end, earliest in automaton.iter("".join([letter(w, "\0") for w in parts])):
+                    if earliest < own:
+                        if end - window < last:  # goes on where the span so far ends, or within it
+                            last = end + 1
+                        else:
+                            if last > 0:
+                                spans.append((text, start + first, start + last))
+                            first, last = end + 1 - window, end + 1
+                if last > 0:
+                    spans.append((text, start + first, start + last))
+        columns = zip(*spans) if spans else ([], [], [])
+        return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=SPANS)
 
     return run
 
 
-def _kept() -> pa.Schema:
-    return pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.string())])
+def _finish(window: int):
+    """Words, removed words and kept text of (doc_id, text, rep, first, last)."""
 
+    def run(batches):
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                part = batch.slice(a, b - a)
+                words = Words(part.column(1), NOT_SPACE, fold=False)
+                ids, reps = (part.column(c).fill_null(np.iinfo(np.int64).min).to_numpy() for c in (0, 2))
+                gone = np.zeros(len(words.start) + 1, np.int64)
+                own = part.column(0).is_valid().to_numpy(zero_copy_only=False) & part.column(2).is_valid().to_numpy(zero_copy_only=False)
+                for side, lists in ((1, part.column(3)), (-1, part.column(4))):
+                    n = np.where(own & (ids == reps), lists.value_lengths().fill_null(0).to_numpy(), 0)
+                    place = np.repeat(words.at[:-1], n) + lists.filter(pa.array(n > 0)).flatten().to_numpy()
+                    np.add.at(gone, place, side)
+                copy = np.flatnonzero(own & (ids > reps) & (words.counts >= window))  # all its windows start in the first copy
+                np.add.at(gone, words.at[copy], 1)
+                np.add.at(gone, words.at[copy + 1], -1)
+                keep, n = np.cumsum(gone)[:-1] == 0, words.counts.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(n - per_document(keep, words.at)), joined(words, keep)], names=["doc_id", "n_words", "n_removed", "kept"])
 
-def _letters(hashes: np.ndarray) -> str:
-    """A text in which each distinct word is one character, or two from separate ranges if there are too many words."""
-    distinct, number = np.unique(hashes, return_inverse=True)
-    char = lambda x: x + 1 + 0x800 * (x + 1 >= 0xD800)  # noqa: E731  not a surrogate
-    if len(distinct) < 1_000_000:
-        return char(number).astype("<u4").tobytes().decode("utf-32-le")
-    pair = np.stack([char(number // 30_000), char(number % 30_000 + 60_000)], axis=1)
-    return pair.astype("<u4").tobytes().decode("utf-32-le")
+    return run
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_words, n_removed, kept): kept are the words, joined by one space, that no repeated window covers. A window
     is repeated where its word sequence also starts in a document with a smaller id.
 
-    1. Each window is represented by its least phrase hash, the same wherever the window occurs; a fifth of all positions
-       remain. Phrases of two documents at least recur; a sketch of fixed size holds them. It may let more pass, never less.
-    2. Windows of such phrases are aggregated to their first document: the recurring ones.
-    3. Each recurring window goes to the shards of the documents that hold it later on, shards of SHARD_BYTES of text.
-    4. A shard looks up each window of its documents among its recurring ones. That join of hashes locates the passages. Per
-       slice of about 1 MB, the passages found are compiled into an automaton, and the slice streamed through it marks the
-       same words once more: no document is streamed through automata of passages confirmed elsewhere.
-
-    A passage in very many documents is one aggregated row in steps 1 and 2, and step 3's join splits its rows over tasks
-    (adaptive skew joins). Words are compared by 64-bit hashes: among n windows, n * n / 2**65 false matches are expected.
+    1. Equal texts are one text, of the smallest id; copies with greater ids lose all windows. Texts are cut into pieces of
+       PIECE windows, so that no later step holds a very long text or a crowd of copies.
+    2. Each window is represented by its least phrase hash, the same wherever the window occurs; a fifth of all positions
+       remain. Phrases of two texts at least recur; a sketch sized by their number holds them. It may let more pass, never
+       less: beyond SKETCH_BITS / 4 phrases it lets nearly all pass, and more windows than need be are shuffled.
+    3. Windows of such phrases are aggregated to the piece of smallest id that holds them: recurring windows. In a row they
+       make passages, which that piece gives out word for word. Its hash deals it to a shard of SHARD_WINDOWS on average.
+    4. A piece that holds a recurring window later on is sent to the shard of the window's passage: so each text is streamed
+       through the automata of all shards that have anything in common with it, and no others.
+    5. A shard's passages are compiled into automata whose letters are words, exactly, and whose patterns are the passages'
+       windows. They find all occurrences in the texts streamed through; hashes decide nothing here. A shard that many texts
+       meet (a very common passage) is dealt over tasks, each with the shard's automata and STREAM_BYTES of text.
+    6. The spans found, merged by text, are taken out.
+
+    Hashes are 64 bits of mixed words: a clash of two different recurring windows, of which n * n / 2**65 are expected among
+    n, may hide the later one's first occurrence; it never removes a word.
 
     Null and empty texts have no words; null ids neither remove nor lose words; rows of one doc_id do not remove each
     other's words; an empty table gives none; other columns are ignored.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    schema = "hash long, doc_id long"
-    phrases = materialize(_recurring(rows.mapInArrow(_hashes(window, phrase, None), schema)), "phrases")
-    sketch = _sketch(phrases)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).withColumn("th", F.xxhash64("text", F.octet_length("text")))
+    long_enough = F.col("doc_id").isNotNull() & (F.octet_length("text") >= 2 * window - 1)
+    reps = rows.where(long_enough).groupBy("th").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
+    copies = materialize(reps.where("n > 1"), "copies")
+    distinct = rows.where(long_enough).join(copies.select("th", "rep"), "th", "left").where("rep IS NULL OR rep = doc_id")
+    pieces = materialize(distinct.select("th", F.col("doc_id").alias("rep"), "text").mapInArrow(_cut(window, PIECE), "piece long, th long, at long, rep long, text string"), "pieces")
+
+    texts, schema = pieces.select("piece", "rep", "text"), "hash long, rep long, piece long"
+    many = F.col("first") < F.col("last")
+    phrases = texts.mapInArrow(_hashes(window, phrase, None), schema).groupBy("hash").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).where(many)
+    phrases = materialize(phrases.select("hash"), "phrases")
+    bits = min(SKETCH_BITS, max(SKETCH_LEAST, 1 << (SKETCH_PER * phrases.count()).bit_length()))
+    sketch = _sketch(phrases, bits)
     remove(phrases)
-    pairs = rows.mapInArrow(_hashes(window, phrase, sketch), schema)
-    firsts = materialize(_recurring(pairs), "windows")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shard = F.pmod(F.xxhash64("doc_id"), F.lit(int(size // SHARD_BYTES) + 1)).alias("shard")
-    later = materialize(pairs.join(firsts, "hash").where("doc_id > first").select(shard, "hash", "first"), "later")
+    pairs = texts.mapInArrow(_hashes(window, phrase, sketch), schema)
+    firsts = pairs.groupBy("hash").agg(F.min("rep").alias("first"), F.max("rep").alias("last"), F.min_by("piece", "rep").alias("owner")).where(many)
+    firsts = materialize(firsts.select("hash", "first", "owner"), "windows")
+
+    shards = firsts.count() // SHARD_WINDOWS + 1
+    shard_of = lambda c: F.pmod(F.xxhash64(c), F.lit(shards)).cast("int")
+    visits = pairs.join(firsts, "hash").where("rep > first").select("piece", shard_of("owner").alias("shard")).distinct()
+    known = visits.select("piece", "shard", F.lit(None).cast("long").alias("hash")).unionByName(firsts.select(F.col("owner").alias("piece"), F.lit(None).cast("int").alias("shard"), "hash"))
+    size = pieces.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    group = lambda name: F.pmod(F.xxhash64("piece", F.lit(1)), F.lit(int(size // GROUP_BYTES) + 1)).alias(name)
+    left, right = known.select(group("of_group"), "piece", "shard", "hash"), pieces.select(group("in_group"), "piece", "rep", "th", "at", shard_of("piece").alias("own"), "text")
+    dealt = left.groupBy("of_group").cogroup(right.groupBy("in_group")).applyInArrow(_deal(window, phrase), "shard int, rep long, th long, at long, passage boolean, text string")
+    dealt = materialize(dealt, "dealt")
     remove(firsts)
-    dealt = rows.select(shard, "doc_id", "text")
-    return later.groupBy("shard").cogroup(dealt.groupBy("shard")).applyInArrow(_remove(window, phrase), "doc_id long, n_words long, n_removed long, kept string")
+    remove(pieces)
+
+    parts = dealt.where("NOT passage").groupBy("shard").agg((F.floor(F.sum(F.octet_length("text")) / STREAM_BYTES) + 1).cast("int").alias("parts"))
+    spread = dealt.join(materialize(parts, "parts"), "shard")  # a row a shard
+    part = F.when(F.col("passage"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("th", "at"), F.col("parts")).cast("int")))
+    streamed = spread.withColumn("part", F.explode(part)).groupBy("shard", "part").applyInArrow(_stream(window), "th long, first long, last long")
+    spans = materialize(streamed, "spans").groupBy("th").agg(F.collect_list("first").alias("first"), F.collect_list("last").alias("last"))  # as many as a text's words
+    marks = materialize(spans.join(copies, "th", "full"), "marks")
+    remove(dealt)
+
+    marked = heavy_split_join(rows, marks, "th", copies.select("th", "n"), rows.count())
+    own = F.when(F.col("rep").isNotNull(), F.col("rep")).when(F.col("first").isNotNull(), F.col("doc_id"))
+    return marked.select("doc_id", "text", own.alias("rep"), "first", "last").mapInArrow(_finish(window), "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
