@@ -165,9 +165,11 @@ def test_simhash(spark, odd):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted({d for d, _, c in want if d == c} | {0})
 
 
-@pytest.mark.parametrize("blocks,tile", [(None, 2048), (6, 2048), (4, 2048), (5, 16)])
-def test_vantage_forest_finds_all_links(spark, monkeypatch, blocks, tile):
+@pytest.mark.parametrize("blocks,tile,leaf", [(None, 4096, 64), (6, 4096, 2), (4, 4096, 8), (5, 4, 3), (4, 16, 3), (4, 60, 2)])
+def test_vantage_trees_find_all_links(spark, monkeypatch, blocks, tile, leaf):
     monkeypatch.setattr(simhash, "TILE", tile)
+    monkeypatch.setattr(simhash, "LEAF", leaf)
+    monkeypatch.setattr(simhash, "GROUP", 100)
     rng = random.Random(3)
     values = [rng.getrandbits(64) for _ in range(150)]
     for _ in range(200):  # chains of near values
@@ -182,6 +184,26 @@ def test_vantage_forest_finds_all_links(spark, monkeypatch, blocks, tile):
     assert [got.get(i, i) for i in range(len(values))] == near_roots(values)
 
 
+def test_vantage_trees_prune():
+    rng = np.random.default_rng(1)
+    spread = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    centres = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    near = np.unique(np.repeat(centres, 100) ^ (np.uint64(1) << rng.integers(0, 63, 4000, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 63, 4000, dtype=np.uint64)))
+    for fp, most in ((spread, 0.55), (near, 0.45)):  # measured: 0.48 and 0.43 of all pairs
+        tree = simhash.VantageTree(fp, 4)
+        root = tree.link().root
+        assert tree.compared < most * len(fp) * (len(fp) - 1) / 2
+        sample = rng.choice(len(fp), 60)
+        close = np.bitwise_count(fp[sample, None] ^ fp[None]) <= 4
+        assert all((root[np.flatnonzero(row)] == root[i]).all() for i, row in zip(sample, close))
+
+
+def test_components_with_a_hub(spark):
+    links = spark.range(1, 5000).select(F.lit(0).cast("long").alias("low"), F.col("id").alias("high")).union(spark.range(5000, 5010).select((F.col("id") - 4000).alias("low"), F.col("id").alias("high")))
+    found = components(links).collect()
+    assert {r.root for r in found} == {0} and len(found) == 5009
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.range(300).select(F.col("id").alias("low"), (F.col("id") + 1).alias("high"))
     assert {r.root for r in components(links).collect()} == {0}

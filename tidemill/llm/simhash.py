@@ -3,20 +3,19 @@
 from __future__ import annotations
 
 import itertools
-import math
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidemill.llm.common import documents, heavy_split_join, materialize
 from tidemill.llm.graph import Forest, components
 from tidemill.llm.textvec import NOT_SPACE, LOWER, Words, slices
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
-#: Fingerprints that a leaf should hold, and those above which it is compared in tiles of so many by so many.
-LEAF, TILE = 256, 2048
+#: Fingerprints of a tree's leaf, those above which a cell is dealt into shards, and those of a task's cells together.
+LEAF, TILE, GROUP = 64, 4096, 1 << 15
 #: Fingerprints compared at once within a task: BLOCK x BLOCK distances.
 BLOCK = 1024
 
@@ -67,110 +66,146 @@ def _fingerprint(shingle: int):
     return run
 
 
-class VantageForest:
-    """Vantage-point trees over 64-bit fingerprints, in which any two within `distance` share a leaf of some tree.
+def block_masks(n: int, distance: int = DISTANCE, blocks: int | None = None) -> list[int]:
+    """Masks of bits, of which any two fingerprints within `distance` agree on all bits of one at least.
 
-    Random fingerprints lie 32 +- 4 bits from any vantage point, so a triangle bound of 4 over all 64 bits prunes next to
-    nothing: half of each level's shards overlap a query. The bits are therefore cut into `blocks`, and each tree measures
-    Hamming distance over one choice of all but `distance` blocks (a pseudo-metric, for which the triangle bound holds).
-    Two fingerprints within `distance` agree on all blocks of one choice, so in that tree the bound is 0 instead of 4.
-    With fewer blocks (split=False) each tree has one block and the bound is distance // blocks.
-
-    Level j of a tree has a vantage point v_j and a child for each distance to it. A query descends only into the children
-    whose distance differs from its own by the bound at most; those are its boundary-overlapping shards. Vantage points
-    are pseudo-random, so a tree needs no sample, and each row finds its own leaves.
+    The 64 bits are cut into blocks; a mask is a choice of all but `distance` of them, as that many blocks can differ. There
+    are as few masks as keep cells of random fingerprints at a few thousand. No more blocks than distance: one empty mask.
+    """
+    if blocks is None:
+        blocks = next(b for b in range(distance + 1, distance + 6) if b == distance + 5 or n / 2 ** (64 * (b - distance) / b) <= TILE)
+    edges = np.linspace(0, 64, blocks + 1).round().astype(int)
+    parts = [sum(1 << i for i in range(a, b)) for a, b in zip(edges, edges[1:])]
+    return [sum(c) for c in itertools.combinations(parts, max(blocks - distance, 0))]
+
+
+class VantageTree:
+    """Links within `distance` among some fingerprints, by a vantage-point tree over them.
+
+    A node's vantage point is one of its fingerprints. The median distance from it is the node's radius: those within make
+    one branch, those beyond the other. By the triangle inequality two fingerprints can be within `distance` of each other
+    only if their distances from the vantage point differ by no more, so across the radius each ring is compared only with
+    the rings that near, and all else between the branches is pruned. All within `distance` of the vantage point are linked
+    to it, and branches that are linked as a whole are compared no further: only components matter. `compared` counts the
+    distances taken.
     """
 
-    def __init__(self, n: int, distance: int = DISTANCE, blocks: int | None = None, leaf: int = LEAF):
-        if blocks is None:  # as few trees as keep leaves at a few thousand fingerprints
-            blocks = next(b for b in range(distance + 1, distance + 6) if b == distance + 5 or n / 2 ** (64 * (b - distance) / b) <= 4096)
-        edges = np.linspace(0, 64, blocks + 1).round().astype(int)
-        parts = [sum(1 << i for i in range(a, b)) for a, b in zip(edges, edges[1:])]
-        agree = blocks - distance
-        self.bound = 0 if agree > 0 else distance // blocks
-        self.masks = [sum(c) for c in itertools.combinations(parts, max(agree, 1))]
-        rng, self.trees = np.random.default_rng(64), []
-        for mask in self.masks:
-            width = mask.bit_count()
-            same = sum(math.comb(width, d) ** 2 for d in range(width + 1)) / 4**width  # chance that two have one distance
-            levels = min(width + 1, max(1, math.ceil(math.log(max(n, 2) / leaf) / -math.log(same)))) if self.bound == 0 else 2
-            self.trees.append((np.uint64(mask), rng.integers(0, 1 << 63, levels, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, levels, dtype=np.uint64)))
-
-    def leaves(self, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(row, tree, leaf, home) for each leaf that each row must be compared in; home: it belongs to that leaf."""
-        out = []
-        for t, (mask, points) in enumerate(self.trees):
-            row, leaf, home = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool)
-            for v in points:
-                d = np.bitwise_count((fp[row] ^ v) & mask).astype(np.int64)
-                if self.bound:
-                    shift = np.arange(-self.bound, self.bound + 1)
-                    row, leaf, home = np.repeat(row, len(shift)), np.repeat(leaf, len(shift)), np.repeat(home, len(shift))
-                    d = (d[:, None] + shift).ravel()
-                    home = home & np.tile(shift == 0, len(d) // len(shift))
-                leaf = leaf * 67 + d + 1  # wraps for deep trees: a shared leaf number only costs comparisons
-            out.append((row, np.full(len(row), t, np.int32), leaf, home))
-        return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def _leaves(forest: VantageForest):
-    def run(batches):
-        for batch in batches:
-            for a in range(0, batch.num_rows, 20_000):
-                part = batch.slice(a, 20_000)
-                fp, first = part.column(0).to_numpy(zero_copy_only=False).view(np.uint64), part.column(1)
-                row, tree, leaf, home = forest.leaves(fp)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(tree), pa.array(leaf), pa.array(fp[row].view(np.int64)), first.take(pa.array(row)), pa.array(home)], names=["tree", "leaf", "fp", "first", "home"]
-                )
-
-    return run
+    def __init__(self, fp: np.ndarray, distance: int, home: np.ndarray | None = None, side: np.ndarray | None = None):
+        self.fp, self.distance, self.home, self.side = fp, distance, home, side
+        self.forest, self.compared = Forest(len(fp)), 0
+
+    def link(self) -> Forest:
+        stack = [np.arange(len(self.fp))]
+        while stack:
+            node = stack.pop()
+            if len(node) <= LEAF:
+                self._compare(node, node)
+                continue
+            far = np.bitwise_count(self.fp[node] ^ self.fp[node[0]]).astype(np.int64)
+            self.compared += len(node)
+            near = node[far <= self.distance]
+            self.forest.link(np.full(len(near), node[0]), near)
+            if far.max() <= self.distance:
+                continue
+            radius = int(np.partition(far, len(far) // 2)[len(far) // 2])
+            radius = radius if radius < far.max() else radius - 1
+            inner, outer = node[far <= radius], node[far > radius]
+            if min(len(inner), len(outer)) * 16 < len(node):  # nearly all in one ring: the tree would be a list
+                self._compare(node, node)
+                continue
+            stack += [inner, outer]
+            for ring in range(radius + 1, radius + self.distance + 1):
+                self._compare(node[(far <= radius) & (far >= ring - self.distance)], node[far == ring])
+        return self.forest
+
+    def _compare(self, a: np.ndarray, b: np.ndarray) -> None:
+        root = self.forest.root
+        if not len(a) or not len(b) or (root[a] == root[a[0]]).all() and (root[b] == root[a[0]]).all():
+            return
+        for i in range(0, len(a), BLOCK):
+            for j in range(i if a is b else 0, len(b), BLOCK):
+                x, y = a[i : i + BLOCK], b[j : j + BLOCK]
+                near = np.bitwise_count(self.fp[x, None] ^ self.fp[None, y]) <= self.distance
+                self.compared += near.size if a is not b or i != j else len(x) * (len(x) - 1) // 2
+                p, q = np.nonzero(near)
+                p, q = x[p], y[q]
+                keep = p != q
+                if self.home is not None:
+                    keep &= self.home[p] | self.home[q]
+                if self.side is not None:
+                    keep &= self.side[p] != self.side[q]
+                self.forest.link(p[keep], q[keep])
 
 
 def _pairs(distance: int):
-    def run(key, table):
-        fp, inverse = np.unique(table["fp"].to_numpy().view(np.uint64), return_inverse=True)
-        first = np.full(len(fp), np.iinfo(np.int64).max)
-        np.minimum.at(first, inverse, table["first"].fill_null(np.iinfo(np.int64).max).to_numpy())
-        home, side = np.zeros(len(fp), bool), np.zeros(len(fp), np.int64)
-        np.logical_or.at(home, inverse, table["home"].to_numpy(zero_copy_only=False))
-        side[inverse] = table["part"].to_numpy()
-        order = np.lexsort((fp, first))  # a forest's roots are then the smallest documents
-        fp, first, home, side = fp[order], first[order], home[order], side[order]
-        forest, across = Forest(len(fp)), key[2].as_py() != key[3].as_py()
-        for i in range(0, len(fp), BLOCK):
-            for j in range(i, len(fp), BLOCK):
-                near = np.bitwise_count(fp[i : i + BLOCK, None] ^ fp[None, j : j + BLOCK]) <= distance
-                a, b = np.nonzero(near)
-                a, b = a + i, b + j
-                keep = (a < b) & (home[a] | home[b])
-                if across:  # each part alone is another tile's
-                    keep &= side[a] != side[b]
-                if keep.any():
-                    forest.link(a[keep], b[keep])
-        low, high = forest.links()
+    """Spanning forests of the links in each cell of a group of cells."""
+
+    def run(table):
+        fp, first = table["fp"].to_numpy().view(np.uint64), table["first"].fill_null(np.iinfo(np.int64).max).to_numpy()
+        keys = [table[c].to_numpy() for c in ("mask", "key", "band", "tile_a", "tile_b")]
+        order = np.lexsort((fp, first, *keys[::-1]))  # a forest's roots are then the smallest documents
+        fp, first, keys = fp[order], first[order], [k[order] for k in keys]
+        home, part = table["home"].to_numpy()[order], table["part"].to_numpy()[order]
+        new = np.ones(len(fp), bool)
+        new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+        at = np.append(np.flatnonzero(new), len(fp))
+        low, high = [], []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+            if b - a > 1:
+                across = keys[3][a] != keys[4][a]  # each part alone is another tile's
+                x, y = VantageTree(fp[a:b], distance, home[a:b] if not home[a:b].all() else None, part[a:b] if across else None).link().links()
+                low.append(x + a)
+                high.append(y + a)
+        low, high = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (low, high))
         names = ["low_first", "low_fp", "high_first", "high_fp"]
         return pa.Table.from_arrays([pa.array(x) for x in (first[low], fp[low].view(np.int64), first[high], fp[high].view(np.int64))], names=names)
 
     return run
 
 
+def _bands(crowded: DataFrame, distance: int) -> DataFrame:
+    """crowded (mask, key, fp, first, point) dealt into shards (band, tile) of the cell's vantage point, point.
+
+    A band is a range of distances from that point with some TILE fingerprints, or one distance. By the triangle bound a link
+    joins distances that differ by `distance` at most, so each band also gets the rows of lower bands that lie so near to its
+    lower boundary; they are not at home there. A band that is crowded all the same is dealt into tiles, part against part.
+    """
+    cell = ["mask", "key"]
+    crowded = crowded.withColumn("far", F.bit_count(F.col("fp").bitwiseXOR(F.col("point"))))
+    rings = crowded.groupBy(*cell, "far").agg(F.count(F.lit(1)).alias("c"))  # 65 a cell at most
+    before = F.sum("c").over(W.partitionBy(*cell).orderBy("far")) - F.col("c")
+    rings = materialize(rings.select(*cell, "far", "c", F.floor(before / TILE).cast("int").alias("own")), "rings")
+    bands = rings.groupBy(*cell, F.col("own").alias("band")).agg(F.min("far").alias("edge"))
+    reach = rings.join(bands, cell).where((F.col("band") == F.col("own")) | (F.col("band") > F.col("own")) & (F.col("edge") - F.col("far") <= distance))
+    reach = materialize(reach.select(*cell, "far", "c", "band", (F.col("band") == F.col("own")).alias("home")), "reach")
+    size = reach.groupBy(*cell, "band").agg(F.sum("c").alias("n"))
+    parts = F.when(F.col("n") > 2 * TILE, F.ceil(F.col("n") / F.lit(TILE // 2))).otherwise(F.lit(1)).cast("int")
+    dealt = crowded.join(reach.drop("c"), [*cell, "far"]).join(size.select(*cell, "band", parts.alias("parts")), [*cell, "band"])
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return dealt.select(*cell, "band", F.least("part", "other").alias("tile_a"), F.greatest("part", "other").alias("tile_b"), "part", "home", "fp", "first")
+
+
 def near_links(cells: DataFrame, n: int, distance: int = DISTANCE, blocks: int | None = None) -> DataFrame:
-    """Links (low, high) between distinct fingerprints of cells (fp, first): in each leaf, a spanning forest of all pairs
-    within `distance`, so no link between components is lost and no group is expanded into all its pairs.
+    """Links (low, high) between distinct fingerprints of cells (fp, first): a spanning forest of all pairs within `distance`
+    in each cell, so no link between components is lost and no group is expanded into all its pairs.
 
-    A leaf of over TILE fingerprints (a crowd of near copies) is dealt out in tiles, part against part, over many tasks.
+    Random fingerprints lie 32 +- 4 bits from any vantage point, where a triangle bound of 4 prunes about half of a branch at
+    most: that alone would not do for very many. So fingerprints are first dealt into the cells of block_masks(), a row for
+    each mask, and each cell has its own vantage-point tree. A cell of over TILE fingerprints (a crowd of near copies) is
+    dealt into shards by distance from a vantage point of its own, with boundary rows in all shards that they overlap.
     """
-    forest = VantageForest(n, distance, blocks)
-    placed = cells.select("fp", "first").mapInArrow(_leaves(forest), "tree int, leaf long, fp long, first long, home boolean")
-    crowded = placed.groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > TILE)
-    parts = F.coalesce(F.ceil(F.col("n") / F.lit(TILE // 2)), F.lit(1)).cast("int")
-    dealt = (
-        placed.join(crowded, ["tree", "leaf"], "left").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        .select("tree", "leaf", F.least("part", "other").alias("tile_a"), F.greatest("part", "other").alias("tile_b"), "fp", "first", "home", "part")
-    )
-    found = dealt.groupBy("tree", "leaf", "tile_a", "tile_b").applyInArrow(_pairs(distance), "low_first long, low_fp long, high_first long, high_fp long")
+    masks = block_masks(n, distance, blocks)
+    signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
+    choices = F.array(*[F.struct(F.lit(i).alias("mask"), F.col("fp").bitwiseAND(signed(m)).alias("key")) for i, m in enumerate(masks)])
+    placed = cells.select("fp", "first", F.explode(choices).alias("at")).select("at.mask", "at.key", "fp", "first")
+    crowd = placed.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("point")).where(F.col("n") > TILE)
+    crowd = materialize(crowd.select("mask", "key", "point"), "crowd")
+    zero = [F.lit(0).alias(c) for c in ("band", "tile_a", "tile_b", "part")]
+    dealt = placed.join(crowd, ["mask", "key"], "left_anti").select("mask", "key", *zero, F.lit(True).alias("home"), "fp", "first")
+    if not crowd.isEmpty():
+        dealt = dealt.unionByName(_bands(placed.join(crowd, ["mask", "key"]), distance))
+    group = F.pmod(F.xxhash64("mask", "key", "band", "tile_a", "tile_b"), F.lit(n * len(masks) // GROUP + 1))
+    found = dealt.withColumn("group", group).groupBy("group").applyInArrow(_pairs(distance), "low_first long, low_fp long, high_first long, high_fp long")
     node = lambda x: F.struct(F.col(f"{x}_first").alias("first"), F.col(f"{x}_fp").alias("fp"))
     return found.select(node("low").alias("low"), node("high").alias("high"))
 
