@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,45 +14,56 @@ from tidemill.llm.common import documents, materialize
 from tidemill.llm.textvec import ALNUM, Words, ngrams, per_document, slices
 
 WIDTH = 10
-#: Bytes of benchmark text whose windows one broadcast holds; a larger benchmark is scanned for in several shards.
-BROADCAST_BYTES = 16 << 20
-
-
-def window_table(texts: list[tuple[int | None, str]], width: int) -> dict:
-    """Windows of benchmark items by length: sorted hashes, and for each hash the windows' words and their items."""
-    by_length: dict[int, dict[int, dict[bytes, set]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
-    words = Words(pa.array([t for _, t in texts], pa.large_string()), ALNUM, fold=True)
-    hashes = words.hashes()
-    for d, (item, _) in enumerate(texts):
-        a, b = int(words.at[d]), int(words.at[d + 1])
-        k = min(width, b - a)
-        if k:
-            for i, h in enumerate(ngrams(hashes[a:b], k).tolist(), a):
-                by_length[k][h][words.bytes(i, i + k)].add(item)
-    return {k: (np.array(sorted(t), np.uint64), {h: {w: sorted(x for x in s if x is not None) for w, s in v.items()} for h, v in t.items()}) for k, t in by_length.items()}
-
-
-def _scan(table: dict):
-    """For each text, its words, and the verified hits: (text, first word, length, items)."""
-
+#: Bytes of benchmark text whose windows one broadcast holds, as a table of about seven times that; a larger benchmark is
+#: scanned for in several rounds.
+BROADCAST_BYTES = 4 << 20
+#: Words of a benchmark item that are taken as one; the parts of a longer one overlap by a window less a word.
+ITEM_WORDS = 1 << 16
+
+
+class Windows:
+    """The windows of some benchmark items: sorted hashes by length, and for each the window's words and item, as arrays."""
+
+    def __init__(self, items: pa.Array, texts: pa.Array, width: int):
+        words = Words(texts, ALNUM, fold=True)
+        self.text, place = words.spelled()
+        ids, hashes, self.tables = np.array(items.to_pylist(), object), words.hashes(), {}
+        doc, length = words.doc(), words.end - words.start
+        for k in sorted({min(width, n) for n in words.counts.tolist()} - {0}):
+            whole = np.repeat((words.counts == k) | ((k == width) & (words.counts > width)), words.counts)
+            at = np.flatnonzero(words.fits(k) & whole)
+            h = ngrams(hashes, k)[at]
+            order = np.argsort(h, kind="stable")
+            at, h = at[order], h[order]
+            self.tables[k] = (h, place[at], place[at + k - 1] + length[at + k - 1], ids[doc[at]])
+
+    def hits(self, words: Words, hashes: np.ndarray) -> list[tuple[int, int, int, set]]:
+        """Verified occurrences in some texts: (text, first word, words, items)."""
+        out, doc = [], words.doc()
+        for k, (keys, start, end, items) in self.tables.items():
+            grams = ngrams(hashes, k)
+            lo = np.searchsorted(keys, grams)
+            for i in np.flatnonzero((keys[np.minimum(lo, len(keys) - 1)] == grams) & words.fits(k)[: len(grams)]).tolist():
+                seen, found, same = words.bytes(i, i + k), set(), False
+                for j in range(int(lo[i]), int(np.searchsorted(keys, grams[i], "right"))):
+                    if self.text[start[j] : end[j]] == seen:
+                        same = True
+                        found.add(items[j])
+                if same:
+                    out.append((int(doc[i]), i, k, found - {None}))
+        return out
+
+
+def _scan(windows: Windows):
     def run(column):
         words = Words(column, ALNUM, fold=True)
-        hashes, hits = words.hashes(), []
-        doc = words.doc()
-        for k, (keys, windows) in table.items():
-            grams = ngrams(hashes, k)
-            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
-            for i in np.flatnonzero((keys[at] == grams) & words.fits(k)[: len(grams)]).tolist():
-                found = windows[int(grams[i])].get(words.bytes(i, i + k))
-                if found is not None:
-                    hits.append((int(doc[i]), i, k, found))
-        return words, hits
+        return words, windows.hits(words, words.hashes())
 
     return run
 
 
-def _report(table: dict):
-    scan = _scan(table)
+def _report(windows: Windows):
+    scan = _scan(windows)
 
     def run(batches):
         for batch in batches:
@@ -84,13 +96,43 @@ def _report(table: dict):
     return run
 
 
-def _tables(bench: DataFrame, width: int, item_col: str, text_col: str) -> list[dict]:
-    """Window tables of the benchmark, each from BROADCAST_BYTES of text or one item."""
+def _parts(width: int):
+    """Items of over ITEM_WORDS words in parts that hold all their windows; null texts are left out."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                words, items, texts = Words(batch.column(1).slice(a, b - a), ALNUM, fold=True), [], []
+                for d, item in enumerate(batch.column(0).slice(a, b - a).to_pylist()):
+                    first, last = int(words.at[d]), int(words.at[d + 1])
+                    for i in range(first, max(last - width + 1, first + 1) if last > first else first, ITEM_WORDS):
+                        items.append(item)
+                        texts.append(words.bytes(i, min(i + ITEM_WORDS + width - 1, last)))
+                yield pa.RecordBatch.from_arrays([pa.array(items, pa.int64()), pa.array(texts, pa.binary()).cast(pa.string())], names=["item", "text"])
+
+    return run
+
+
+def _build(width: int):
+    def run(table):
+        windows = Windows(table["item"].combine_chunks(), table["text"].combine_chunks(), width)
+        return pa.table({"shard": table["shard"].slice(0, 1), "windows": pa.array([pickle.dumps((windows.text, windows.tables))], pa.binary())})
+
+    return run
+
+
+def _shards(bench: DataFrame, width: int, item_col: str, text_col: str) -> Iterator[tuple[Windows, int]]:
+    """The benchmark's windows, BROADCAST_BYTES of text at a time, and the number of such shards. Executors build them; the driver holds one at a time."""
     items = bench.select(F.col(item_col).cast("long").alias("item"), F.col(text_col).cast("string").alias("text")).where("text IS NOT NULL")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = int(-(-size // BROADCAST_BYTES)) or 1
-    shard = F.pmod(F.xxhash64("text"), F.lit(shards))
-    return [window_table([tuple(r) for r in items.where(shard == k).collect()], width) for k in range(shards)]
+    parts = materialize(items.mapInArrow(_parts(width), "item long, text string").distinct(), "items")
+    size = parts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    count = int(-(-size // BROADCAST_BYTES)) or 1
+    shard = F.pmod(F.xxhash64("item", "text"), F.lit(count)).cast("int").alias("shard")
+    built = materialize(parts.select(shard, "item", "text").groupBy("shard").applyInArrow(_build(width), "shard int, windows binary"), "windows")
+    for k in range(count):
+        windows, found = Windows.__new__(Windows), built.where(F.col("shard") == k).first()
+        windows.text, windows.tables = pickle.loads(found["windows"]) if found else (b"", {})
+        yield windows, count
 
 
 def benchmark_hits(docs: DataFrame, bench: DataFrame, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id") -> DataFrame:
@@ -99,50 +141,50 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, width: int = WIDTH, id_col
 
     Words are runs of digits, ASCII letters (A-Z lower-cased) and non-ASCII characters. A window is width consecutive item
     words, or a shorter item as a whole; a document word inside any occurrence is hit. Only the benchmark is broadcast,
-    BROADCAST_BYTES of its text at a time; documents are scanned where they are read, without a shuffle. A larger
-    benchmark takes one scan a shard, and the shards' few hits meet by row; runs of several shards may then overlap.
+    BROADCAST_BYTES of its text at a time, as tables that executors build; documents are scanned where they are read, without
+    a shuffle. A larger benchmark takes one scan a shard, and the shards' hits meet by row; their runs may then overlap.
 
     Null texts have no words; an item with a null id marks words but is no item; repeated items count once, repeated
     documents each get a row; an empty benchmark hits nothing; other columns are ignored.
     """
-    tables = _tables(bench, width, item_col, text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "row long, n_words long, n_hit long, items array<long>, runs array<struct<first:long,last:long,start:long,end:long>>"
-    if len(tables) == 1:
-        return rows.select("doc_id", "text").mapInArrow(_report(tables[0]), schema).withColumnRenamed("row", "doc_id")
-    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    texts = rows.select("row", "text")
-    found = reduce(DataFrame.unionByName, [texts.mapInArrow(_report(t), schema) for t in tables])
+    found = None
+    for windows, count in _shards(bench, width, item_col, text_col):
+        if count == 1:
+            return rows.select("doc_id", "text").mapInArrow(_report(windows), schema).withColumnRenamed("row", "doc_id")
+        if found is None:  # the first round's report has all rows, with their words
+            rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+            found = materialize(rows.select("row", "text").mapInArrow(_report(windows), schema), "hits")
+        else:
+            found = found.unionByName(materialize(rows.select("row", "text").mapInArrow(_report(windows), schema).where("n_hit > 0"), "hits"))
     runs = F.array_sort(F.flatten(F.collect_list("runs")))  # as many as the shards and the text's hits
     merged = found.groupBy("row").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), runs.alias("runs"))
     n_hit = F.expr("aggregate(runs, struct(0L AS n, 0L AS reach), (a, r) -> struct(a.n + greatest(0L, r.last - greatest(r.first, a.reach)) AS n, greatest(a.reach, r.last) AS reach), a -> a.n)")
     return rows.select("row", "doc_id").join(merged, "row").select("doc_id", "n_words", n_hit.alias("n_hit"), "items", "runs")
 
 
-def _without(tables: list[dict]):
-    scans = [_scan(t) for t in tables]
+def _without(windows: Windows):
+    scan = _scan(windows)
 
     def run(batches):
         for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
-            keep = []
+            column, dirty = batch.column(batch.schema.get_field_index("text")), set()
             for a, b in slices(column):
-                for scan in scans:
-                    words, hits = scan(column.slice(a, b - a))
-                    keep.append((a, words.n, {h[0] for h in hits}))
-            dirty = {a + d for a, _, found in keep for d in found}
+                dirty.update(a + h[0] for h in scan(column.slice(a, b - a))[1])
             yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in dirty], pa.int64())) if dirty else batch
 
     return run
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, width: int = WIDTH, item_col: str = "item_id") -> DataFrame:
-    """The documents without any occurrence of a window, all their columns unchanged, in one pass without a shuffle.
-    Cases as in benchmark_hits(); null texts stay."""
-    tables = _tables(bench, width, item_col, "text")
-    if len(tables) == 1:
-        return docs.mapInArrow(_without(tables), docs.schema)
-    return reduce(lambda d, t: d.mapInArrow(_without([t]), docs.schema), tables, docs)
+    """The documents without any occurrence of a window, all their columns unchanged, without a shuffle: in one pass, or one
+    a round of a larger benchmark. Cases as in benchmark_hits(); null texts stay."""
+    for windows, count in _shards(bench, width, item_col, "text"):
+        docs = docs.mapInArrow(_without(windows), docs.schema)
+        if count > 1:
+            docs = materialize(docs, "clean")
+    return docs
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidemill.llm.common import documents, heavy_split_join, materialize
 from tidemill.llm.graph import Forest, components
-from tidemill.llm.textvec import NOT_SPACE, LOWER, Words, slices
+from tidemill.llm.textvec import NOT_SPACE, Words, slices
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 #: Fingerprints of a tree's leaf, those above which a cell is dealt into shards, and those of a task's cells together.
@@ -26,11 +26,7 @@ def fingerprints(column: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     out = np.zeros(words.n, np.uint64)
     if not len(words.start):
         return out
-    length = words.end - words.start + 1
-    place = np.concatenate([[0], np.cumsum(length)])
-    joined = LOWER[words.data[np.minimum(np.arange(place[-1]) + np.repeat(words.start - place[:-1], length), len(words.data) - 1)]]
-    joined[place[1:] - 1] = 0x20
-    joined = joined.tobytes()
+    joined, place = words.spelled()
     last = np.minimum(np.arange(len(words.start)) + shingle, np.repeat(words.at[1:], words.counts))  # past a shingle's words
     short = np.repeat(words.counts < shingle, words.counts)
     first = np.zeros(len(words.start), bool)

@@ -106,6 +106,16 @@ class Words:
         return b" ".join(data[s - base : e - base].tobytes() for s, e in zip(self.start[i:j], self.end[i:j]))
 
 
+    def spelled(self) -> tuple[bytes, np.ndarray]:
+        """All words, a space after each, and where each starts; at the end, where the next would."""
+        length = self.end - self.start + 1
+        place = np.concatenate([[0], np.cumsum(length)])
+        out = self.data[np.minimum(np.arange(place[-1]) + np.repeat(self.start - place[:-1], length), max(len(self.data) - 1, 0))] if len(length) else np.zeros(0, np.uint8)
+        out = LOWER[out] if self.fold else out
+        out[place[1:] - 1] = 0x20
+        return out.tobytes(), place
+
+
 def ngrams(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of words i to i + k - 1 at each i, without regard to documents; len(words) - k + 1 of them."""
     n = len(words) - k + 1
