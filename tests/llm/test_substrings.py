@@ -71,10 +71,31 @@ def test_against_brute_force(spark, monkeypatch, seed):
     monkeypatch.setattr(substrings, "AUTOMATON_WINDOWS", [1 << 16, 10, 50][seed])
     monkeypatch.setattr(substrings, "STREAM_BYTES", [4 << 20, 2000, 500][seed])
     monkeypatch.setattr(substrings, "GROUP_BYTES", [2 << 20, 3000, 1000][seed])
+    monkeypatch.setattr(substrings, "SEED_PLACES", [32, 1, 2][seed])
     rows = made(random.Random(seed))
     assert found(spark, rows) == slow(rows)
 
 
+@pytest.mark.parametrize("places", [32, 1, 0])
+def test_located_ranges(monkeypatch, places):
+    """Texts of few words, with many seeds in many places, against all windows."""
+    monkeypatch.setattr(substrings, "SEED_PLACES", places)
+    rng = random.Random(places)
+    for _ in range(150):
+        window, letters = rng.choice([2, 3, 5, 13]), rng.choice(["ab", "abcd"])
+        make = lambda n: [rng.choice(letters) for _ in range(n)]
+        passages = [(rng.randrange(6), make(rng.randint(window, 4 * window))) for _ in range(rng.randint(1, 8))]
+        text = make(60) + rng.choice(passages)[1] + make(5)
+        own = rng.randrange(7)
+        known = {tuple(w[i : i + window]) for rep, w in passages if rep < own for i in range(len(w) - window + 1)}
+        want = {j for i in range(len(text) - window + 1) if tuple(text[i : i + window]) in known for j in range(i, i + window)}
+        got = set()
+        for letter, automaton in substrings._automata([(rep, " ".join(w)) for rep, w in passages], window):
+            for a, b in substrings._located("".join(letter.get(w, "\0") for w in text), automaton, own, window):
+                got.update(range(a, b))
+        assert got == want
+
+
 def test_the_automata_give_the_result(spark, monkeypatch):
     """Without what the automata find, only whole copies are known."""
     rows = made(random.Random(9))

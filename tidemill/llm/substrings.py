@@ -18,6 +18,8 @@ PIECE = 512
 SKETCH_LEAST, SKETCH_BITS, SKETCH_PER = 1 << 20, 1 << 28, 32
 #: Passage windows of a shard and of an automaton, and bytes of text that a task streams through its shard's automata.
 SHARD_WINDOWS, AUTOMATON_WINDOWS, STREAM_BYTES = 1 << 15, 1 << 16, 4 << 20
+#: Places of a seed in an automaton's passages beyond which whole windows are its patterns instead.
+SEED_PLACES = 32
 #: Bytes of text whose windows are looked up by one task.
 GROUP_BYTES = 2 << 20
 
@@ -38,7 +40,8 @@ def _cut(window: int, size: int):
                 k = np.arange(len(doc)) - np.repeat(np.cumsum(number) - number, number)
                 first = words.at[doc] + k * size
                 last = np.minimum(first + size + window - 1, words.at[doc + 1])
-                texts = [words.bytes(i, j) for i, j in zip(first.tolist(), last.tolist())]
+                spelled, place = words.spelled()
+                texts = [spelled[i : j - 1] for i, j in zip(place[first].tolist(), place[last].tolist())]
                 th, rep = (batch.column(c).slice(a, b - a).to_numpy()[doc] for c in (0, 1))
                 piece = mix(th.view(np.uint64) + mix(k.astype(np.uint64) + np.uint64(1)))
                 yield pa.RecordBatch.from_arrays(
@@ -125,7 +128,8 @@ def _deal(window: int, phrase: int):
                 if len(hit):  # windows in a row make one passage
                     cut = np.flatnonzero((np.diff(at[hit]) != 1) | (np.diff(doc[hit]) != 0)) + 1
                     first, last = hit[np.concatenate([[0], cut])], hit[np.concatenate([cut - 1, [len(hit) - 1]])]
-                    texts = [words.bytes(i, j + window) for i, j in zip(at[first].tolist(), at[last].tolist())]
+                    spelled, place = words.spelled()
+                    texts = [spelled[i : j - 1] for i, j in zip(place[at[first]].tolist(), place[at[last] + window].tolist())]
                     d = doc[first] + a
                     columns = [own[d], rep[d], np.zeros(len(d), np.int64), np.zeros(len(d), np.int64), np.ones(len(d), bool)]
                     out.append(pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(texts, pa.binary()).cast(pa.string())], schema=DEALT))
@@ -146,53 +150,87 @@ SPANS = pa.schema([("th", pa.int64()), ("first", pa.int64()), ("last", pa.int64(
 
 
 def _automata(passages: list[tuple[int, str]], window: int):
-    """Automata of AUTOMATON_WINDOWS windows each: (letter of each word, automaton). A word is a letter, exactly, and a window
-    is a string of letters; its value is the smallest id of a text that holds it."""
+    """Automata of AUTOMATON_WINDOWS windows each: (letter of each word, automaton). A word is a letter, exactly.
+
+    Patterns are seeds: the words at every `step`-th place of a passage, of such length that each window holds one whole. A
+    seed's value is a list of (passage's id, its letters, place). A seed of over SEED_PLACES places (a phrase in very many
+    contexts) is left out; the windows around its places are patterns of their own then, of value (least id,).
+    """
     import ahocorasick
 
-    passages = sorted(passages)  # the smallest id comes first and stays
+    step, passages = (window + 1) // 2, sorted(passages)  # the smallest id comes first and stays
     k = 0
     while k < len(passages):
-        letters, automaton, windows = {}, ahocorasick.Automaton(), 0
+        letters, seeds, windows = {}, {}, 0
         while k < len(passages) and windows < AUTOMATON_WINDOWS:
             rep, text = passages[k]
             for w in (words := text.split(" ")):
                 if w not in letters:
                     letters[w] = chr(len(letters) + 1 + 0x800 * (len(letters) + 1 >= 0xD800))  # not a surrogate
             spelled = "".join([letters[w] for w in words])
-            for i in range(len(words) - window + 1):
-                if (seen := spelled[i : i + window]) not in automaton:
-                    automaton.add_word(seen, rep)
+            for i in range(0, len(words) - window + step, step):
+                seeds.setdefault(spelled[i : i + window - step + 1], []).append((rep, spelled, i))
             windows += len(words) - window + 1
             k += 1
+        automaton = ahocorasick.Automaton()
+        for seed, places in seeds.items():
+            if len(places) <= SEED_PLACES:
+                automaton.add_word(seed, places)
+            else:
+                for rep, spelled, i in places:
+                    for j in range(max(i - step + 1, 0), min(i, len(spelled) - window) + 1):
+                        whole = spelled[j : j + window]
+                        automaton.add_word(whole, min((rep,), automaton.get(whole, (rep,))))
         automaton.make_automaton()
         yield letters, automaton
 
 
+def _run(a: str, i: int, b: str, j: int) -> int:
+    """Letters that a from i on and b from j on have in common."""
+    n, most = 0, min(len(a) - i, len(b) - j)
+    while n < most and a[i + n : i + min(n + 64, most)] == b[j + n : j + min(n + 64, most)]:
+        n = min(n + 64, most)
+    while n < most and a[i + n] == b[j + n]:
+        n += 1
+    return n
+
+
+def _located(text: str, automaton, own: int, window: int):
+    """Ranges [first, last) of a text that windows of passages of smaller ids cover; they may overlap. A seed's occurrence is
+    extended as far as passage and text agree; later seeds within the same run are not."""
+    step, reach = (window + 1) // 2, {}
+    length = window - step + 1
+    for end, found in automaton.iter(text):
+        if type(found) is tuple:
+            if found[0] < own:
+                yield end + 1 - window, end + 1
+            continue
+        at = end + 1 - length
+        for rep, passage, place in found:
+            if rep >= own or reach.get((id(passage), at - place), -1) > end:
+                continue
+            back = 0
+            while back < at and back < place and text[at - back - 1] == passage[place - back - 1]:
+                back += 1
+            last = at + _run(text, at, passage, place)
+            reach[id(passage), at - place] = last
+            if last - at + back >= window:
+                yield at - back, last
+
+
 def _stream(window: int):
     """Spans [first, last) of words of the streamed texts that an earlier text's windows cover."""
 
     def run(table):
         passage = table["passage"].to_numpy()
-        ids, texts = table["rep"].to_numpy(), table["text"]
-        held = table.filter(pa.array(passage))
+        held, visits = table.filter(pa.array(passage)), table.filter(pa.array(~passage))
+        rep, th, at = (visits[c].to_pylist() for c in ("rep", "th", "at"))
+        words = [t.split(" ") for t in visits["text"].to_pylist()]
         spans: list[tuple[int, int, int]] = []
-        visits = np.flatnonzero(~passage)
-        rep, th, at = ids[visits].tolist(), table["th"].to_numpy()[visits].tolist(), table["at"].to_numpy()[visits].tolist()
-        words = [t.split(" ") for t in texts.take(pa.array(visits)).to_pylist()]
         for letters, automaton in _automata(list(zip(held["rep"].to_pylist(), held["text"].to_pylist())), window):
             letter = letters.get
             for own, text, start, parts in zip(rep, th, at, words):
-                first = last = -1
-                for end, earliest in automaton.iter("".join([letter(w, "\0") for w in parts])):
-                    if earliest < own:
-                        if end - window < last:  # goes on where the span so far ends, or within it
-                            last = end + 1
-                        else:
-                            if last > 0:
-                                spans.append((text, start + first, start + last))
-                            first, last = end + 1 - window, end + 1
-                if last > 0:
+                for first, last in _located("".join([letter(w, "\0") for w in parts]), automaton, own, window):
                     spans.append((text, start + first, start + last))
         columns = zip(*spans) if spans else ([], [], [])
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=SPANS)
@@ -237,9 +275,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE,
        make passages, which that piece gives out word for word. Its hash deals it to a shard of SHARD_WINDOWS on average.
     4. A piece that holds a recurring window later on is sent to the shard of the window's passage: so each text is streamed
        through the automata of all shards that have anything in common with it, and no others.
-    5. A shard's passages are compiled into automata whose letters are words, exactly, and whose patterns are the passages'
-       windows. They find all occurrences in the texts streamed through; hashes decide nothing here. A shard that many texts
-       meet (a very common passage) is dealt over tasks, each with the shard's automata and STREAM_BYTES of text.
+    5. A shard's passages are compiled into automata whose letters are words, exactly. Their patterns are seeds, of which each
+       window of a passage holds one; a seed found in a text streamed through is extended over all words that passage and
+       text share. They find all occurrences; hashes decide nothing here. A shard that many texts meet (a very common
+       passage) is dealt over tasks, each with the shard's automata and STREAM_BYTES of text.
     6. The spans found, merged by text, are taken out.
 
     Hashes are 64 bits of mixed words: a clash of two different recurring windows, of which n * n / 2**65 are expected among
