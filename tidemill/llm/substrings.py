@@ -230,8 +230,13 @@ def _stream(window: int):
         for letters, automaton in _automata(list(zip(held["rep"].to_pylist(), held["text"].to_pylist())), window):
             letter = letters.get
             for own, text, start, parts in zip(rep, th, at, words):
-                for first, last in _located("".join([letter(w, "\0") for w in parts]), automaton, own, window):
-                    spans.append((text, start + first, start + last))
+                reach = -1
+                for first, last in sorted(_located("".join([letter(w, "\0") for w in parts]), automaton, own, window)):
+                    if first <= reach:
+                        spans[-1] = (text, spans[-1][1], start + max(last, reach))
+                    else:
+                        spans.append((text, start + first, start + last))
+                    reach = max(last, reach)
         columns = zip(*spans) if spans else ([], [], [])
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=SPANS)
 
