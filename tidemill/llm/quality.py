@@ -15,6 +15,8 @@ from tidemill.llm.textvec import NOT_SPACE, P, Words, mix, ngrams, slices
 FIT_ROWS = 6000
 #: Hashed dimensions.
 WIDTH = 4096
+#: Bytes of text that a task works on at once: its arrays hold some hundred times that.
+SLICE = 1 << 18
 NOT_NEWLINE = np.ones(256, bool)
 NOT_NEWLINE[0x0A] = False
 #: Documents of at least this probability of low quality are rejected.
@@ -76,22 +78,29 @@ def posterior(v: np.ndarray, model: np.ndarray) -> np.ndarray:
 
 
 def _classes() -> np.ndarray:
-    c = np.full(256, 31, np.int64)  # other control bytes
+    c = np.full(256, 31, np.int32)  # other control bytes
     c[0x61:0x7B], c[0x41:0x5B], c[0x30:0x3A], c[0x80:] = 0, 1, 2, 3
     for k, mark in enumerate(" \n.,;:!?'\"()-/|#$%&*_+=@<>"):
         c[ord(mark)] = 4 + k
     return c
 
 
+CLASSES = _classes()
+#: Dimension of each trigram of byte classes.
+TRIGRAMS = (mix(np.arange(32768, dtype=np.uint64) * np.uint64(P)) % np.uint64(WIDTH)).astype(np.int32)
+
+
 def _again(values: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """For each value, the binary logarithm of its share of its document's values, downwards from 0."""
-    order = np.lexsort((values, doc))
-    v, d = values[order], doc[order]
-    new = np.ones(len(v), bool)
-    new[1:] = (v[1:] != v[:-1]) | (d[1:] != d[:-1])
-    at = np.flatnonzero(new)
-    count = np.empty(len(v), np.int64)
-    count[order] = np.repeat(np.diff(np.append(at, len(v))), np.diff(np.append(at, len(v))))
+    bits = np.uint64(16 if n <= 1 << 16 else int(n - 1).bit_length())
+    key = (doc.astype(np.uint64) << (np.uint64(64) - bits)) | (values >> bits)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    runs = np.diff(np.append(np.flatnonzero(new), len(key)))
+    count = np.empty(len(key), np.int64)
+    count[order] = np.repeat(runs, runs)
     return np.floor(np.log2(np.bincount(doc, minlength=n)[doc] / count)).astype(np.int64)
 
 
@@ -103,15 +112,18 @@ def hashed(column: pa.Array, once: bool = True) -> tuple[np.ndarray, np.ndarray,
     lines = Words(column, NOT_NEWLINE, fold=False)
     parts = []
 
+    def dims(kind: int, code: np.ndarray) -> np.ndarray:
+        return (mix(code.astype(np.uint64) * np.uint64(P) + np.uint64(kind)) % np.uint64(WIDTH)).astype(np.int64)
+
     def add(kind: int, code: np.ndarray, doc: np.ndarray, weight: float, size: np.ndarray) -> None:
-        dim = mix(code.astype(np.uint64) * np.uint64(P) + np.uint64(kind)) % np.uint64(WIDTH)
-        parts.append((doc, dim.astype(np.int64), np.full(len(doc), weight) / np.maximum(size, 1)[doc]))
+        parts.append((doc, dims(kind, code), (weight / np.maximum(size, 1))[doc]))
 
-    c, size = _classes()[whole.data], np.diff(whole.offsets)
-    at = np.repeat(np.arange(whole.n), size)
+    c, size = CLASSES[whole.data], np.diff(whole.offsets)
     if len(c) > 2:
-        same = np.flatnonzero(at[2:] == at[:-2])
-        add(0, ((c[:-2] * 32 + c[1:-1]) * 32 + c[2:])[same], at[same], 8.0, size)
+        at = np.repeat(np.arange(whole.n, dtype=np.int32), size)
+        same = at[2:] == at[:-2]
+        at = at[2:][same]
+        parts.append((at, TRIGRAMS[((c[:-2] * 32 + c[1:-1]) * 32 + c[2:])[same]], (8.0 / np.maximum(size, 1))[at]))
     h, doc = words.hashes(), words.doc()
     add(1, h, doc, 4.0, words.counts)
     if len(h) > 1:
@@ -130,7 +142,7 @@ def hashed(column: pa.Array, once: bool = True) -> tuple[np.ndarray, np.ndarray,
 
 def _count(batches):
     for batch in batches:
-        pattern = [_pattern(votes(quality(batch.column(0).slice(a, b - a)))) for a, b in slices(batch.column(0))]
+        pattern = [_pattern(votes(quality(batch.column(0).slice(a, b - a)))) for a, b in slices(batch.column(0), SLICE)]
         if pattern:
             kinds, n = np.unique(np.concatenate(pattern), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(kinds.astype(np.int64)), pa.array(n.astype(np.int64))], names=["pattern", "n"])
@@ -138,7 +150,7 @@ def _count(batches):
 
 def _sparse(batches):
     for batch in batches:
-        for a, b in slices(batch.column(1)):
+        for a, b in slices(batch.column(1), SLICE):
             part = batch.column(1).slice(a, b - a)
             doc, dim, value = hashed(part)
             place = pa.array(np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32))
@@ -161,7 +173,7 @@ def fit_scorer(doc: np.ndarray, dim: np.ndarray, value: np.ndarray, y: np.ndarra
 def _score(model: np.ndarray, w: np.ndarray):
     def run(batches):
         for batch in batches:
-            for a, b in slices(batch.column(1)):
+            for a, b in slices(batch.column(1), SLICE):
                 part = batch.column(1).slice(a, b - a)
                 v = votes(quality(part))
                 doc, dim, value = hashed(part, once=False)

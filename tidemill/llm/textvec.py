@@ -37,15 +37,15 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about SLICE bytes, one row at least."""
+def slices(column: pa.Array, size: int = SLICE) -> Iterator[tuple[int, int]]:
+    """Row ranges of about size bytes, one row at least."""
     n = len(column)
     if not n:
         return
     ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
     while a < n:
-        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE, "right"))
+        b = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + size, "right"))
         b = max(b, a + 1)
         yield a, b
         a = b
