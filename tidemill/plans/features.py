@@ -9,7 +9,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.operators.sequential import ewm_volatility
+from tidemill.operators.folds import ewm_volatility
 from tidemill.plans.dual import BARS, duck, run
 from tidemill.registry import query
 
@@ -63,7 +63,7 @@ vol AS (SELECT instrument, t, CASE WHEN i >= {SPAN} THEN greatest(sqrt(v), 1e-6)
 def _add(name: str, text: str) -> None:
     def build(spark: SparkSession, sf_dir: str) -> DataFrame:
         bars = run(spark, sf_dir, f"WITH {BARS} SELECT instrument, t, high, low, close FROM bars")
-        return spark.sql(text.replace("0.5", "0.5D"), bars=bars, vol=ewm_volatility(bars, "instrument", "t", "close", SPAN))
+        return spark.sql(text.replace("0.5", "0.5D"), bars=bars, vol=ewm_volatility(bars, "instrument", "t", "close", SPAN, 400 * 3600))
 
     query(name, _CHECK + re.sub(r"\{(\w+)\}", r"\1", text).removeprefix("WITH "))(build)
 

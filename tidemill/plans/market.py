@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import joins, sequential
+from tidemill.operators import folds, joins
 from tidemill.plans.dual import BARS, SERIES, dual, duck, run
 from tidemill.registry import query
 
@@ -69,13 +69,13 @@ def _asof_sql(direction: str) -> str:
 @query("d02_asof_backward", _asof_sql(">="))
 def d02(spark, sf_dir):
     left, right = (run(spark, sf_dir, _CLICKS % kind) for kind in ("click", "view"))
-    return joins.asof_join(left, right, "t", ["user_id"], ["value"]).select("event_id", "t", "asof_value")
+    return joins.asof_join(left, right, "t", ["user_id"], ["value"], width=86400).select("event_id", "t", "asof_value")
 
 
 @query("d08_asof_forward", _asof_sql("<="))
 def d08(spark, sf_dir):
     left, right = (run(spark, sf_dir, _CLICKS % kind) for kind in ("click", "view"))
-    return joins.asof_join(left, right, "t", ["user_id"], ["value"], "forward").select("event_id", "t", "asof_value")
+    return joins.asof_join(left, right, "t", ["user_id"], ["value"], "forward", width=86400).select("event_id", "t", "asof_value")
 
 
 @query("d09_range_join", duck("WITH e AS (SELECT event_id, user_id, event_type, value, @epoch(ts) AS t FROM {events}) SELECT a.event_id, count(*) AS n, round(sum(b.value), 6) AS total FROM e AS a JOIN e AS b ON a.user_id = b.user_id AND b.t >= a.t AND b.t < a.t + 86400 WHERE a.event_type = 'click' AND b.event_type = 'view' GROUP BY a.event_id"))
@@ -93,22 +93,49 @@ _BAR_ROWS = f"WITH {BARS} SELECT instrument, t, high, low, close FROM bars"
   v AS (SELECT instrument, t, i, r * r AS v FROM r WHERE i = 1 UNION ALL SELECT r.instrument, r.t, r.i, v.v * (1 - 2.0 / 25) + 2.0 / 25 * r.r * r.r FROM v JOIN r ON r.instrument = v.instrument AND r.i = v.i + 1)
   SELECT instrument, t, CASE WHEN i >= 24 THEN round(greatest(sqrt(v), 1e-6), 8) END AS sigma FROM v"""))
 def f06(spark, sf_dir):
-    return sequential.ewm_volatility(run(spark, sf_dir, _BAR_ROWS), "instrument", "t", "close", 24).withColumn("sigma", F.round("sigma", 8))
-
-
-@query("j01_confirmed_pivots")
+    return folds.ewm_volatility(run(spark, sf_dir, _BAR_ROWS), "instrument", "t", "close", 24, 400 * 3600).withColumn("sigma", F.round("sigma", 8))
+
+
+#: The state machine of A.5, a bar a step: s is the direction, hi and lo the running extremes, ht and lt their times.
+_PIVOT_STEP = """
+  SELECT b.instrument, b.i, b.t,
+    CASE WHEN c.s = 0 THEN CASE WHEN up >= 0.3 AND up >= down AND nlt < b.t THEN 1 WHEN down >= 0.3 AND nht < b.t THEN -1 ELSE 0 END
+         WHEN c.s = 1 THEN CASE WHEN b.high < c.hi AND b.low <= c.hi * (1 - 0.3) THEN -1 ELSE 1 END
+         ELSE CASE WHEN b.low > c.lo AND b.high >= c.lo * (1 + 0.3) THEN 1 ELSE -1 END END AS ns, c.s AS os, c.hi AS ohi, c.ht AS oht, c.lo AS olo, c.lt AS olt, nhi, nht, nlo, nlt, b.high, b.low
+  FROM c JOIN bars AS b ON b.instrument = c.instrument AND b.i = c.i + 1,
+  LATERAL (SELECT CASE WHEN b.high > c.hi THEN b.high ELSE c.hi END AS nhi, CASE WHEN b.high > c.hi THEN b.t ELSE c.ht END AS nht, CASE WHEN b.low < c.lo THEN b.low ELSE c.lo END AS nlo, CASE WHEN b.low < c.lo THEN b.t ELSE c.lt END AS nlt) AS e,
+  LATERAL (SELECT b.high / nlo - 1 AS up, 1 - b.low / nhi AS down) AS f"""
+
+
+@query("j01_confirmed_pivots", duck(f"""WITH RECURSIVE {BARS.replace("bars AS", "raw AS", 1)}, bars AS (SELECT instrument, t, high, low, row_number() OVER (PARTITION BY instrument ORDER BY t) AS i FROM raw),
+  c AS (SELECT instrument, i, t, 0 AS s, 0 AS os, high AS hi, t AS ht, low AS lo, t AS lt, high AS ohi, t AS oht, low AS olo, t AS olt FROM bars WHERE i = 1 UNION ALL
+    SELECT instrument, i, t, ns, os,
+      CASE WHEN ns = 0 THEN nhi WHEN ns = 1 AND os = 1 THEN greatest(high, ohi) WHEN ns = 1 THEN high ELSE ohi END, CASE WHEN ns = 0 THEN nht WHEN ns = 1 AND os = 1 THEN CASE WHEN high >= ohi THEN t ELSE oht END WHEN ns = 1 THEN t ELSE oht END,
+      CASE WHEN ns = 0 THEN nlo WHEN ns = -1 AND os = -1 THEN least(low, olo) WHEN ns = -1 THEN low ELSE olo END, CASE WHEN ns = 0 THEN nlt WHEN ns = -1 AND os = -1 THEN CASE WHEN low <= olo THEN t ELSE olt END WHEN ns = -1 THEN t ELSE olt END,
+      CASE WHEN os = 0 THEN nhi ELSE ohi END, CASE WHEN os = 0 THEN nht ELSE oht END, CASE WHEN os = 0 THEN nlo ELSE olo END, CASE WHEN os = 0 THEN nlt ELSE olt END FROM ({_PIVOT_STEP}) AS x)
+  SELECT instrument, CASE WHEN s = 1 THEN olt ELSE oht END AS pivot, t AS confirmed, CASE WHEN s = 1 THEN olo ELSE ohi END AS price, CASE WHEN s = 1 THEN -1 ELSE 1 END AS kind FROM c WHERE s <> os"""))
 def j01(spark, sf_dir):
-    return sequential.confirmed_pivots(run(spark, sf_dir, _BAR_ROWS), "instrument", "t", "high", "low", 0.3)
+    return folds.confirmed_pivots(run(spark, sf_dir, _BAR_ROWS), "instrument", "t", "high", "low", 0.3)
 
 
-_HELD = "WITH e AS (SELECT event_id AS id, event_type AS book, @epoch(ts) AS t, value FROM {events}) SELECT id, book, t AS entry, t + CAST(floor(value) AS BIGINT) * 600 AS leave, value / 250 - 0.9 AS r FROM e"
+_HELD = "WITH e AS (SELECT event_id AS id, event_type AS book, @epoch(ts) AS t, value FROM {events}) SELECT id, book, t AS signal, t + id % 4 * 900 AS entry, t + id % 4 * 900 + CAST(floor(value) AS BIGINT) * 600 AS leave, value / 250 - 0.9 AS r FROM e"
 
 
-@query("j06_admission")
+@query("j06_admission", duck(f"""WITH RECURSIVE h AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY signal, id) AS i FROM ({_HELD}) AS z),
+  s AS (SELECT book, id, i, true AS admitted, [leave] AS held, signal AS last FROM h WHERE i = 1 UNION ALL
+    SELECT book, id, i, good, CASE WHEN good THEN list_append(held, leave) ELSE held END, CASE WHEN good THEN signal ELSE last END FROM (
+      SELECT book, id, i, leave, signal, last, held, len(held) < 3 AND signal - last >= 3600 AS good FROM (
+        SELECT h.book, h.id, h.i, h.leave, h.signal, s.last, list_filter(s.held, lambda x: x >= h.signal) AS held FROM s JOIN h ON h.book = s.book AND h.i = s.i + 1) AS a) AS b)
+  SELECT book, id, admitted FROM s"""))
 def j06(spark, sf_dir):
-    return sequential.admit(run(spark, sf_dir, _HELD), "book", "entry", "leave", 3, 3600)
+    """A trade is pending from its signal to its entry, and counts all the while."""
+    return folds.admit(run(spark, sf_dir, _HELD), "book", "signal", "leave", 3, 3600, 86400)
 
 
-@query("j07_equity")
+@query("j07_equity", duck(f"""WITH RECURSIVE h AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY leave, entry, id) AS i FROM ({_HELD}) AS z),
+  a AS (SELECT h.book, h.id, h.i, h.r, count(o.id) AS n FROM h LEFT JOIN h AS o ON o.book = h.book AND o.i < h.i AND o.leave <= h.entry GROUP BY h.book, h.id, h.i, h.r),
+  s AS (SELECT book, id, i, [1.0, 1.0 + 0.001 * r] AS v FROM a WHERE i = 1 UNION ALL
+    SELECT a.book, a.id, a.i, list_append(s.v, s.v[len(s.v)] + 0.001 * a.r * s.v[a.n + 1]) FROM s JOIN a ON a.book = s.book AND a.i = s.i + 1)
+  SELECT book, id, round(v[len(v)], 8) AS equity_after FROM s"""))
 def j07(spark, sf_dir):
-    return sequential.equity(run(spark, sf_dir, _HELD), "book", "entry", "leave", "r", 0.001).withColumn("equity_after", F.round("equity_after", 8))
+    return folds.equity(run(spark, sf_dir, _HELD), "book", "entry", "leave", "r", 0.001, 86400).withColumn("equity_after", F.round("equity_after", 8))
