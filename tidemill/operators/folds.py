@@ -31,6 +31,17 @@ def running(rows: DataFrame, by: list[str], chunk: Column, order: list, sums: di
     return joined.select(*rows.columns, *[join(F.col(f"_in_{n}"), F.col(f"_{n}")).alias(n) for n, _, _, join in kinds])
 
 
+def average_rank(rows: DataFrame, by: list[str], value: str, chunk: Column) -> DataFrame:
+    """rows with rank, the mean place of their value among all values of by in ascending order, and n, the rows of by; null values are
+    left out. Only counts of distinct values are ordered, chunk by chunk."""
+    known = rows.where(F.col(value).isNotNull())
+    counts = running(known.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_same")), by, chunk, [value], {"_upto": F.col("_same")})
+    counts = counts.select(*by, value, (F.col("_upto") - (F.col("_same") - 1) / 2).alias("rank"))
+    sizes = known.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    joined = known.join(counts, [*by, value])
+    return joined.join(sizes, by) if by else joined.crossJoin(F.broadcast(sizes))  # one row
+
+
 def ewm_volatility(bars: DataFrame, by: str, order: str, price: str, span: int, width: int, floor: float = 1e-6) -> DataFrame:
     """(by, order, sigma): root of the exponentially weighted mean of squared log returns, null for the first span - 1 bars.
 

@@ -17,11 +17,6 @@ dual("d01_self_join", f"WITH {BARS} SELECT a.t, round(a.close, 6) AS click, roun
 dual("d11_not_exists", "SELECT o_orderkey FROM {orders} AS o WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM {lineitem} AS l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 30)")
 dual("d12_equi_join", "SELECT c_nationkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} AS o JOIN {customer} AS c ON o.o_custkey = c.c_custkey GROUP BY c_nationkey")
 dual("d06_full_outer", "WITH a AS (SELECT user_id, count(*) AS n FROM {events} WHERE event_type = 'click' GROUP BY user_id), b AS (SELECT user_id, count(*) AS m FROM {events} WHERE event_type = 'purchase' GROUP BY user_id) SELECT coalesce(a.user_id, b.user_id) AS user_id, n, m FROM a FULL OUTER JOIN b ON a.user_id = b.user_id")
-dual("d10_j03_barrier_labels", f"""WITH {SERIES}, s AS (SELECT *, row_number() OVER (ORDER BY t) AS i FROM series),
-  w AS (SELECT a.i, a.t, b.i - a.i AS k, c.open AS base, b.high, b.low FROM s AS a JOIN s AS c ON c.i = a.i + 1 JOIN s AS b ON b.i BETWEEN a.i + 1 AND a.i + 8),
-  h AS (SELECT i, t, count(*) AS n, min(CASE WHEN high >= base * 1.5 THEN k END) AS up, min(CASE WHEN low <= base * 0.5 THEN k END) AS dn FROM w GROUP BY i, t)
-  SELECT t, CASE WHEN up IS NULL AND dn IS NULL THEN 0 ELSE 1 END AS touched, CASE WHEN up IS NULL AND dn IS NULL OR up = dn THEN 0 WHEN dn IS NULL OR up < dn THEN 1 ELSE -1 END AS first, coalesce(least(up, dn), 9) AS t_first FROM h WHERE n = 8""")
-dual("d16_parameter_grid", "WITH g AS (SELECT DISTINCT user_id % 4 AS a FROM {events}), e AS (SELECT event_type, value FROM {events}) SELECT a, event_type, count(*) FILTER (WHERE value > a * 50) AS n FROM e CROSS JOIN g GROUP BY a, event_type")
 dual("e01_resample_complete", f"WITH {SERIES}, h AS (SELECT floor(t / 14400) * 14400 AS t4, min_by(open, t) AS open, max(high) AS high, min(low) AS low, max_by(close, t) AS close, sum(volume) AS volume, count(*) AS n FROM series GROUP BY floor(t / 14400) * 14400) SELECT CAST(t4 AS BIGINT) AS t, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 4) AS volume FROM h WHERE n = 4")
 W = "OVER (PARTITION BY instrument ORDER BY t ROWS BETWEEN {0} PRECEDING AND CURRENT ROW)"
 dual("f01_lag_diff", f"WITH {BARS} SELECT instrument, t, round(close - lag(close, 3) OVER (PARTITION BY instrument ORDER BY t), 6) AS diff3 FROM bars")
@@ -34,19 +29,10 @@ dual("f16_contiguous_windows", f"WITH {BARS} SELECT instrument, t, CASE WHEN t -
 RANGE = "OVER (ORDER BY t RANGE BETWEEN 259200 PRECEDING AND 1 PRECEDING)"
 dual("f17_rolling_quantile", f"WITH {SERIES} SELECT t, CASE WHEN count(*) {RANGE} >= 24 THEN round(@quantile(volume, 0.8) {RANGE}, 6) END AS threshold FROM series")
 dual("f18_masked_quantile", f"WITH {SERIES}, m AS (SELECT t, CASE WHEN ticks > 1 THEN volume END AS v FROM series) SELECT t, CASE WHEN count(v) {RANGE} >= 5 THEN round(@quantile(v, 0.5) {RANGE}, 6) END AS threshold FROM m")
-dual("f19_own_threshold_gate", f"""WITH {SERIES}, q AS (SELECT t, volume AS p, close AS d, CASE WHEN count(*) {RANGE} >= 24 THEN @quantile(volume, 0.6) {RANGE} END AS thr FROM series),
-  x AS (SELECT a.t, a.thr, b.d FROM q AS a JOIN q AS b ON b.t >= a.t - 259200 AND b.t < a.t AND b.p >= a.thr) SELECT t, count(*) AS hits, round(@quantile(d, 0.5), 6) AS gate FROM x GROUP BY t, thr HAVING count(*) >= 20""")
 dual("f24_sessions", "WITH e AS (SELECT event_id, user_id, @epoch(ts) AS t FROM {events}), n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= 86400 THEN 0 ELSE 1 END AS fresh FROM e) SELECT event_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS session FROM n".replace("sum(fresh)", "CAST(sum(fresh)").replace("UNBOUNDED PRECEDING) AS session", "UNBOUNDED PRECEDING) AS BIGINT) AS session"))
 dual("f25_sliding_dedup", "WITH e AS (SELECT event_id, user_id, event_type, @epoch(ts) AS t FROM {events}) SELECT event_id, CASE WHEN t - lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) <= 21600 THEN 1 ELSE 0 END AS repeated FROM e")
-dual("j10_folds", "WITH q AS (SELECT DISTINCT date_trunc('quarter', o_orderdate) AS q FROM {orders}), o AS (SELECT o_orderkey, o_orderdate AS d FROM {orders}) SELECT @epoch(q) AS fold, count(*) FILTER (WHERE d < q - INTERVAL 6 MONTH) AS train, count(*) FILTER (WHERE d >= q - INTERVAL 6 MONTH AND d < q) AS val, count(*) FILTER (WHERE d >= q AND d < q + INTERVAL 3 MONTH) AS test FROM o CROSS JOIN q GROUP BY q, @epoch(q)")
 dual("j11_direction_labels", f"WITH {SERIES}, r AS (SELECT t, lead(close, 8) OVER (ORDER BY t) / close - 1 AS r FROM series) SELECT t, CASE WHEN r > 0.5 THEN 1 WHEN r < -0.5 THEN -1 ELSE 0 END AS three, CASE WHEN r > 0 THEN 1 ELSE 0 END AS up FROM r WHERE r IS NOT NULL")
 dual("j17_blend", f"WITH {BARS} SELECT t, round(0.5 + sum((CASE WHEN instrument = 'click' THEN 0.7 ELSE 0.3 END) * (1 / (1 + exp(-close / 100)) - 0.5)), 8) AS p FROM bars WHERE instrument IN ('click', 'view') GROUP BY t")
-dual("j04_simulate_exits", f"""WITH {SERIES}, s AS (SELECT *, row_number() OVER (ORDER BY t) AS i FROM series), e AS (SELECT i + 1 AS ie, t FROM s WHERE i % 7 = 0),
-  w AS (SELECT e.ie, e.t, f.open AS entry, b.i AS i, b.open, b.high, b.low, b.close FROM e JOIN s AS f ON f.i = e.ie JOIN s AS b ON b.i BETWEEN e.ie AND e.ie + 8),
-  k AS (SELECT ie, t, entry, min(CASE WHEN low <= entry * 0.6 THEN i END) AS sl, min(CASE WHEN high >= entry * 1.6 THEN i END) AS tp, max(i) AS last, max_by(close, i) AS final, count(*) AS n FROM w GROUP BY ie, t, entry),
-  x AS (SELECT k.*, b.open AS sl_open FROM k LEFT JOIN s AS b ON b.i = k.sl)
-  SELECT t, CASE WHEN sl IS NOT NULL AND (tp IS NULL OR sl <= tp) THEN 'SL' WHEN tp IS NOT NULL THEN 'TP' WHEN n < 9 THEN 'CUT' ELSE 'TIMEOUT' END AS kind,
-    round(CASE WHEN sl IS NOT NULL AND (tp IS NULL OR sl <= tp) THEN CASE WHEN sl_open < entry * 0.6 THEN sl_open ELSE entry * 0.6 END WHEN tp IS NOT NULL THEN entry * 1.6 ELSE final END, 6) AS exit_price FROM x""")
 GRID = "cells AS (SELECT o_custkey % 5 AS a, o_orderkey % 4 AS b, year(o_orderdate) AS y, avg(o_totalprice) AS m, count(*) AS n FROM {orders} GROUP BY o_custkey % 5, o_orderkey % 4, year(o_orderdate)), scored AS (SELECT a, b, 0.7 * avg(m) + 0.3 * min(m) AS score, min(n) AS least FROM cells GROUP BY a, b)"
 dual("e28_cell_scores", f"WITH {GRID} SELECT a, b, round(score, 4) AS score, CASE WHEN least >= 1 THEN 1 ELSE 0 END AS valid FROM scored")
 dual("e29_region_score", f"WITH {GRID} SELECT x.a, x.b, round(avg(z.score), 4) AS region FROM scored AS x JOIN scored AS z ON abs(x.a - z.a) + abs(x.b - z.b) <= 1 GROUP BY x.a, x.b")

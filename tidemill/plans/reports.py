@@ -20,12 +20,6 @@ TRADES = """trades AS (
          (CAST(CAST(floor(o_totalprice) AS BIGINT) % 2400 AS DOUBLE) - 1130) / 1000 AS r FROM {orders})"""
 CURVE = """curve AS (SELECT *, sum(r) OVER (ORDER BY d, id ROWS UNBOUNDED PRECEDING) AS total FROM trades),
 peaks AS (SELECT *, greatest(max(total) OVER (ORDER BY d, id ROWS UNBOUNDED PRECEDING), 0) AS peak FROM curve)"""
-dual(
-    "e06_trade_summary",
-    f"""WITH {TRADES}, {CURVE}, quarters AS (SELECT q, sum(r) AS r FROM trades GROUP BY q)
-    SELECT count(*) AS n, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(avg(r), 6) AS mean_r, round(sum(r), 3) AS sum_r, round(max(peak - total), 3) AS max_drawdown,
-           round(avg(CASE WHEN kind = 'O' THEN 1.0 ELSE 0.0 END), 6) AS open_share, (SELECT count(*) FROM quarters WHERE r < 0) AS negative_quarters FROM peaks""",
-)
 dual("e07_by_period", f"WITH {TRADES} SELECT y, quarter(d) AS quarter, count(*) AS n, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS win_rate, round(sum(r), 4) AS sum_r FROM trades GROUP BY y, quarter(d)")
 dual(
     "e08_period_returns",
@@ -34,11 +28,6 @@ dual(
     start AS (SELECT *, lag(e, 1, 1.0) OVER (ORDER BY d) AS s FROM equity)
     SELECT y, round(max_by(e, d) / min_by(s, d) - 1, 8) AS ret FROM start GROUP BY y""".replace("lag(e, 1, 1.0)", "coalesce(lag(e, 1) OVER (ORDER BY d), 1.0)").replace("coalesce(lag(e, 1) OVER (ORDER BY d), 1.0) OVER (ORDER BY d)", "coalesce(lag(e, 1) OVER (ORDER BY d), 1.0)"),
 )
-dual(
-    "e09_monthly_carry",
-    f"""WITH {TRADES}, {CURVE}, months AS (SELECT date_trunc('month', d) AS m, max_by(total, id) AS last_total, count(*) AS n FROM (SELECT c.*, row_number() OVER (PARTITION BY date_trunc('month', d) ORDER BY d DESC, id DESC) AS k FROM curve AS c) AS z WHERE k = 1 GROUP BY date_trunc('month', d))
-    SELECT year(m) AS y, month(m) AS mo, round(last_total, 4) AS carried, round(last_total - coalesce(lag(last_total) OVER (ORDER BY m), 0), 4) AS gained FROM months""",
-)
 dual("e10_account_summary", f"WITH {TRADES} SELECT count(*) AS n, count(*) FILTER (WHERE r > 0) AS wins, count(*) FILTER (WHERE r <= 0) AS losses, round(avg(CASE WHEN r > 0 THEN r END), 6) AS avg_win, round(avg(CASE WHEN r <= 0 THEN r END), 6) AS avg_loss, max(r) AS best, min(r) AS worst, count(*) FILTER (WHERE kind = 'O') AS n_o, count(*) FILTER (WHERE kind = 'F') AS n_f, count(*) FILTER (WHERE kind = 'P') AS n_p FROM trades")
 dual(
     "e11_seed_table",
@@ -50,10 +39,8 @@ dual("e12_ensemble_mean", "SELECT user_id, @epoch(d) AS day, round(avg(value), 6
 SCORED = "scored AS (SELECT l.doc_id, l.quality AS y, l.toxic, d.n_chars AS score, d.lang, CAST(1 / (1 + exp(-(ln(1 + d.n_chars) - 7))) AS DOUBLE) AS p FROM {labels} AS l JOIN {documents} AS d ON l.doc_id = d.doc_id)"
 RANKED = "ranked AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS rk, count(*) OVER () AS n FROM scored)"
 AUC = "round((sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - count(*) FILTER (WHERE y = 1) * (count(*) FILTER (WHERE y = 1) + 1) / 2.0) / (count(*) FILTER (WHERE y = 1) * count(*) FILTER (WHERE y = 0)), 6)"
-dual("e13_roc_auc", f"WITH {SCORED}, {RANKED} SELECT {AUC} AS auc, count(*) AS n FROM ranked")
 dual("e14_log_loss", f"WITH {SCORED} SELECT lang, round(avg(-(y * ln(greatest(p, 1e-7)) + (1 - y) * ln(greatest(1 - p, 1e-7)))), 6) AS log_loss, count(*) AS n FROM scored GROUP BY lang")
 dual("e15_pivot", "SELECT quarter(o_orderdate) AS quarter, round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 2) AS o, round(sum(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 2) AS f, round(sum(CASE WHEN o_orderstatus = 'P' THEN o_totalprice END), 2) AS p FROM {orders} GROUP BY quarter(o_orderdate)")
-dual("e16_deciles", f"WITH {SCORED}, {RANKED} SELECT CAST(least(floor(rk / n * 10), 9) + 1 AS BIGINT) AS decile, count(*) AS n, round(avg(p), 6) AS mean_p, round(avg(CAST(y AS DOUBLE)), 6) AS rate FROM ranked GROUP BY CAST(least(floor(rk / n * 10), 9) + 1 AS BIGINT)")
 dual(
     "e17_quintiles",
     f"""WITH {SCORED}, edges AS (SELECT @quantile(score, 0.2) AS a, @quantile(score, 0.4) AS b, @quantile(score, 0.6) AS c, @quantile(score, 0.8) AS d FROM scored),
@@ -67,7 +54,6 @@ dual("e21_freshness", f"SELECT event_type, (SELECT max(t) FROM ev) - max(t) AS l
 dual("e22_oldest_age", "WITH ev AS (SELECT user_id, @epoch(ts) AS t FROM {events}), last AS (SELECT user_id, max(t) AS t FROM ev GROUP BY user_id) SELECT coalesce(max((SELECT max(t) FROM ev) - t), 0) AS oldest FROM last")
 dual("e23_value_counts", "SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, round(avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END), 6) AS long_share FROM {documents} GROUP BY lang")
 dual("e24_hour_histogram", "SELECT hour(ts) AS h, count(*) AS n FROM {events} GROUP BY hour(ts)")
-dual("e25_spearman", f"WITH {SCORED}, two AS (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS a, rank() OVER (ORDER BY y) + (count(*) OVER (PARTITION BY y) - 1) / 2.0 AS b FROM scored) SELECT round(corr(a, b), 6) AS rho FROM two")
 dual("e33_permutation_p", "SELECT event_type, round((1.0 + count(*) FILTER (WHERE value >= 100)) / (1 + count(*)), 6) AS p FROM {events} GROUP BY event_type")
 dual("e35_standardise", "WITH m AS (SELECT event_type, @quantile(value, 0.5) AS med, avg(value) AS mean, stddev_samp(value) AS sd FROM {events} GROUP BY event_type) SELECT event_type, round(med, 6) AS med, round(mean, 6) AS mean, round(sd, 6) AS sd FROM m")
 dual("e38_decay_weights", "SELECT o_orderkey, round(greatest(power(0.5, datediff(last, o_orderdate) / 540.0), 0.2), 8) AS w FROM {orders} CROSS JOIN (SELECT max(o_orderdate) AS last FROM {orders}) AS x".replace("datediff(last, o_orderdate)", "((@epoch(last) - @epoch(o_orderdate)) / 86400)"))
@@ -76,8 +62,6 @@ dual("e42_calibration_share", f"WITH {SCORED}, q AS (SELECT @quantile(p, 0.8) AS
 dual("f22_latest_per_source", "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM {events}) AS e WHERE k = 1")
 dual("g02_order_limit", "SELECT event_id, value FROM {events} ORDER BY value DESC, event_id LIMIT 48")
 dual("g05_last_rows", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
-dual("g06_thin_curve", f"WITH {TRADES}, {CURVE}, n AS (SELECT d, id, total, row_number() OVER (ORDER BY d, id) AS k, count(*) OVER () AS n FROM curve) SELECT id, round(total, 4) AS total FROM n WHERE (k - 1) % 50 = 0 OR k = n")
-dual("g07_event_order", "SELECT o_orderkey, kind, row_number() OVER (ORDER BY d, kind, o_orderkey) AS k FROM (SELECT o_orderkey, o_orderdate AS d, 1 AS kind FROM {orders} UNION ALL SELECT l_orderkey, min(l_shipdate), 0 FROM {lineitem} GROUP BY l_orderkey) AS e")
 dual("h01_union_all", "SELECT 'c' AS part, c_nationkey AS nation, count(*) AS n FROM {customer} GROUP BY c_nationkey UNION ALL SELECT 's', s_nationkey, count(*) FROM {supplier} GROUP BY s_nationkey")
 dual("h02_grid_difference", f"WITH {BARS}, grid AS (SELECT i.instrument, h.t FROM (SELECT DISTINCT instrument FROM bars) AS i CROSS JOIN (SELECT DISTINCT t FROM bars) AS h) SELECT instrument, t FROM grid EXCEPT SELECT instrument, t FROM bars")
 dual("h03_set_operations", "SELECT c_nationkey AS k, 'both' AS part FROM (SELECT c_nationkey FROM {customer} INTERSECT SELECT s_nationkey FROM {supplier}) AS a UNION ALL SELECT c_nationkey, 'left' FROM (SELECT c_nationkey FROM {customer} EXCEPT SELECT s_nationkey FROM {supplier}) AS b")
@@ -95,17 +79,13 @@ dual("n10_last_closed", "SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'l
 dual("n11_service_health", "WITH ev AS (SELECT user_id, @epoch(ts) AS t FROM {events}) SELECT user_id, now - max(t) AS age, CASE WHEN now - max(t) > 3600 THEN 'stale' ELSE 'ok' END AS state FROM ev CROSS JOIN (SELECT max(t) AS now FROM ev) AS x GROUP BY user_id, now")
 dual("n12_backlog", "SELECT event_type, count(*) AS n, min(event_id) AS oldest FROM {events} WHERE value > 50 GROUP BY event_type")
 dual("n13_issues", "SELECT event_id, value FROM {events} WHERE value > 200 ORDER BY ts DESC, event_id LIMIT 50")
-dual("n14_equity_series", f"WITH {TRADES}, {CURVE} SELECT id, round(100 + total, 4) AS equity FROM curve WHERE kind <> 'P'")
-dual("n15_cumulative_then_filter", f"WITH {TRADES}, c AS (SELECT id, d, sum(r) OVER (ORDER BY d) AS total FROM trades) SELECT id, round(total, 4) AS total FROM c WHERE year(d) >= 1998")
 dual("n17_summary_total", f"WITH {TRADES} SELECT kind, count(*) AS n, round(sum(r), 3) AS r FROM trades GROUP BY kind UNION ALL SELECT 'total', count(*), round(sum(r), 3) FROM trades")
 dual("o04_auc_by_part", f"WITH {SCORED}, r AS (SELECT *, doc_id % 3 AS part, rank() OVER (PARTITION BY doc_id % 3 ORDER BY score) + (count(*) OVER (PARTITION BY doc_id % 3, score) - 1) / 2.0 AS rk FROM scored) SELECT part, {AUC} AS auc, count(*) AS n FROM r GROUP BY part")
-dual("o23_trade_percent", f"WITH {TRADES}, {CURVE} SELECT id, round(100 * r / (10000 + total - r), 8) AS pct FROM curve")
 dual(
     "f12_losing_streak",
     f"""WITH {TRADES}, s AS (SELECT *, sum(CASE WHEN r > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY kind ORDER BY d, id ROWS UNBOUNDED PRECEDING) AS island FROM trades),
     l AS (SELECT kind, island, count(*) FILTER (WHERE r <= 0) AS n FROM s GROUP BY kind, island) SELECT kind, max(n) AS losing_streak FROM l GROUP BY kind""",
 )
-dual("f11_drawdown", f"WITH {TRADES}, {CURVE} SELECT id, round(total, 4) AS total, round(peak - total, 4) AS drawdown FROM peaks")
 dual(
     "entry_hourly_report",
     f"""WITH {SERIES}, r AS (SELECT *, ln(close / lag(close) OVER (ORDER BY t)) AS ret FROM series),
