@@ -10,13 +10,9 @@ INJECTED = "raw AS (SELECT event_id, event_type AS instrument, @epoch(ts) AS t,
 GOOD = "least(open, high, low, close) > 0 AND volume >= 0 AND low <= least(open, close) AND high >= greatest(open, close)"
 dual("c03_candle_predicate", f"WITH {INJECTED} SELECT event_id, CASE WHEN {GOOD} THEN 1 ELSE 0 END AS valid FROM raw")
 dual("b05_dead_letters", f"WITH {INJECTED} SELECT event_id, instrument FROM raw WHERE NOT ({GOOD})")
-dual("a02_normalise", "WITH u AS (SELECT user_id, @epoch(ts) AS t, value, event_id FROM {events} WHERE value > 0) SELECT user_id, t, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, t ORDER BY event_id) AS k FROM u) AS x WHERE k = 1")
-dual("b02_first_accepted", "SELECT event_id, user_id, CASE WHEN k = 1 THEN 'observation' ELSE 'revision' END AS part FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k FROM {events}) AS x")
-dual("c08_contiguity", f"WITH {SERIES} SELECT t, t - lag(t) OVER (ORDER BY t) AS step, CASE WHEN t - lag(t) OVER (ORDER BY t) = 3600 THEN 'ok' WHEN lag(t) OVER (ORDER BY t) IS NULL THEN 'first' ELSE 'gap' END AS state FROM series")
 dual("d01_self_join", f"WITH {BARS} SELECT a.t, round(a.close, 6) AS click, round(b.close, 6) AS bought, round(c.close, 6) AS seen FROM bars AS a JOIN bars AS b ON a.t = b.t JOIN bars AS c ON a.t = c.t WHERE a.instrument = 'click' AND b.instrument = 'purchase' AND c.instrument = 'view'")
 dual("d11_not_exists", "SELECT o_orderkey FROM {orders} AS o WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM {lineitem} AS l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 30)")
 dual("d12_equi_join", "SELECT c_nationkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} AS o JOIN {customer} AS c ON o.o_custkey = c.c_custkey GROUP BY c_nationkey")
-dual("d06_full_outer", "WITH a AS (SELECT user_id, count(*) AS n FROM {events} WHERE event_type = 'click' GROUP BY user_id), b AS (SELECT user_id, count(*) AS m FROM {events} WHERE event_type = 'purchase' GROUP BY user_id) SELECT coalesce(a.user_id, b.user_id) AS user_id, n, m FROM a FULL OUTER JOIN b ON a.user_id = b.user_id")
 dual("e01_resample_complete", f"WITH {SERIES}, h AS (SELECT floor(t / 14400) * 14400 AS t4, min_by(open, t) AS open, max(high) AS high, min(low) AS low, max_by(close, t) AS close, sum(volume) AS volume, count(*) AS n FROM series GROUP BY floor(t / 14400) * 14400) SELECT CAST(t4 AS BIGINT) AS t, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 4) AS volume FROM h WHERE n = 4")
 W = "OVER (PARTITION BY instrument ORDER BY t ROWS BETWEEN {0} PRECEDING AND CURRENT ROW)"
 dual("f01_lag_diff", f"WITH {BARS} SELECT instrument, t, round(close - lag(close, 3) OVER (PARTITION BY instrument ORDER BY t), 6) AS diff3 FROM bars")
