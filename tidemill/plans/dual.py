@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemill.registry import query, table
 
-_SPARK = ((r"(?<![\w.])(\d+\.\d+)(?![\w.])", r"\1D"), (r"@epoch\(", "unix_timestamp("), (r"@quantile\(", "percentile("), (r"@json\((\w+), '(\w+)'\)", r"get_json_object(\1, '$.\2')"))
+_SPARK = ((r"('[^']*')|(?<![\w.])(\d+\.\d+)(?![\w.])", lambda m: m[1] or f"{m[2]}D"), (r"@epoch\(", "unix_timestamp("), (r"@quantile\(", "percentile("), (r"@json\((\w+), '(\w+)'\)", r"get_json_object(\1, '$.\2')"))
 _DUCK = ((r"@epoch\(([^()]+)\)", r"CAST(floor(epoch(\1)) AS BIGINT)"), (r"@quantile\(", "quantile_cont("), (r"@json\((\w+), '(\w+)'\)", r"json_extract_string(\1, '$.\2')"), (r"\{(\w+)\}", r"\1"))
 
 

@@ -18,16 +18,12 @@ W = "OVER (PARTITION BY instrument ORDER BY t ROWS BETWEEN {0} PRECEDING AND CUR
 dual("f01_lag_diff", f"WITH {BARS} SELECT instrument, t, round(close - lag(close, 3) OVER (PARTITION BY instrument ORDER BY t), 6) AS diff3 FROM bars")
 dual("f02_rolling_guarded", f"WITH {BARS} SELECT instrument, t, CASE WHEN count(close) {W} = 24 THEN round(avg(close) {W}, 6) END AS mean24, CASE WHEN count(close) {W} = 24 THEN max(high) {W} END AS max24 FROM bars".replace("{0}", "23"))
 dual("f03_rolling_z", f"WITH {BARS} SELECT instrument, t, CASE WHEN count(close) {W} >= 20 THEN round((close - avg(close) {W}) / greatest(stddev_samp(close) {W}, 1e-9), 6) END AS z FROM bars".replace("{0}", "47"))
-dual("f07_trend", f"WITH {SERIES} SELECT t, round(ln(close / lag(close, 24) OVER (ORDER BY t)) / sqrt(24), 8) AS trend FROM series")
-dual("f08_path_statistics", f"WITH {SERIES}, r AS (SELECT t, ln(close) AS lc, abs(ln(close) - lag(ln(close)) OVER (ORDER BY t)) AS a FROM series), p AS (SELECT t, lc, sum(coalesce(a, 0.0)) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS s FROM r) SELECT t, round(abs(lc - lag(lc, 8) OVER (ORDER BY t)) / greatest(s - lag(s, 8) OVER (ORDER BY t), 1e-12), 6) AS efficiency FROM p")
-dual("f15_gap_free", f"WITH {SERIES}, g AS (SELECT t, CASE WHEN t - lag(t) OVER (ORDER BY t) > 3600 THEN 1 ELSE 0 END AS gap FROM series), c AS (SELECT t, sum(gap) OVER (ORDER BY t ROWS UNBOUNDED PRECEDING) AS gaps FROM g) SELECT t, CASE WHEN gaps = lag(gaps, 24) OVER (ORDER BY t) THEN 1 ELSE 0 END AS clean FROM c")
 dual("f16_contiguous_windows", f"WITH {BARS} SELECT instrument, t, CASE WHEN t - lag(t, 5) OVER (PARTITION BY instrument ORDER BY t) = 5 * 3600 THEN 1 ELSE 0 END AS whole FROM bars")
 RANGE = "OVER (ORDER BY t RANGE BETWEEN 259200 PRECEDING AND 1 PRECEDING)"
 dual("f17_rolling_quantile", f"WITH {SERIES} SELECT t, CASE WHEN count(*) {RANGE} >= 24 THEN round(@quantile(volume, 0.8) {RANGE}, 6) END AS threshold FROM series")
 dual("f18_masked_quantile", f"WITH {SERIES}, m AS (SELECT t, CASE WHEN ticks > 1 THEN volume END AS v FROM series) SELECT t, CASE WHEN count(v) {RANGE} >= 5 THEN round(@quantile(v, 0.5) {RANGE}, 6) END AS threshold FROM m")
 dual("f24_sessions", "WITH e AS (SELECT event_id, user_id, @epoch(ts) AS t FROM {events}), n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= 86400 THEN 0 ELSE 1 END AS fresh FROM e) SELECT event_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS session FROM n".replace("sum(fresh)", "CAST(sum(fresh)").replace("UNBOUNDED PRECEDING) AS session", "UNBOUNDED PRECEDING) AS BIGINT) AS session"))
 dual("f25_sliding_dedup", "WITH e AS (SELECT event_id, user_id, event_type, @epoch(ts) AS t FROM {events}) SELECT event_id, CASE WHEN t - lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) <= 21600 THEN 1 ELSE 0 END AS repeated FROM e")
-dual("j11_direction_labels", f"WITH {SERIES}, r AS (SELECT t, lead(close, 8) OVER (ORDER BY t) / close - 1 AS r FROM series) SELECT t, CASE WHEN r > 0.5 THEN 1 WHEN r < -0.5 THEN -1 ELSE 0 END AS three, CASE WHEN r > 0 THEN 1 ELSE 0 END AS up FROM r WHERE r IS NOT NULL")
 dual("j17_blend", f"WITH {BARS} SELECT t, round(0.5 + sum((CASE WHEN instrument = 'click' THEN 0.7 ELSE 0.3 END) * (1 / (1 + exp(-close / 100)) - 0.5)), 8) AS p FROM bars WHERE instrument IN ('click', 'view') GROUP BY t")
 GRID = "cells AS (SELECT o_custkey % 5 AS a, o_orderkey % 4 AS b, year(o_orderdate) AS y, avg(o_totalprice) AS m, count(*) AS n FROM {orders} GROUP BY o_custkey % 5, o_orderkey % 4, year(o_orderdate)), scored AS (SELECT a, b, 0.7 * avg(m) + 0.3 * min(m) AS score, min(n) AS least FROM cells GROUP BY a, b)"
 dual("e28_cell_scores", f"WITH {GRID} SELECT a, b, round(score, 4) AS score, CASE WHEN least >= 1 THEN 1 ELSE 0 END AS valid FROM scored")
@@ -38,7 +34,6 @@ dual("f13_whole_row_carry", f"WITH {SERIES}, s AS (SELECT (t - min(t) OVER ()) /
 dual("a21_latest_price", "SELECT event_type, max_by(value, ts) AS mark FROM {events} GROUP BY event_type")
 dual("a12_half_open_scan", "WITH e AS (SELECT event_id, value, @epoch(ts) AS t FROM {events}) SELECT event_id, value FROM e WHERE t >= 1704153600 AND t < 1704240000")
 dual("i01_scalar_functions", "SELECT event_id, round(ln(value), 8) AS l, round(sqrt(value), 8) AS r, round(sin(2 * pi() * hour(ts) / 24), 8) AS s, round(1 / (1 + exp(-greatest(least(value / 100, 30.0), -30.0))), 8) AS sigmoid FROM {events}")
-dual("i20_i22_parse", "SELECT event_id, CAST(@json(props, 'k') AS BIGINT) * 2 AS k FROM {events}")
 
 _CLICKS = "WITH e AS (SELECT event_id, user_id, event_type, value, @epoch(ts) AS t FROM {events}) SELECT event_id, user_id, value, t FROM e WHERE event_type = '%s'"
 
