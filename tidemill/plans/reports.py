@@ -54,10 +54,7 @@ dual("e21_freshness", f"SELECT event_type, (SELECT max(t) FROM ev) - max(t) AS l
 dual("e22_oldest_age", "WITH ev AS (SELECT user_id, @epoch(ts) AS t FROM {events}), last AS (SELECT user_id, max(t) AS t FROM ev GROUP BY user_id) SELECT coalesce(max((SELECT max(t) FROM ev) - t), 0) AS oldest FROM last")
 dual("e23_value_counts", "SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, round(avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END), 6) AS long_share FROM {documents} GROUP BY lang")
 dual("e24_hour_histogram", "SELECT hour(ts) AS h, count(*) AS n FROM {events} GROUP BY hour(ts)")
-dual("e33_permutation_p", "SELECT event_type, round((1.0 + count(*) FILTER (WHERE value >= 100)) / (1 + count(*)), 6) AS p FROM {events} GROUP BY event_type")
-dual("e35_standardise", "WITH m AS (SELECT event_type, @quantile(value, 0.5) AS med, avg(value) AS mean, stddev_samp(value) AS sd FROM {events} GROUP BY event_type) SELECT event_type, round(med, 6) AS med, round(mean, 6) AS mean, round(sd, 6) AS sd FROM m")
 dual("e38_decay_weights", "SELECT o_orderkey, round(greatest(power(0.5, datediff(last, o_orderdate) / 540.0), 0.2), 8) AS w FROM {orders} CROSS JOIN (SELECT max(o_orderdate) AS last FROM {orders}) AS x".replace("datediff(last, o_orderdate)", "((@epoch(last) - @epoch(o_orderdate)) / 86400)"))
-dual("e39_manifest", "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key FROM {orders} GROUP BY year(o_orderdate), month(o_orderdate)")
 dual("e42_calibration_share", f"WITH {SCORED}, q AS (SELECT @quantile(p, 0.8) AS thr FROM scored WHERE doc_id % 2 = 0) SELECT round(thr, 9) AS thr, count(*) FILTER (WHERE p >= thr) AS above, count(*) AS n FROM scored CROSS JOIN q WHERE doc_id % 2 = 1 GROUP BY thr")
 dual("f22_latest_per_source", "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM {events}) AS e WHERE k = 1")
 dual("g02_order_limit", "SELECT event_id, value FROM {events} ORDER BY value DESC, event_id LIMIT 48")
