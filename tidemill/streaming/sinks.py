@@ -6,13 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _place(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared one (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """A new folder in the shared one (spark.checkpoint.dir). A local one where none is set, but only if the executors are threads
+    of this machine; on a cluster they would not see it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tidemill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/tidemill/{name}-{uuid.uuid4().hex}"
@@ -38,3 +41,13 @@ def drain_idempotent(stream: DataFrame, name: str, routes: dict[str, Callable[[D
 
     stream.writeStream.foreachBatch(write).option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
     return {route: spark.read.schema(rows(spark.createDataFrame([], stream.schema)).schema).parquet(f"{place}/{route}/batch=*") for route, rows in routes.items()}
+
+
+def write_months(rows: DataFrame, time: str, order: list[str], name: str, form: str = "csv") -> str:
+    """rows as files, a folder a month, sorted within each file; the folder appears as a whole when the job commits. Months are
+    dealt over tasks with their days, so that a long one is several files."""
+    place = _place(rows.sparkSession, name)
+    month = rows.withColumn("month", F.date_format(time, "yyyy-MM")).repartition("month", F.dayofmonth(time)).sortWithinPartitions("month", *order)
+    writer = month.write.partitionBy("month")
+    (writer.option("header", True) if form == "csv" else writer).format(form).save(place)
+    return place
