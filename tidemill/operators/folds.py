@@ -197,8 +197,8 @@ def admit(trades: DataFrame, by: str, signal: str, leave: str, cap: int, gap: in
 
 
 def equity(trades: DataFrame, by: str, entry: str, leave: str, result: str, risk: float, chunk: int, start: float = 1.0) -> DataFrame:
-    """(by, id, equity_after): account value after each exit, in order of leave, entry and id. The stake is risk times the value at
-    entry, after the exits of that time; a trade that leaves no later than it enters stakes the value just before its exit.
+    """(by, id, base, equity_after): account value at each entry, and after each exit, in order of leave, entry and id. The stake is
+    risk times base, the value at entry, after the exits of that time; a trade that leaves no later than it enters stakes the value just before its exit.
 
     All values are proportional to the first, so islands of trades that no other overlaps are valued in parallel from 1, and
     multiplied by the product of the islands before. Trades with a null time, id or result are left out.
@@ -211,11 +211,11 @@ def equity(trades: DataFrame, by: str, entry: str, leave: str, result: str, risk
         value = np.ones(len(out) + 1)
         for k, at in enumerate(staked):
             value[k + 1] = value[k] + risk * r[k] * value[at]
-        return pd.DataFrame({by: frame[by], "id": frame["id"], "island": frame["island"], "at": out, "place": np.arange(len(out)), "value": value[1:]})
+        return pd.DataFrame({by: frame[by], "id": frame["id"], "island": frame["island"], "at": out, "place": np.arange(len(out)), "base": value[staked], "value": value[1:]})
 
     good = trades.select(by, "id", entry, leave, result).dropna()
     cut = _islands(good, by, entry, leave, chunk, lambda reach, before: F.col(entry) >= reach)
-    valued = cut.groupBy(by, "island").applyInPandas(run, f"{by} string, id long, island long, at long, place long, value double")
+    valued = cut.groupBy(by, "island").applyInPandas(run, f"{by} string, id long, island long, at long, place long, base double, value double")
     last = valued.groupBy(by, "island").agg(F.max_by("value", "place").alias("factor"), F.min("at").alias("at"))
     part = F.floor(F.col("at") / F.lit(chunk))
     size = {"logs": F.log(F.abs(F.nullif(F.col("factor"), F.lit(0.0)))), "minus": (F.col("factor") < 0).cast("long"), "zeros": (F.col("factor") == 0).cast("long")}
@@ -223,4 +223,4 @@ def equity(trades: DataFrame, by: str, entry: str, leave: str, result: str, risk
     before = {k: F.col(k) - F.coalesce(v, F.lit(0)) for k, v in size.items()}
     factor = F.when(before["zeros"] > 0, F.lit(0.0)).otherwise(F.exp(before["logs"]) * F.when(before["minus"] % 2 == 1, -1.0).otherwise(1.0))
     scale = product.select(by, "island", (F.lit(start) * factor).alias("scale"))
-    return valued.join(scale, [by, "island"]).select(by, "id", (F.col("value") * F.col("scale")).alias("equity_after"))
+    return valued.join(scale, [by, "island"]).select(by, "id", (F.col("base") * F.col("scale")).alias("base"), (F.col("value") * F.col("scale")).alias("equity_after"))

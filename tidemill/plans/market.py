@@ -115,4 +115,4 @@ def j06(spark, sf_dir):
     SELECT a.book, a.id, a.i, list_append(s.v, s.v[len(s.v)] + 0.001 * a.r * s.v[a.n + 1]) FROM s JOIN a ON a.book = s.book AND a.i = s.i + 1)
   SELECT book, id, round(v[len(v)], 8) AS equity_after FROM s"""))
 def j07(spark, sf_dir):
-    return folds.equity(run(spark, sf_dir, _HELD), "book", "entry", "leave", "r", 0.001, 86400).withColumn("equity_after", F.round("equity_after", 8))
+    return folds.equity(run(spark, sf_dir, _HELD), "book", "entry", "leave", "r", 0.001, 86400).select("book", "id", F.round("equity_after", 8).alias("equity_after"))

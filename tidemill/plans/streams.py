@@ -1,4 +1,4 @@
-"""Streaming queries (K01, K02, K06, K08): each drains the event stream once and returns what its sink holds.
+"""Streaming queries (J08, K01, K02, K06, K08): each drains the event stream once and returns what its sink holds.
 
 A stream emits a window when the watermark has passed its end; the windows after the last watermark stay open and are in no
 result. All files of a table are one batch, however many they are and in whatever order, so none of their rows is late.
@@ -8,9 +8,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tidemill.operators.simulate import Rules
+from tidemill.plans.dual import run
+from tidemill.plans.trading import _NUMBERED, _simulation_sql
 from tidemill.registry import query
 from tidemill.sources.files import stream_table
-from tidemill.streaming.sinks import drain, drain_idempotent
+from tidemill.streaming.executor import execute
+from tidemill.streaming.sinks import drain, drain_idempotent, table_in_order
 
 LATENESS = "1 hour"
 CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
@@ -67,3 +71,17 @@ def idempotent_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = {"observation": lambda rows: rows.where(valid).select("event_id"), "issue": lambda rows: rows.where(~valid).select("event_id")}
     tables = drain_idempotent(_events(spark, sf_dir, files_per_batch=1), "batches", routes)
     return tables["observation"].withColumn("route", F.lit("observation")).unionByName(tables["issue"].withColumn("route", F.lit("issue")))
+
+
+_EXECUTOR = Rules(hold=9)
+_BOOK_BARS = f"""WITH {_NUMBERED} SELECT instrument, i, open, high, low, close, CASE WHEN close > open THEN 1 ELSE -1 END AS side, 0.2 + t / 3600 % 6 / 10.0 AS b FROM x"""
+
+
+@query("j08_live_executor", f"SELECT instrument, id, entry_at, entry, exit_at, exit, kind FROM ({_simulation_sql(_EXECUTOR)}) WHERE kind <> 'CUT'")
+def live_executor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades closed by a stream of bars, in batches of a few days each: the same as those of the batch simulator."""
+    bars = run(spark, sf_dir, _BOOK_BARS)
+    place = table_in_order(bars, "i", 200, "bars")
+    stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(place)
+    closed = drain(execute(stream, _EXECUTOR), "trades")
+    return closed.withColumn("entry", F.round("entry", 6)).withColumn("exit", F.round("exit", 6))

@@ -51,3 +51,13 @@ def write_months(rows: DataFrame, time: str, order: list[str], name: str, form:
     writer = month.write.partitionBy("month")
     (writer.option("header", True) if form == "csv" else writer).format(form).save(place)
     return place
+
+
+def table_in_order(rows: DataFrame, order: str, size: int, name: str) -> str:
+    """rows as files that a stream reads one after the other: file k has the rows of order from k * size on, and is written after
+    those before it, so that its time of writing is later."""
+    place = _place(rows.sparkSession, name)
+    numbered = rows.withColumn("_file", F.floor(F.col(order) / size))
+    for k in sorted(r[0] for r in numbered.select("_file").distinct().collect()):  # a few files
+        numbered.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(place)
+    return place
