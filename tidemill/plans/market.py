@@ -14,15 +14,15 @@ dual("d01_self_join", f"WITH {BARS} SELECT a.t, round(a.close, 6) AS click, roun
 dual("d11_not_exists", "SELECT o_orderkey FROM {orders} AS o WHERE o_orderstatus = 'O' AND NOT EXISTS (SELECT 1 FROM {lineitem} AS l WHERE l.l_orderkey = o.o_orderkey AND l.l_quantity > 30)")
 dual("d12_equi_join", "SELECT c_nationkey, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} AS o JOIN {customer} AS c ON o.o_custkey = c.c_custkey GROUP BY c_nationkey")
 dual("e01_resample_complete", f"WITH {SERIES}, h AS (SELECT floor(t / 14400) * 14400 AS t4, min_by(open, t) AS open, max(high) AS high, min(low) AS low, max_by(close, t) AS close, sum(volume) AS volume, count(*) AS n FROM series GROUP BY floor(t / 14400) * 14400) SELECT CAST(t4 AS BIGINT) AS t, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, round(volume, 4) AS volume FROM h WHERE n = 4")
-W = "OVER (PARTITION BY instrument ORDER BY t ROWS BETWEEN {0} PRECEDING AND CURRENT ROW)"
+W24, W48 = (f"OVER (PARTITION BY instrument ORDER BY t ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)" for k in (24, 48))
 dual("f01_lag_diff", f"WITH {BARS} SELECT instrument, t, round(close - lag(close, 3) OVER (PARTITION BY instrument ORDER BY t), 6) AS diff3 FROM bars")
-dual("f02_rolling_guarded", f"WITH {BARS} SELECT instrument, t, CASE WHEN count(close) {W} = 24 THEN round(avg(close) {W}, 6) END AS mean24, CASE WHEN count(close) {W} = 24 THEN max(high) {W} END AS max24 FROM bars".replace("{0}", "23"))
-dual("f03_rolling_z", f"WITH {BARS} SELECT instrument, t, CASE WHEN count(close) {W} >= 20 THEN round((close - avg(close) {W}) / greatest(stddev_samp(close) {W}, 1e-9), 6) END AS z FROM bars".replace("{0}", "47"))
+dual("f02_rolling_guarded", f"WITH {BARS} SELECT instrument, t, CASE WHEN count(close) {W24} = 24 THEN round(avg(close) {W24}, 6) END AS mean24, CASE WHEN count(close) {W24} = 24 THEN max(high) {W24} END AS max24 FROM bars")
+dual("f03_rolling_z", f"WITH {BARS} SELECT instrument, t, CASE WHEN count(close) {W48} >= 20 THEN round((close - avg(close) {W48}) / greatest(stddev_samp(close) {W48}, 1e-9), 6) END AS z FROM bars")
 dual("f16_contiguous_windows", f"WITH {BARS} SELECT instrument, t, CASE WHEN t - lag(t, 5) OVER (PARTITION BY instrument ORDER BY t) = 5 * 3600 THEN 1 ELSE 0 END AS whole FROM bars")
 RANGE = "OVER (ORDER BY t RANGE BETWEEN 259200 PRECEDING AND 1 PRECEDING)"
 dual("f17_rolling_quantile", f"WITH {SERIES} SELECT t, CASE WHEN count(*) {RANGE} >= 24 THEN round(@quantile(volume, 0.8) {RANGE}, 6) END AS threshold FROM series")
 dual("f18_masked_quantile", f"WITH {SERIES}, m AS (SELECT t, CASE WHEN ticks > 1 THEN volume END AS v FROM series) SELECT t, CASE WHEN count(v) {RANGE} >= 5 THEN round(@quantile(v, 0.5) {RANGE}, 6) END AS threshold FROM m")
-dual("f24_sessions", "WITH e AS (SELECT event_id, user_id, @epoch(ts) AS t FROM {events}), n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= 86400 THEN 0 ELSE 1 END AS fresh FROM e) SELECT event_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS session FROM n".replace("sum(fresh)", "CAST(sum(fresh)").replace("UNBOUNDED PRECEDING) AS session", "UNBOUNDED PRECEDING) AS BIGINT) AS session"))
+dual("f24_sessions", "WITH e AS (SELECT event_id, user_id, @epoch(ts) AS t FROM {events}), n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= 86400 THEN 0 ELSE 1 END AS fresh FROM e) SELECT event_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM n")
 dual("f25_sliding_dedup", "WITH e AS (SELECT event_id, user_id, event_type, @epoch(ts) AS t FROM {events}) SELECT event_id, CASE WHEN t - lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) <= 21600 THEN 1 ELSE 0 END AS repeated FROM e")
 dual("j17_blend", f"WITH {BARS} SELECT t, round(0.5 + sum((CASE WHEN instrument = 'click' THEN 0.7 ELSE 0.3 END) * (1 / (1 + exp(-close / 100)) - 0.5)), 8) AS p FROM bars WHERE instrument IN ('click', 'view') GROUP BY t")
 GRID = "cells AS (SELECT o_custkey % 5 AS a, o_orderkey % 4 AS b, year(o_orderdate) AS y, avg(o_totalprice) AS m, count(*) AS n FROM {orders} GROUP BY o_custkey % 5, o_orderkey % 4, year(o_orderdate)), scored AS (SELECT a, b, 0.7 * avg(m) + 0.3 * min(m) AS score, min(n) AS least FROM cells GROUP BY a, b)"

@@ -2,9 +2,7 @@
 
 from tidemill.plans.dual import BARS, SERIES, dual
 
-NOW = "(SELECT max(ts) FROM {events})"
-
-dual("e02_count_min_max", "SELECT event_type, count(*) AS n, @epoch(min(ts)) AS first, @epoch(max(ts)) AS last FROM {events} GROUP BY event_type".replace("@epoch(min(ts))", "min(t)").replace("@epoch(max(ts))", "max(t)").replace("{events}", "(SELECT event_type, @epoch(ts) AS t FROM {events}) AS e"))
+dual("e02_count_min_max", "SELECT event_type, count(*) AS n, min(t) AS first, max(t) AS last FROM (SELECT event_type, @epoch(ts) AS t FROM {events}) AS e GROUP BY event_type")
 dual("e03_count_filter", "SELECT count(*) FILTER (WHERE value > 100) AS high, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) AS n FROM {events}")
 dual("e04_sum_by_status", "SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY o_orderstatus, o_orderpriority")
 dual(
@@ -25,15 +23,15 @@ dual(
     "e08_period_returns",
     f"""WITH {TRADES}, daily AS (SELECT d, y, sum(r) AS r FROM trades GROUP BY d, y),
     equity AS (SELECT d, y, exp(sum(ln(1 + r / 10000)) OVER (ORDER BY d ROWS UNBOUNDED PRECEDING)) AS e FROM daily),
-    start AS (SELECT *, lag(e, 1, 1.0) OVER (ORDER BY d) AS s FROM equity)
-    SELECT y, round(max_by(e, d) / min_by(s, d) - 1, 8) AS ret FROM start GROUP BY y""".replace("lag(e, 1, 1.0)", "coalesce(lag(e, 1) OVER (ORDER BY d), 1.0)").replace("coalesce(lag(e, 1) OVER (ORDER BY d), 1.0) OVER (ORDER BY d)", "coalesce(lag(e, 1) OVER (ORDER BY d), 1.0)"),
+    start AS (SELECT *, coalesce(lag(e, 1) OVER (ORDER BY d), 1.0) AS s FROM equity)
+    SELECT y, round(max_by(e, d) / min_by(s, d) - 1, 8) AS ret FROM start GROUP BY y""",
 )
 dual("e10_account_summary", f"WITH {TRADES} SELECT count(*) AS n, count(*) FILTER (WHERE r > 0) AS wins, count(*) FILTER (WHERE r <= 0) AS losses, round(avg(CASE WHEN r > 0 THEN r END), 6) AS avg_win, round(avg(CASE WHEN r <= 0 THEN r END), 6) AS avg_loss, max(r) AS best, min(r) AS worst, count(*) FILTER (WHERE kind = 'O') AS n_o, count(*) FILTER (WHERE kind = 'F') AS n_f, count(*) FILTER (WHERE kind = 'P') AS n_p FROM trades")
 dual(
     "e11_seed_table",
     f"""WITH {TRADES}, seeds AS (SELECT id % 5 AS seed, avg(r) AS m, count(*) AS n FROM trades GROUP BY id % 5)
-    SELECT CAST(seed AS STRING) AS label, round(m, 6) AS mean_r FROM seeds UNION ALL SELECT 'mean', round(avg(m), 6) FROM seeds
-    UNION ALL SELECT 'std', round(stddev_samp(m), 6) FROM seeds UNION ALL SELECT 'min', round(min(m), 6) FROM seeds""".replace("AS STRING", "AS VARCHAR(20)"),
+    SELECT CAST(seed AS VARCHAR(20)) AS label, round(m, 6) AS mean_r FROM seeds UNION ALL SELECT 'mean', round(avg(m), 6) FROM seeds
+    UNION ALL SELECT 'std', round(stddev_samp(m), 6) FROM seeds UNION ALL SELECT 'min', round(min(m), 6) FROM seeds""",
 )
 dual("e12_ensemble_mean", "SELECT user_id, @epoch(d) AS day, round(avg(value), 6) AS p, count(*) AS seeds FROM (SELECT *, date_trunc('day', ts) AS d FROM {events}) AS e GROUP BY user_id, d, @epoch(d)")
 SCORED = "scored AS (SELECT l.doc_id, l.quality AS y, l.toxic, d.n_chars AS score, d.lang, CAST(1 / (1 + exp(-(ln(1 + d.n_chars) - 7))) AS DOUBLE) AS p FROM {labels} AS l JOIN {documents} AS d ON l.doc_id = d.doc_id)"
@@ -50,11 +48,11 @@ dual(
 dual("e18_fixed_bins", "SELECT CASE WHEN value <= 10 THEN '(0,10]' WHEN value <= 50 THEN '(10,50]' WHEN value <= 200 THEN '(50,200]' ELSE '(200,)' END AS bin, count(*) AS n, round(avg(value), 6) AS mean FROM {events} GROUP BY CASE WHEN value <= 10 THEN '(0,10]' WHEN value <= 50 THEN '(10,50]' WHEN value <= 200 THEN '(50,200]' ELSE '(200,)' END")
 dual("e19_rollup_total", "SELECT coalesce(o_orderstatus, 'total') AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM {orders} GROUP BY ROLLUP (o_orderstatus)")
 dual("e20_bucket_counts", "SELECT event_type, @epoch(d) AS day, count(*) AS n FROM (SELECT *, date_trunc('day', ts) AS d FROM {events}) AS e GROUP BY event_type, d, @epoch(d)")
-dual("e21_freshness", f"SELECT event_type, (SELECT max(t) FROM ev) - max(t) AS lag_s, count(*) FILTER (WHERE t >= (SELECT max(t) FROM ev) - 86400) AS last_day FROM ev GROUP BY event_type".replace("SELECT event_type,", "WITH ev AS (SELECT event_type, @epoch(ts) AS t FROM {events}) SELECT event_type,", 1).replace("(SELECT max(t) FROM ev)", "m") .replace("FROM ev GROUP BY event_type", "FROM ev CROSS JOIN (SELECT max(t) AS m FROM ev) AS x GROUP BY event_type, m"))
+dual("e21_freshness", "WITH ev AS (SELECT event_type, @epoch(ts) AS t FROM {events}) SELECT event_type, m - max(t) AS lag_s, count(*) FILTER (WHERE t >= m - 86400) AS last_day FROM ev CROSS JOIN (SELECT max(t) AS m FROM ev) AS x GROUP BY event_type, m")
 dual("e22_oldest_age", "WITH ev AS (SELECT user_id, @epoch(ts) AS t FROM {events}), last AS (SELECT user_id, max(t) AS t FROM ev GROUP BY user_id) SELECT coalesce(max((SELECT max(t) FROM ev) - t), 0) AS oldest FROM last")
 dual("e23_value_counts", "SELECT lang, count(*) AS n, count(DISTINCT source) AS sources, round(avg(CASE WHEN n_chars > 1000 THEN 1.0 ELSE 0.0 END), 6) AS long_share FROM {documents} GROUP BY lang")
 dual("e24_hour_histogram", "SELECT hour(ts) AS h, count(*) AS n FROM {events} GROUP BY hour(ts)")
-dual("e38_decay_weights", "SELECT o_orderkey, round(greatest(power(0.5, datediff(last, o_orderdate) / 540.0), 0.2), 8) AS w FROM {orders} CROSS JOIN (SELECT max(o_orderdate) AS last FROM {orders}) AS x".replace("datediff(last, o_orderdate)", "((@epoch(last) - @epoch(o_orderdate)) / 86400)"))
+dual("e38_decay_weights", "SELECT o_orderkey, round(greatest(power(0.5, ((@epoch(last) - @epoch(o_orderdate)) / 86400) / 540.0), 0.2), 8) AS w FROM {orders} CROSS JOIN (SELECT max(o_orderdate) AS last FROM {orders}) AS x")
 dual("e42_calibration_share", f"WITH {SCORED}, q AS (SELECT @quantile(p, 0.8) AS thr FROM scored WHERE doc_id % 2 = 0) SELECT round(thr, 9) AS thr, count(*) FILTER (WHERE p >= thr) AS above, count(*) AS n FROM scored CROSS JOIN q WHERE doc_id % 2 = 1 GROUP BY thr")
 dual("f22_latest_per_source", "SELECT event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS k FROM {events}) AS e WHERE k = 1")
 dual("g02_order_limit", "SELECT event_id, value FROM {events} ORDER BY value DESC, event_id LIMIT 48")

@@ -210,7 +210,7 @@ def message_text(spark, sf_dir):
     return rows.select("o_orderkey", F.format_string("%s #%d %s", F.when(F.col("o_orderkey") % 2 == 0, "LONG").otherwise("SHORT"), "o_orderkey", status[F.col("o_orderstatus")]).alias("text"))
 
 
-dual("o34_feeds", "WITH e AS (SELECT event_id, user_id, event_type, @epoch(ts) AS t, (SELECT max(@epoch(ts)) FROM {events}) AS now FROM {events}) SELECT a.event_id, min(b.event_id) AS reply_to FROM e AS a LEFT JOIN e AS b ON b.user_id = a.user_id AND b.event_type = 'purchase' AND b.t <= a.t WHERE a.event_type = 'click' AND a.t >= a.now - 86400 GROUP BY a.event_id".replace("(SELECT max(@epoch(ts)) FROM {events}) AS now FROM {events}", "0 AS z FROM {events}").replace("a.t >= a.now - 86400", "a.t >= (SELECT max(t) FROM e) - 86400"))
+dual("o34_feeds", "WITH e AS (SELECT event_id, user_id, event_type, @epoch(ts) AS t FROM {events}) SELECT a.event_id, min(b.event_id) AS reply_to FROM e AS a LEFT JOIN e AS b ON b.user_id = a.user_id AND b.event_type = 'purchase' AND b.t <= a.t WHERE a.event_type = 'click' AND a.t >= (SELECT max(t) FROM e) - 86400 GROUP BY a.event_id")
 
 
 @query("o40_append_new", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'kept' ELSE 'appended' END AS state FROM events")
