@@ -47,6 +47,7 @@ class WordEncoder:
             raise ValueError("added tokens that strip, or match whole words or normalised text, are not supported")
         self.added = {t.content: np.array([i], "<u4").tobytes() for i, t in added.items()}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if added else None
+        self.mark = os.path.commonprefix(list(self.added))  # a text without it holds no added token
         self.model = self.whole.model
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
         extra = iter(range(256, 512))
@@ -78,7 +79,7 @@ class WordEncoder:
         return ids
 
     def encode(self, text: str) -> bytes:
-        if self.cut is None or not self.cut.search(text):
+        if self.cut is None or self.mark not in text:
             return self._plain(text)
         return b"".join([self.added.get(p) or self._plain(p) for p in self.cut.split(text)])
 
