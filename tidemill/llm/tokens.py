@@ -6,6 +6,7 @@ import os
 import re
 import unicodedata
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tidemill.llm.common import documents, input_columns, process_cache, shared_path
 
-#: Entries that a worker's word caches hold at most; further words are encoded anew, with the same ids.
-CACHE_WORDS = 250_000
-SPLIT, ODD = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[\x1C-\x1F]")
+#: Entries that a worker's caches of words and of punctuation hold at most; others are encoded anew, with the same ids.
+CACHE_WORDS, CACHE_MARKS = 500_000, 10_000
+SPLIT, ODD = re.compile(r"[^\x20\x09-\x0D]+"), "\x1c\x1d\x1e\x1f"
 #: Files whose offsets (16 bytes each) are broadcast on reading; those of more files are joined as Catalyst sees fit.
 BROADCAST_FILES = 1 << 20
 PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -53,27 +54,37 @@ class WordEncoder:
         extra = iter(range(256, 512))
         self.byte = {b: chr(b) if b in keep else chr(next(extra)) for b in range(256)}
         self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {}
 
     def _word(self, word: str) -> bytes:
-        """Ids of one pre-token, already lower-case."""
-        ids = self.words.get(word)
+        """Ids of one pre-token, already lower-case: they are those of the word as a piece, too, if it is all letters."""
+        ids = self.pieces.get(word)
         if ids is None:
             mapped = word if word.isascii() else "".join(map(self.byte.__getitem__, word.encode()))
-            ids = np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
-            if len(self.words) < CACHE_WORDS:
-                self.words[word] = ids
+            ids = array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+            if len(self.pieces) < CACHE_WORDS and word.isalpha():
+                self.pieces[word] = ids
+        return ids
+
+    def _marks(self, marks: str) -> bytes:
+        ids = self.marks.get(marks)
+        if ids is None:
+            ids = self._word(marks)
+            if len(self.marks) < CACHE_MARKS:
+                self.marks[marks] = ids
         return ids
 
     def _piece(self, piece: str) -> bytes:
         core = piece.rstrip(PUNCTUATION)
         low = core.lower()
-        if core.isalpha() and len(low) == len(core) and len(core) < 1000 and max(core) < "ɐ" and unicodedata.is_normalized("NFC", core):
+        if core.isalpha() and len(core) < 1000 and (core.isascii() or len(low) == len(core) and max(core) < "ɐ" and unicodedata.is_normalized("NFC", core)):
             ids = self._word(low)
             if len(core) < len(piece):
-                ids += self._word(piece[len(core) :])
+                ids += self._marks(piece[len(core) :])
+            elif low == piece:
+                return ids
         else:
-            ids = np.array(self.whole.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+            ids = array("I", self.whole.encode(piece, add_special_tokens=False).ids).tobytes()
         if len(self.pieces) < CACHE_WORDS:
             self.pieces[piece] = ids
         return ids
@@ -86,7 +97,7 @@ class WordEncoder:
     def _plain(self, text: str) -> bytes:
         get, miss = self.pieces.get, self._piece
         # str.split() also cuts at 0x1C to 0x1F, which the tokenizer keeps
-        parts = SPLIT.findall(text) if ODD.search(text) else text.split()
+        parts = SPLIT.findall(text) if any(c in text for c in ODD) else text.split()
         return b"".join([get(p) or miss(p) for p in parts])
 
 
