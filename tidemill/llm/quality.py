@@ -154,17 +154,27 @@ def _sparse(batches):
             part = batch.column(1).slice(a, b - a)
             doc, dim, value = hashed(part)
             place = pa.array(np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(place, pa.array(x)) for x in (dim.astype(np.int32), value)]
+            lists = [pa.ListArray.from_arrays(place, pa.array(x)) for x in (dim.astype(np.int16), value.astype(np.float32))]
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(_pattern(votes(quality(part))).astype(np.int64)), *lists], names=["key", "pattern", "dim", "value"])
 
 
+#: Features of a block of the fit: its temporary arrays stay small and in the processor's caches.
+FIT_BLOCK = 1 << 16
+
+
 def fit_scorer(doc: np.ndarray, dim: np.ndarray, value: np.ndarray, y: np.ndarray, rounds: int = 300) -> np.ndarray:
-    """Logistic regression on probabilities y by Adam, all rows at once; the last weight is the bias."""
+    """Logistic regression on probabilities y by Adam, all rows at once; the last weight is the bias. doc is ascending, and
+    margins and gradients are summed over blocks of whole documents."""
+    place = np.searchsorted(doc, np.arange(len(y) + 1))
+    cuts = np.unique(np.append(np.searchsorted(place, np.arange(0, len(doc), FIT_BLOCK)), [0, len(y)]))
+    blocks = [(a, b, doc[place[a] : place[b]] - a, slice(place[a], place[b])) for a, b in zip(cuts[:-1], cuts[1:])]
     w, m, s = np.zeros(WIDTH + 1), np.zeros(WIDTH + 1), np.zeros(WIDTH + 1)
     for t in range(1, rounds + 1):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(doc, value * w[dim], minlength=len(y)) + w[-1], -30, 30)))
-        e = p - y
-        g = np.append(np.bincount(dim, value * e[doc], minlength=WIDTH) / len(y), e.mean()) + 1e-5 * w
+        g = 1e-5 * w
+        for a, b, of, at in blocks:
+            p = 1 / (1 + np.exp(-np.clip(np.bincount(of, value[at] * w[dim[at]], minlength=b - a) + w[-1], -30, 30)))
+            e = p - y[a:b]
+            g += np.append(np.bincount(dim[at], value[at] * e[of], minlength=WIDTH), e.sum()) / len(y)
         m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
         w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-8)
     return w
@@ -196,11 +206,14 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if chosen is None:
         return model, np.zeros(WIDTH + 1)
     rows = keys.where(F.col("key") <= F.lit(chosen)).groupBy("key").agg(F.min("text").alias("text"))  # rows that repeat another count once
-    sample = rows.mapInArrow(_sparse, "key long, pattern long, dim array<int>, value array<double>").toArrow().sort_by("key")  # sums of floats depend on the order
+    sample = rows.mapInArrow(_sparse, "key long, pattern long, dim array<short>, value array<float>").toArrow().sort_by("key")  # sums of floats depend on the order
     dim, value = sample["dim"].combine_chunks(), sample["value"].combine_chunks()
-    doc = np.repeat(np.arange(len(sample)), dim.value_lengths().to_numpy())
+    doc = np.repeat(np.arange(len(sample), dtype=np.int32), dim.value_lengths().to_numpy())
     y = posterior(_votes_of(sample["pattern"].to_numpy()), model)
-    return model, fit_scorer(doc, dim.flatten().to_numpy(), value.flatten().to_numpy(), y)
+    w = fit_scorer(doc, dim.flatten().to_numpy(), value.flatten().to_numpy(), y)
+    del sample, dim, value
+    pa.default_memory_pool().release_unused()  # the driver goes on to other stages
+    return model, w
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
