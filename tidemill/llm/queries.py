@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm import alignment, decontamination, lines, packing, quality, secrets, simhash, substrings, tokens, topk, toxicity, urls
+from tidemill.llm import alignment, decontamination, fingerprints, lines, packing, quality, secrets, simhash, substrings, tokens, topk, toxicity, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": tokens.op1_token_files,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_fingerprints": fingerprints.op11_fingerprints,
     "op12_lines": lines.op12_lines,
     "op13_alignment": alignment.op13_alignment,
 }
