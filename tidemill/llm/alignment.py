@@ -17,7 +17,7 @@ from tidemill.llm.common import documents, input_columns, materialize, process_c
 from tidemill.llm.tokens import tokenizer_path
 
 #: What a worker's cache of aligned segments holds at most, in entries and in pairs and characters; then it starts anew.
-CACHE_SEGMENTS, CACHE_UNITS = 150_000, 8 << 20
+CACHE_SEGMENTS, CACHE_UNITS = 400_000, 8 << 20
 #: Characters of text that are split at once, and postings that are kept before they are added up.
 PART, PENDING = 1 << 20, 2 << 20
 #: A side id with at least this share of the posting rows is dealt over shards; at most 1 / SIDE_SHARE ids are.
@@ -44,14 +44,18 @@ class Aligner:
         self.a.encode_special_tokens = True
         self.encode_a = getattr(self.a, "encode_batch_fast", self.a.encode_batch)
         keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        byte = {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(keep))}
-        self.bytes_a = {i: bytes(byte[c] for c in t) if all(c in byte for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        byte = [chr(b) for b in keep] + [chr(256 + i) for i in range(256 - len(keep))]
+        vocabulary = self.a.get_vocab()
+        if not all(c in vocabulary for c in byte):
+            raise ValueError("A must be a byte-level vocabulary that spells every byte")
+        self.size_a = {i: len(t) for t, i in vocabulary.items()}  # a character a byte
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search("[^▁]▁|\n", p) for p in pieces):
             raise ValueError("a vocabulary whose pieces reach over blanks or line feeds is not supported")
         self.blank = self.b.piece_to_id("▁")
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.size_b = [len(p) for p in self.bytes_b]
         self.clear()
 
     def clear(self) -> None:
@@ -83,29 +87,35 @@ class Aligner:
         return np.array(found, np.int64)
 
     def _add(self, segment: str, a: list[int], b: list[int]) -> None:
-        spelled_a, spelled_b, want = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b], segment.encode()
-        valid = b"".join(spelled_a) == want == b"".join(spelled_b)
-        groups, pairs, n, k = [], {}, 0, 0
+        size_a, size_b = self.size_a, self.size_b
+        valid = b"".join([self.bytes_b[j] for j in b]) == segment.encode()  # A's bytes are always the text's
+        groups, pairs, n, k = "", {}, 0, 0
         if valid:
             i = j = i0 = j0 = 0
-            end_a, end_b = len(spelled_a[0]), len(spelled_b[0])
+            end_a, end_b, last_a, last_b = size_a[a[0]], size_b[b[0]], len(a) - 1, len(b) - 1
             while True:  # each step is a pair that overlaps; the token that ends first moves on
                 pair = a[i] << 32 | b[j]
                 pairs[pair] = pairs.get(pair, 0) + 1
                 n += 1
-                step_a, step_b = end_a <= end_b, end_b <= end_a
-                i, j = i + step_a, j + step_b
-                if step_a and step_b:
-                    groups.append(",".join(map(str, a[i0:i])) + "|" + ",".join(map(str, b[j0:j])))
-                    i0, j0, k = i, j, k + 1
-                    if i == len(a):
+                if end_a == end_b:
+                    k += 1
+                    group = f"{a[i]}|{b[j]}" if i == i0 and j == j0 else ",".join(map(str, a[i0 : i + 1])) + "|" + ",".join(map(str, b[j0 : j + 1]))
+                    if i == last_a and j == last_b:
+                        groups += group
                         break
-                if step_a:
-                    end_a += len(spelled_a[i])
-                if step_b:
-                    end_b += len(spelled_b[j])
+                    groups += group + ";"
+                    i0 = i = i + 1
+                    j0 = j = j + 1
+                    end_a += size_a[a[i]]
+                    end_b += size_b[b[j]]
+                elif end_a < end_b:
+                    i += 1
+                    end_a += size_a[a[i]]
+                else:
+                    j += 1
+                    end_b += size_b[b[j]]
         self.index[segment] = len(self.groups)
-        self.groups.append(";".join(groups))
+        self.groups.append(groups)
         self.keys.extend(pairs)
         self.times.extend(pairs.values())
         self.at.append(len(self.keys))
