@@ -109,7 +109,9 @@ def strip_lines(docs: DataFrame, least: int = LEAST_DOCUMENTS, id_col: str = "do
     own = Stripper(spark, least)
     # a join that is small at this size is not one for a broadcast: keys grow with the corpus
     settings = {"spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1"}
-    state = {"spark__sql__streaming__stateStore__providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    store = "spark__sql__streaming__stateStore"
+    state = {f"{store}__providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
+    state |= {f"{store}__rocksdb__allowFAllocate": "false", f"{store}__rocksdb__changelogCheckpointing__enabled": "true"}  # no space taken in advance
     with session_conf(spark, **settings, **state):
         stage(docs, id_col, text_col).write.partitionBy("batch").parquet(f"{own.place}/staged")
         for k in range(BATCHES):
