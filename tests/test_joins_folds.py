@@ -54,45 +54,6 @@ def test_ranges(spark, width):
     assert set(got.columns) == {"id", "k", "x", "note", "id_range", "s", "e", "note_range"}
 
 
-def slow_pivots(high, low, rev):
-    """One bar at a time, by the rules of the survey's A.5."""
-    up, out = None, []
-    best_high, best_low = (high[0], 0), (low[0], 0)
-    for i in range(1, len(high)):
-        if up is None:
-            best_high, best_low = max(best_high, (high[i], i), key=lambda x: x[0]), min(best_low, (low[i], i), key=lambda x: x[0])
-            rise, fall = high[i] / best_low[0] - 1, 1 - low[i] / best_high[0]
-            if rise >= rev and rise >= fall and best_low[1] < i:
-                out.append((best_low[1], i, -1))
-                up, best_high = True, (high[i], i)
-            elif fall >= rev and best_high[1] < i:
-                out.append((best_high[1], i, 1))
-                up, best_low = False, (low[i], i)
-        elif up and high[i] >= best_high[0]:
-            best_high = (high[i], i)
-        elif up and low[i] <= best_high[0] * (1 - rev):
-            out.append((best_high[1], i, 1))
-            up, best_low = False, (low[i], i)
-        elif not up and low[i] <= best_low[0]:
-            best_low = (low[i], i)
-        elif not up and high[i] >= best_low[0] * (1 + rev):
-            out.append((best_low[1], i, -1))
-            up, best_high = True, (high[i], i)
-    return out
-
-
-def test_pivots(monkeypatch):
-    rng = np.random.default_rng(5)
-    for block in (1, 3, 64):
-        monkeypatch.setattr(folds, "BLOCK", block)
-        for _ in range(60):
-            n = int(rng.integers(1, 400))
-            mid = np.exp(np.cumsum(rng.choice([-0.02, 0.0, 0.01, 0.02], n)))
-            high, low = mid * (1 + rng.choice([0, 0.01], n)), mid * (1 - rng.choice([0, 0.01, 0.05], n))
-            for rev in (0.01, 0.05, 0.2):
-                assert folds.pivots_of(high, low, rev) == slow_pivots(high.tolist(), low.tolist(), rev)
-
-
 def test_running(spark):
     rng = random.Random(2)
     rows = [(rng.choice("xy"), t, i, rng.choice([None, 1, -2, 5])) for i, t in enumerate(rng.choices(range(60), k=200))]

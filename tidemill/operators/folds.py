@@ -68,87 +68,6 @@ def ewm_volatility(bars: DataFrame, by: str, order: str, price: str, span: int,
     return done.select(by, order, F.when(F.col("_seen") + F.col("_k") >= span, F.greatest(sigma, F.lit(floor))).alias("sigma"))
 
 
-# --- confirmed pivots
-
-BLOCK = 64
-
-
-def _first(start: int, stop: int, test) -> int | None:
-    """The first index from start to stop - 1 for which test(a, b), flags of a block a:b, holds; blocks double in size."""
-    a, size = start, BLOCK
-    while a < stop:
-        b = min(a + size, stop)
-        flags = test(a, b)
-        if flags.any():
-            return a + int(flags.argmax())
-        a, size = b, size * 2
-    return None
-
-
-def pivots_of(high: np.ndarray, low: np.ndarray, reversal: float) -> list[tuple[int, int, int]]:
-    """(pivot, confirmed, kind) of one series, kind 1 for a high. Leg by leg: the running extreme of a whole block at a time,
-    and the first bar that comes back from it by reversal without setting a new one."""
-    n, out = len(high), []
-
-    def opening() -> tuple[int, int, int] | None:  # both extremes, the earliest bar of each; the larger swing wins
-        def swings(b):
-            top, bottom = np.maximum.accumulate(high[:b]), np.minimum.accumulate(low[:b])
-            up, down = high[:b] / bottom - 1, 1 - low[:b] / top
-            rose, fell = (up >= reversal) & (up >= down), down >= reversal
-            rose[1:] &= low[1:b] >= bottom[:-1]  # the extreme is an earlier bar's
-            fell[1:] &= high[1:b] <= top[:-1]
-            return rose, fell
-
-        i = _first(1, n, lambda a, b: np.logical_or(*swings(b))[a:])
-        if i is None:
-            return None
-        return (int(low[: i + 1].argmin()), i, -1) if swings(i + 1)[0][i] else (int(high[: i + 1].argmax()), i, 1)
-
-    leg = opening()
-    while leg is not None:
-        out.append(leg)
-        start, kind = leg[1], leg[2]
-        # after a low the running extreme is the top, and the other way round; a sign makes both cases one
-        ahead, back, sign = (high, low, 1.0) if kind < 0 else (-low, -high, -1.0)
-        best = ahead[start]
-
-        def test(a, b):
-            nonlocal best
-            run = np.maximum.accumulate(np.append(best, ahead[a:b]))
-            best = run[-1]
-            before = run[:-1]
-            return (ahead[a:b] < before) & (back[a:b] <= before * (1 - sign * reversal))
-
-        i = _first(start + 1, n, test)
-        if i is None:
-            break
-        extreme = ahead[start:i].max()
-        pivot = start + int(np.flatnonzero(ahead[start:i] == extreme)[-1])  # a later bar of the same extreme takes over
-        leg = (pivot, i, -kind)
-    return out
-
-
-def confirmed_pivots(bars: DataFrame, by: str, order: str, high: str, low: str, reversal: float) -> DataFrame:
-    """(by, pivot, confirmed, price, kind): turning points, each known only once the price has come back by reversal.
-
-    Up to the first pivot both extremes are tracked and the larger swing wins, a rise if both are as large; after that a bar
-    that reaches the running extreme moves it and is not tested. A series' bars meet in one task, as each leg starts where the
-    last one was confirmed; that is as long as its history, however many trades made its bars. Bars with nulls are left out.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order, kind="stable")
-        t, top, bottom = frame[order].to_numpy(), frame[high].to_numpy(float), frame[low].to_numpy(float)
-        found = pivots_of(top, bottom, reversal)
-        rows = [(t[p], t[c], top[p] if kind > 0 else bottom[p], kind) for p, c, kind in found]
-        out = pd.DataFrame(rows, columns=["pivot", "confirmed", "price", "kind"])
-        out.insert(0, by, frame[by].iloc[0])
-        return out
-
-    good = bars.select(by, order, high, low).dropna()
-    return good.groupBy(by).applyInPandas(run, f"{by} string, pivot long, confirmed long, price double, kind int")
-
-
 # --- admission and equity
 
 def _islands(trades: DataFrame, by: str, start: str, leave: str, chunk: int, alone) -> DataFrame:

@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
-from tidemill.operators.folds import confirmed_pivots, ewm_volatility
+from tidemill.operators.folds import ewm_volatility
+from tidemill.operators.pivots import confirmed_pivots
 from tidemill.plans import market  # noqa: F401  registers J01
 from tidemill.plans.dual import BARS, duck, run
 from tidemill.registry import SQL, query

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tidemill.operators import folds, joins
+from tidemill.operators.pivots import confirmed_pivots
 from tidemill.plans.dual import BARS, SERIES, dual, duck, run
 from tidemill.registry import query
 
@@ -19,9 +20,6 @@ dual("f01_lag_diff", f"WITH {BARS} SELECT instrument, t, round(close - lag(close
 dual("f02_rolling_guarded", f"WITH {BARS} SELECT instrument, t, CASE WHEN count(close) {W24} = 24 THEN round(avg(close) {W24}, 6) END AS mean24, CASE WHEN count(close) {W24} = 24 THEN max(high) {W24} END AS max24 FROM bars")
 dual("f03_rolling_z", f"WITH {BARS} SELECT instrument, t, CASE WHEN count(close) {W48} >= 20 THEN round((close - avg(close) {W48}) / greatest(stddev_samp(close) {W48}, 1e-9), 6) END AS z FROM bars")
 dual("f16_contiguous_windows", f"WITH {BARS} SELECT instrument, t, CASE WHEN t - lag(t, 5) OVER (PARTITION BY instrument ORDER BY t) = 5 * 3600 THEN 1 ELSE 0 END AS whole FROM bars")
-RANGE = "OVER (ORDER BY t RANGE BETWEEN 259200 PRECEDING AND 1 PRECEDING)"
-dual("f17_rolling_quantile", f"WITH {SERIES} SELECT t, CASE WHEN count(*) {RANGE} >= 24 THEN round(@quantile(volume, 0.8) {RANGE}, 6) END AS threshold FROM series")
-dual("f18_masked_quantile", f"WITH {SERIES}, m AS (SELECT t, CASE WHEN ticks > 1 THEN volume END AS v FROM series) SELECT t, CASE WHEN count(v) {RANGE} >= 5 THEN round(@quantile(v, 0.5) {RANGE}, 6) END AS threshold FROM m")
 dual("f24_sessions", "WITH e AS (SELECT event_id, user_id, @epoch(ts) AS t FROM {events}), n AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) <= 86400 THEN 0 ELSE 1 END AS fresh FROM e) SELECT event_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS session FROM n")
 dual("f25_sliding_dedup", "WITH e AS (SELECT event_id, user_id, event_type, @epoch(ts) AS t FROM {events}) SELECT event_id, CASE WHEN t - lag(t) OVER (PARTITION BY user_id, event_type ORDER BY t, event_id) <= 21600 THEN 1 ELSE 0 END AS repeated FROM e")
 dual("j17_blend", f"WITH {BARS} SELECT t, round(0.5 + sum((CASE WHEN instrument = 'click' THEN 0.7 ELSE 0.3 END) * (1 / (1 + exp(-close / 100)) - 0.5)), 8) AS p FROM bars WHERE instrument IN ('click', 'view') GROUP BY t")
@@ -92,7 +90,7 @@ _PIVOT_STEP = """
       CASE WHEN os = 0 THEN nhi ELSE ohi END, CASE WHEN os = 0 THEN nht ELSE oht END, CASE WHEN os = 0 THEN nlo ELSE olo END, CASE WHEN os = 0 THEN nlt ELSE olt END FROM ({_PIVOT_STEP}) AS x)
   SELECT instrument, CASE WHEN s = 1 THEN olt ELSE oht END AS pivot, t AS confirmed, CASE WHEN s = 1 THEN olo ELSE ohi END AS price, CASE WHEN s = 1 THEN -1 ELSE 1 END AS kind FROM c WHERE s <> os"""))
 def j01(spark, sf_dir):
-    return folds.confirmed_pivots(run(spark, sf_dir, _BAR_ROWS), "instrument", "t", "high", "low", 0.3)
+    return confirmed_pivots(run(spark, sf_dir, _BAR_ROWS), "instrument", "t", "high", "low", 0.3)
 
 
 _HELD = "WITH e AS (SELECT event_id AS id, event_type AS book, @epoch(ts) AS t, value FROM {events}) SELECT id, book, t AS signal, t + id % 4 * 900 AS entry, t + id % 4 * 900 + CAST(floor(value) AS BIGINT) * 600 AS leave, value / 250 - 0.9 AS r FROM e"

@@ -1,12 +1,11 @@
-"""Robust rolling statistics, carries, gates and path statistics per instrument."""
+"""Robust rolling statistics, carries, gates and path statistics per instrument."""
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, Window as W, functions as F
 
-from tidemill.operators.folds import confirmed_pivots, ewm_volatility
+from tidemill.operators.folds import ewm_volatility
+from tidemill.operators.pivots import confirmed_pivots
 from tidemill.plans import market  # noqa: F401  registers J01
 from tidemill.plans.dual import BARS, duck, dual, run
 from tidemill.registry import SQL, query
@@ -112,54 +111,6 @@ def fold_quantile(spark, sf_dir):
     return rows.join(cut, ["instrument", "fold"]).select("instrument", "t", (F.col("volume") >= F.col("x")).cast("int").alias("top"))
 
 
-_PAST = "b.instrument = a.instrument AND b.t >= a.t - 259200 AND b.t < a.t"
-
-
-def _gates_sql() -> str:
-    cells = []
-    for order, touch, turn in itertools.product(("touch_first", "dir_first"), (0.3, 0.5), (0.2, 0.4)):
-        if order == "touch_first":  # the direction's quantile among past rows that reach this row's touch gate
-            cells.append(f"""SELECT '{order}' AS gate_order, {touch} AS touch_top, {turn} AS dir_top, instrument, t, thr, quantile_cont(d, 1 - {turn}) AS gate FROM (
-              SELECT q.instrument, q.t, q.thr, b.d FROM (SELECT a.instrument, a.t, quantile_cont(b.p, 1 - {touch}) AS thr FROM x AS a JOIN x AS b ON {_PAST} GROUP BY a.instrument, a.t HAVING count(*) >= 24) AS q
-              JOIN x AS b ON b.instrument = q.instrument AND b.t >= q.t - 259200 AND b.t < q.t AND b.p >= q.thr) GROUP BY instrument, t, thr HAVING count(*) >= 5""")
-        else:
-            cells.append(f"""SELECT '{order}', {touch}, {turn}, instrument, t, quantile_cont(p, 1 - {touch}) AS thr, gate FROM (
-              SELECT q.instrument, q.t, q.gate, b.p FROM (SELECT a.instrument, a.t, quantile_cont(b.d, 1 - {turn}) AS gate FROM x AS a JOIN x AS b ON {_PAST} GROUP BY a.instrument, a.t HAVING count(*) >= 24) AS q
-              JOIN x AS b ON b.instrument = q.instrument AND b.t >= q.t - 259200 AND b.t < q.t AND b.d >= q.gate) GROUP BY instrument, t, gate HAVING count(*) >= 5""")
-    return f"WITH {BARS}, x AS (SELECT instrument, t, volume AS p, close AS d FROM bars WHERE instrument IN ('click', 'view')) SELECT gate_order, touch_top, dir_top, instrument, t, round(thr, 6) AS thr, round(gate, 6) AS gate FROM ({' UNION ALL '.join(cells)})"
-
-
-def _quantile_of(sorted_values: Column, q: float) -> Column:
-    """Interpolated quantile of a sorted array."""
-    place = F.lit(q) * (F.size(sorted_values) - 1)
-    low = F.floor(place).cast("int")
-    a, b = F.element_at(sorted_values, low + 1), F.element_at(sorted_values, F.least(low + 2, F.size(sorted_values)))
-    return a + (b - a) * (place - low)
-
-
-@query("f20_gate_orders", duck(_gates_sql()))
-def gate_orders(spark, sf_dir):
-    """Both orders of two gates for all pairs of shares: the second gate's quantile is taken among the past rows that pass the
-    first one's. One frame of 72 hours is collected once for all cells."""
-    rows = run(spark, sf_dir, f"WITH {BARS} SELECT instrument, t, volume AS p, close AS d FROM bars WHERE instrument IN ('click', 'view')")
-    rows = rows.withColumn("past", F.collect_list(F.struct("p", "d")).over(_of().rangeBetween(-259200, -1))).where("size(past) >= 24")
-    ordered = lambda c: F.array_sort(F.transform("past", lambda x: x[c]))
-    rows = rows.withColumn("ps", ordered("p")).withColumn("ds", ordered("d"))
-    cells = []
-    for order, touch, turn in itertools.product(("touch_first", "dir_first"), (0.3, 0.5), (0.2, 0.4)):
-        first, second, own, q1, q2 = ("p", "d", "ps", touch, turn) if order == "touch_first" else ("d", "p", "ds", turn, touch)
-        cells.append(F.struct(F.lit(order).alias("gate_order"), F.lit(touch).alias("touch_top"), F.lit(turn).alias("dir_top"), F.lit(first).alias("first"), F.lit(second).alias("second"), _quantile_of(F.col(own), 1 - q1).alias("a"), F.lit(1 - q2).alias("q")))
-    rows = rows.select("instrument", "t", "past", F.explode(F.array(*cells)).alias("c")).select("instrument", "t", "past", "c.*")
-    hits = F.array_sort(F.when(F.col("first") == "p", F.transform(F.filter("past", lambda x: x["p"] >= F.col("a")), lambda x: x["d"])).otherwise(F.transform(F.filter("past", lambda x: x["d"] >= F.col("a")), lambda x: x["p"])))
-    rows = rows.withColumn("h", hits).where("size(h) >= 5")
-    place = F.col("q") * (F.size("h") - 1)
-    low = F.floor(place).cast("int")
-    x, y = F.element_at("h", low + 1), F.element_at("h", F.least(low + 2, F.size("h")))
-    other = x + (y - x) * (place - low)
-    touch_first = F.col("gate_order") == "touch_first"
-    return rows.select("gate_order", "touch_top", "dir_top", "instrument", "t", F.round(F.when(touch_first, F.col("a")).otherwise(other), 6).alias("thr"), F.round(F.when(touch_first, other).otherwise(F.col("a")), 6).alias("gate"))
-
-
 @query("g01_keep_first_last", duck("WITH e AS (SELECT user_id, event_type, event_id, ts FROM {events}) SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS first, arg_max(event_id, (ts, event_id)) AS last FROM e GROUP BY ALL"))
 def keep_first_last(spark, sf_dir):
     """Of rows with one key the first and the last by time, ties by id."""

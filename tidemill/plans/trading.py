@@ -73,29 +73,6 @@ def parameter_grid(spark, sf_dir):
     return counts.select("event_type", F.explode(cells).alias("x")).select("x.a", "event_type", "x.n") if grid else counts.select(F.lit(0).cast("long").alias("a"), "event_type", F.lit(0).cast("long").alias("n"))
 
 
-_RANGE = "OVER (ORDER BY t RANGE BETWEEN 259200 PRECEDING AND 1 PRECEDING)"
-
-
-@query("f19_own_threshold_gate", duck(f"""WITH {SERIES}, q AS (SELECT t, volume AS p, close AS d, CASE WHEN count(*) {_RANGE} >= 24 THEN @quantile(volume, 0.6) {_RANGE} END AS thr FROM series),
-  x AS (SELECT a.t, a.thr, b.d FROM q AS a JOIN q AS b ON b.t >= a.t - 259200 AND b.t < a.t AND b.p >= a.thr)
-  SELECT t, count(*) AS hits, round(@quantile(d, 0.2), 6) AS low_gate, round(@quantile(d, 0.8), 6) AS high_gate FROM x GROUP BY t, thr HAVING count(*) >= 20"""))
-def own_threshold_gate(spark, sf_dir):
-    """Both sides' gates: quantiles of the past rows that reach the current row's own threshold, from a frame of 72 hours."""
-    series = run(spark, sf_dir, f"WITH {SERIES} SELECT t, volume AS p, close AS d FROM series")
-    frame = W.orderBy("t").rangeBetween(-259200, -1)
-    rows = series.select("t", F.count(F.lit(1)).over(frame).alias("n"), F.percentile("p", F.lit(0.6)).over(frame).alias("thr"), F.collect_list(F.struct("p", "d")).over(frame).alias("past"))
-    hits = F.array_sort(F.transform(F.filter("past", lambda x: x["p"] >= F.col("thr")), lambda x: x["d"]))
-    rows = rows.where("n >= 24").select("t", hits.alias("h")).where("size(h) >= 20")
-
-    def at(q: float):  # interpolated, as percentile does
-        place = F.lit(q) * (F.size("h") - 1)
-        low = F.floor(place).cast("int")
-        a, b = F.element_at("h", low + 1), F.element_at("h", F.least(low + 2, F.size("h")))
-        return F.round(a + (b - a) * (place - low), 6)
-
-    return rows.select("t", F.size("h").cast("long").alias("hits"), at(0.2).alias("low_gate"), at(0.8).alias("high_gate"))
-
-
 @query("j10_folds", duck("""WITH q AS (SELECT DISTINCT date_trunc('quarter', o_orderdate) AS q FROM {orders}), o AS (SELECT o_orderkey, o_orderdate AS d, o_orderdate + INTERVAL 10 DAY AS e FROM {orders}),
   p AS (SELECT q, d, e, CASE WHEN e < q - INTERVAL 6 MONTH THEN 'train' WHEN d >= q - INTERVAL 6 MONTH AND e < q THEN 'val' WHEN d >= q AND d < q + INTERVAL 3 MONTH THEN 'test' END AS part FROM o CROSS JOIN q),
   m AS (SELECT q, min(d) + (max(d) - min(d)) / 2 AS half FROM p WHERE part = 'val' GROUP BY q),
