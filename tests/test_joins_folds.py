@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.operators import folds, joins
+from tidemill.operators import books, folds, joins
 
 
 def made(rng, n, keys="ab"):
@@ -82,7 +82,7 @@ def test_admission_and_equity(spark, seed):
             if want[i]:
                 held.append(end)
                 last = t
-    assert {r.id: r.admitted for r in folds.admit(frame, "book", "signal", "leave", cap, gap, 50).collect()} == want
+    assert {r.id: r.admitted for r in books.admit(frame, "book", "signal", "leave", cap, gap, 50).collect()} == want
     risk, after = 0.3, {}
     for book in "pq":
         value, stake = 1.0, {}
@@ -93,7 +93,7 @@ def test_admission_and_equity(spark, seed):
             else:
                 value += stake.get(r[1], value * risk) * r[5]
                 after[r[1]] = value
-    got = {r.id: r.equity_after for r in folds.equity(frame, "book", "entry", "leave", "r", risk, 50).collect()}
+    got = {r.id: r.equity_after for r in books.equity(frame, "book", "entry", "leave", "r", risk, 50).collect()}
     assert got.keys() == after.keys() and all(abs(got[k] - v) <= 1e-9 * max(1, abs(v)) for k, v in after.items())
 
 
@@ -107,3 +107,32 @@ def test_volatility(spark):
             r = np.log(f.p).diff().fillna(0)
             want.append(np.maximum(np.sqrt((r**2).ewm(span=20, adjust=False, min_periods=20).mean()), 1e-6).where(np.arange(len(f)) >= 19))
         assert np.allclose(got.sigma.to_numpy(float), np.concatenate(want), rtol=1e-9, equal_nan=True)
+
+
+@pytest.mark.parametrize("cap,gap,chunk", [(1, 0, 30), (3, 7, 30), (3, 7, 5), (50, 1, 200)])
+def test_a_book_that_is_never_empty(spark, cap, gap, chunk):
+    """Trades that stay open over several chunks, at all times some of them."""
+    rng = random.Random(cap)
+    rows = [("p", i, 2 * i, 2 * i + 1, 2 * i + rng.choice([30, 90, 200]), rng.uniform(-1, 1)) for i in range(300)] + [("q", i, 3 * i, 3 * i, 3 * i + 1, 0.5) for i in range(20)]
+    frame = spark.createDataFrame(rows, "book string, id long, signal long, entry long, leave long, r double")
+    want, held, last = {}, [], None
+    for _, i, t, _, end, _ in rows[:300]:
+        held = [e for e in held if e >= t]
+        want[i] = len(held) < cap and (last is None or t - last >= gap)
+        if want[i]:
+            held.append(end)
+            last = t
+    got = books.admit(frame.where("book = 'p'"), "book", "signal", "leave", cap, gap, chunk).collect()
+    assert {r.id: r.admitted for r in got} == want
+    value, stake, after = 1.0, {}, {}
+    for _, opens, i, r in sorted([(r[3], 1, r[1], r[5]) for r in rows[:300]] + [(r[4], 0, r[1], r[5]) for r in rows[:300]], key=lambda e: (e[0], e[1])):
+        if opens:
+            stake[i] = value
+        else:
+            value += 0.02 * r * stake[i]
+            after[i] = value, stake[i]
+    found = books.equity(frame, "book", "entry", "leave", "r", 0.02, chunk, 1.0).where("book = 'p'").collect()
+    # exits of one time are in order of entry, so only values after the last of them are the loop's
+    last_of = {r[4]: r[1] for r in rows[:300]}
+    assert all(abs(r.base - after[r.id][1]) < 1e-9 for r in found) and len(found) == 300
+    assert all(abs(r.equity_after - after[r.id][0]) < 1e-9 for r in found if r.id in last_of.values())

@@ -6,10 +6,6 @@ is ordered as a whole.
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
@@ -66,80 +62,3 @@ def ewm_volatility(bars: DataFrame, by: str, order: str, price: str, span: int,
     done = local.join(carried, [by, "_chunk"])
     sigma = F.sqrt(weight * (F.col("_v") + F.col("_sum")))
     return done.select(by, order, F.when(F.col("_seen") + F.col("_k") >= span, F.greatest(sigma, F.lit(floor))).alias("sigma"))
-
-
-# --- admission and equity
-
-def _islands(trades: DataFrame, by: str, start: str, leave: str, chunk: int, alone) -> DataFrame:
-    """trades with `island`, the number of the stretch of trades that may influence each other: a trade starts a new one if
-    alone(greatest leave of all earlier trades, previous start) holds."""
-    place = F.floor(F.col(start) / F.lit(chunk))
-    reached = running(trades, [by], place, [start, "id"], maxes={"_top": F.greatest(F.col(leave), F.col(start))})
-    chunked = reached.withColumn("_chunk", place)
-    last = chunked.groupBy(by, "_chunk").agg(F.max("_top").alias("_r"), F.max(start).alias("_s"))
-    over = W.partitionBy(by).orderBy("_chunk")
-    last = last.select(by, "_chunk", F.lag("_r").over(over).alias("_r"), F.lag("_s").over(over).alias("_s"))
-    within = W.partitionBy(by, "_chunk").orderBy(start, "id")
-    seen = chunked.join(last, [by, "_chunk"]).withColumn("_r", F.coalesce(F.lag("_top").over(within), "_r")).withColumn("_s", F.coalesce(F.lag(start).over(within), "_s"))
-    fresh = F.when(F.col("_r").isNull() | alone(F.col("_r"), F.col("_s")), 1).otherwise(0)
-    marked = seen.withColumn("_new", fresh).select(*trades.columns, "_new")
-    return running(marked, [by], place, [start, "id"], sums={"island": F.col("_new").cast("long")}).drop("_new")
-
-
-def admit(trades: DataFrame, by: str, signal: str, leave: str, cap: int, gap: int, chunk: int) -> DataFrame:
-    """(by, id, admitted): greedy admission in order of signal, then id. At most cap admitted trades may be pending or open at a
-    signal, and admitted signals are gap apart at least. A trade counts from its signal on, filled or not, and still counts at
-    a signal at the very time it leaves.
-
-    A signal that comes after all earlier trades have left, and gap after the last, meets an empty book whatever was admitted:
-    there the order is cut into islands, which are judged in parallel. Trades with a null time or id are left out.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([signal, "id"])
-        t, end = frame[signal].to_numpy(), frame[leave].to_numpy()
-        taken, held, k = np.zeros(len(t), bool), [], 0
-        while k < len(t) and cap > 0:
-            while held and held[0] < t[k]:
-                heapq.heappop(held)
-            if len(held) == cap:  # nothing before the first of them has left
-                k = int(np.searchsorted(t, held[0], "right"))
-                continue
-            taken[k] = True
-            heapq.heappush(held, end[k])
-            k = max(int(np.searchsorted(t, t[k] + gap)), k + 1)
-        return pd.DataFrame({by: frame[by], "id": frame["id"], "admitted": taken})
-
-    good = trades.select(by, "id", signal, leave).dropna()
-    cut = _islands(good, by, signal, leave, chunk, lambda reach, before: (F.col(signal) > reach) & (F.col(signal) - before >= gap))
-    return cut.groupBy(by, "island").applyInPandas(run, f"{by} string, id long, admitted boolean")
-
-
-def equity(trades: DataFrame, by: str, entry: str, leave: str, result: str, risk: float, chunk: int, start: float = 1.0) -> DataFrame:
-    """(by, id, base, equity_after): account value at each entry, and after each exit, in order of leave, entry and id. The stake is
-    risk times base, the value at entry, after the exits of that time; a trade that leaves no later than it enters stakes the value just before its exit.
-
-    All values are proportional to the first, so islands of trades that no other overlaps are valued in parallel from 1, and
-    multiplied by the product of the islands before. Trades with a null time, id or result are left out.
-    """
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([leave, entry, "id"])
-        out, r = frame[leave].to_numpy(), frame[result].to_numpy(float)
-        staked = np.minimum(np.searchsorted(out, frame[entry].to_numpy(), "right"), np.arange(len(out)))  # exits before the entry
-        value = np.ones(len(out) + 1)
-        for k, at in enumerate(staked):
-            value[k + 1] = value[k] + risk * r[k] * value[at]
-        return pd.DataFrame({by: frame[by], "id": frame["id"], "island": frame["island"], "at": out, "place": np.arange(len(out)), "base": value[staked], "value": value[1:]})
-
-    good = trades.select(by, "id", entry, leave, result).dropna()
-    cut = _islands(good, by, entry, leave, chunk, lambda reach, before: F.col(entry) >= reach)
-    valued = cut.groupBy(by, "island").applyInPandas(run, f"{by} string, id long, island long, at long, place long, base double, value double")
-    last = valued.groupBy(by, "island").agg(F.max_by("value", "place").alias("factor"), F.min("at").alias("at"))
-    part = F.floor(F.col("at") / F.lit(chunk))
-    size = {"logs": F.log(F.abs(F.nullif(F.col("factor"), F.lit(0.0)))), "minus": (F.col("factor") < 0).cast("long"), "zeros": (F.col("factor") == 0).cast("long")}
-    product = running(last, [by], part, ["island"], sums={k: F.coalesce(v, F.lit(0)) for k, v in size.items()})
-    before = {k: F.col(k) - F.coalesce(v, F.lit(0)) for k, v in size.items()}
-    factor = F.when(before["zeros"] > 0, F.lit(0.0)).otherwise(F.exp(before["logs"]) * F.when(before["minus"] % 2 == 1, -1.0).otherwise(1.0))
-    scale = product.select(by, "island", (F.lit(start) * factor).alias("scale"))
-    return valued.join(scale, [by, "island"]).select(by, "id", (F.col("base") * F.col("scale")).alias("base"), (F.col("value") * F.col("scale")).alias("equity_after"))

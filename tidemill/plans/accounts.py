@@ -10,13 +10,15 @@ import pandas as pd
 from pyspark.sql import Window as W, functions as F
 
 from tidemill.functions import futures
-from tidemill.operators import folds
+from tidemill.operators import books, folds
 from tidemill.operators.joins import range_join
 from tidemill.plans.dual import BARS, duck, dual, run
 from tidemill.registry import query
 
 #: Account: share of the value that is a trade's margin, leverage, fees, funding every eight hours.
 MARGIN, LEVERAGE, MAKER, TAKER, CAPITAL, EVERY = 0.01, 50.0, 0.0002, 0.0005, 100_000.0, 28_800
+#: Trades open at once, and seconds between their entries.
+CAP, GAP = 4, 1800
 
 _TRADES = "SELECT event_id AS id, event_type AS book, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS side, @epoch(ts) AS entry, @epoch(ts) + 300 + CAST(floor(value) AS BIGINT) * 600 AS leave, 100 + value AS e, (100 + value) * (1 + (event_id * 37 % 21 - 10) / 1000.0) AS x, CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS maker FROM {events}"
 _FUNDED = f"""tr AS ({_TRADES}), b AS (SELECT min(entry) AS a, max(leave) AS z FROM tr), g AS (SELECT unnest(generate_series(a - a % {EVERY}, z + {EVERY}, {EVERY})) AS t FROM b), r AS (SELECT t, (t // {EVERY} % 5 - 2) / 10000.0 AS rate FROM g),
@@ -49,7 +51,13 @@ def liquidation(spark, sf_dir):
 
 #: What a trade adds for each unit of value at its entry: price, fees on both sides, funding on the notional.
 _GAIN = f"{MARGIN * LEVERAGE} * (side * (x / e - 1) - CASE WHEN maker = 1 THEN {MAKER} ELSE {TAKER} END - x / e * {TAKER} - side * paid)"
-_ACCOUNT_SQL = f"""RECURSIVE {_FUNDED}, h AS (SELECT tr.*, fu.paid, {_GAIN} AS gain, row_number() OVER (PARTITION BY book ORDER BY leave, entry, id) AS i FROM tr JOIN fu USING (id)),
+_ADMITTED = f"""q AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY entry, id) AS i FROM tr),
+  w AS (SELECT book, id, i, true AS admitted, [leave] AS held, entry AS last FROM q WHERE i = 1 UNION ALL
+    SELECT book, id, i, good, CASE WHEN good THEN list_append(held, leave) ELSE held END, CASE WHEN good THEN entry ELSE last END FROM (
+      SELECT book, id, i, leave, entry, last, held, len(held) < {CAP} AND entry - last >= {GAP} AS good FROM (
+        SELECT q.book, q.id, q.i, q.leave, q.entry, w.last, list_filter(w.held, lambda x: x >= q.entry) AS held FROM w JOIN q ON q.book = w.book AND q.i = w.i + 1) AS a) AS b),
+  adm AS (SELECT book, id, admitted FROM w)"""
+_ACCOUNT_SQL = f"""RECURSIVE {_FUNDED}, {_ADMITTED}, h AS (SELECT tr.*, fu.paid, {_GAIN} AS gain, row_number() OVER (PARTITION BY book ORDER BY leave, entry, id) AS i FROM tr JOIN fu USING (id) JOIN adm USING (book, id) WHERE admitted),
   n AS (SELECT h.book, h.id, h.i, h.gain, count(o.id) AS n FROM h LEFT JOIN h AS o ON o.book = h.book AND o.i < h.i AND o.leave <= h.entry GROUP BY h.book, h.id, h.i, h.gain),
   s AS (SELECT book, id, i, CAST(1 AS DOUBLE) AS base, [1.0, 1.0 + gain] AS v FROM n WHERE i = 1 UNION ALL
     SELECT n.book, n.id, n.i, s.v[n.n + 1], list_append(s.v, s.v[len(s.v)] + n.gain * s.v[n.n + 1]) FROM s JOIN n ON n.book = s.book AND n.i = s.i + 1),
@@ -58,8 +66,9 @@ _ACCOUNT_SQL = f"""RECURSIVE {_FUNDED}, h AS (SELECT tr.*, fu.paid, {_GAIN} AS g
 
 def _account(spark, sf_dir):
     trades = _funded(spark, sf_dir)
-    trades = trades.withColumn("gain", F.expr(_GAIN.replace("0.5 *", "0.5D *")))
-    value = folds.equity(trades, "book", "entry", "leave", "gain", 1.0, 86400, CAPITAL)
+    admitted = books.admit(run(spark, sf_dir, _TRADES), "book", "entry", "leave", CAP, GAP, 604800).where("admitted").select("book", "id")
+    trades = trades.join(admitted, ["book", "id"]).withColumn("gain", F.expr(_GAIN.replace("0.5 *", "0.5D *")))
+    value = books.equity(trades, "book", "entry", "leave", "gain", 1.0, 604800, CAPITAL)
     return trades.join(value.withColumnRenamed("equity_after", "after"), ["book", "id"])
 
 

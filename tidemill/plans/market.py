@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from tidemill.operators import folds, joins
+from tidemill.operators import books, joins
 from tidemill.operators.pivots import confirmed_pivots
 from tidemill.plans.dual import BARS, SERIES, dual, duck, run
-from tidemill.registry import query
+from tidemill.registry import SQL, query
 
 INJECTED = "raw AS (SELECT event_id, event_type AS instrument, @epoch(ts) AS t, value AS open, value * 1.01 AS high, value * 0.99 AS low, value AS close, 1.0 AS volume FROM {events} UNION ALL SELECT -1, 'x', 0, 5.0, 4.0, 6.0, 5.0, 1.0 UNION ALL SELECT -2, 'x', 0, -5.0, 6.0, -6.0, 5.0, 1.0 UNION ALL SELECT -3, 'x', 0, 5.0, 6.0, 4.0, 5.0, -1.0)"
 GOOD = "least(open, high, low, close) > 0 AND volume >= 0 AND low <= least(open, close) AND high >= greatest(open, close)"
@@ -104,13 +104,16 @@ _HELD = "WITH e AS (SELECT event_id AS id, event_type AS book, @epoch(ts) AS t,
   SELECT book, id, admitted FROM s"""))
 def j06(spark, sf_dir):
     """A trade is pending from its signal to its entry, and counts all the while."""
-    return folds.admit(run(spark, sf_dir, _HELD), "book", "signal", "leave", 3, 3600, 86400)
+    return books.admit(run(spark, sf_dir, _HELD), "book", "signal", "leave", 3, 3600, 604800)
 
 
-@query("j07_equity", duck(f"""WITH RECURSIVE h AS (SELECT *, row_number() OVER (PARTITION BY book ORDER BY leave, entry, id) AS i FROM ({_HELD}) AS z),
+@query("j07_equity", duck(f"""WITH RECURSIVE h AS (SELECT z.*, row_number() OVER (PARTITION BY z.book ORDER BY leave, entry, z.id) AS i FROM ({_HELD}) AS z JOIN ({SQL["j06_admission"]}) AS j ON j.book = z.book AND j.id = z.id AND admitted),
   a AS (SELECT h.book, h.id, h.i, h.r, count(o.id) AS n FROM h LEFT JOIN h AS o ON o.book = h.book AND o.i < h.i AND o.leave <= h.entry GROUP BY h.book, h.id, h.i, h.r),
-  s AS (SELECT book, id, i, [1.0, 1.0 + 0.001 * r] AS v FROM a WHERE i = 1 UNION ALL
-    SELECT a.book, a.id, a.i, list_append(s.v, s.v[len(s.v)] + 0.001 * a.r * s.v[a.n + 1]) FROM s JOIN a ON a.book = s.book AND a.i = s.i + 1)
+  s AS (SELECT book, id, i, [1.0, 1.0 + 0.01 * r] AS v FROM a WHERE i = 1 UNION ALL
+    SELECT a.book, a.id, a.i, list_append(s.v, s.v[len(s.v)] + 0.01 * a.r * s.v[a.n + 1]) FROM s JOIN a ON a.book = s.book AND a.i = s.i + 1)
   SELECT book, id, round(v[len(v)], 8) AS equity_after FROM s"""))
 def j07(spark, sf_dir):
-    return folds.equity(run(spark, sf_dir, _HELD), "book", "entry", "leave", "r", 0.001, 86400).select("book", "id", F.round("equity_after", 8).alias("equity_after"))
+    """Account value after each admitted trade, at one part in a hundred of the value at its entry."""
+    trades = run(spark, sf_dir, _HELD)
+    admitted = books.admit(trades, "book", "signal", "leave", 3, 3600, 604800).where("admitted").select("book", "id")
+    return books.equity(trades.join(admitted, ["book", "id"]), "book", "entry", "leave", "r", 0.01, 604800).select("book", "id", F.round("equity_after", 8).alias("equity_after"))

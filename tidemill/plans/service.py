@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from tidemill.functions import validation as v
-from tidemill.operators import folds
+from tidemill.operators import books, folds
 from tidemill.operators.joins import asof_join
 from tidemill.plans.dual import BARS, duck, dual, run
 from tidemill.plans.reports import CURVE, TRADES
@@ -138,7 +138,7 @@ def late_entries(spark, sf_dir):
     """A request over ten minutes after its signal is late, before the cap and the gap are asked; it takes no place in the book."""
     requests = run(spark, sf_dir, _REQUESTS)
     late = F.col("asked") - F.col("signal") > 600
-    judged = folds.admit(requests.where(~late), "book", "signal", "leave", 2, 1800, 86400)
+    judged = books.admit(requests.where(~late), "book", "signal", "leave", 2, 1800, 604800)
     return judged.select("id", F.when(F.col("admitted"), "admitted").otherwise("refused").alias("why")).unionByName(requests.where(late).select("id", F.lit("late").alias("why")))
 
 
