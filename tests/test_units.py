@@ -131,3 +131,27 @@ def test_tables_of_batches(spark):
     first, box = publish(box, "id", "sent", 3, F.lit(1))
     second, box = publish(box, "id", "sent", 3, F.lit(2))
     assert sorted(r.id for r in first.collect()) == [0, 1, 2] and sorted(map(tuple, box.collect())) == [(0, 1), (1, 1), (2, 1), (3, 2), (4, 2)]
+
+
+def test_grid_equals_simulations(spark):
+    """Each cell of the grid gives the trades of a simulation with its rules."""
+    from tidemill.operators.grid import simulate_grid
+
+    rng = random.Random(9)
+    bars, trades = [], []
+    for k in "ab":
+        price = 100.0
+        for i in range(120):
+            first, price = price * math.exp(rng.gauss(0, 0.01)), price * math.exp(rng.gauss(0, 0.03))
+            bars.append((k, i, first, max(first, price) * (1 + rng.random() * 0.02), min(first, price) * (1 - rng.random() * 0.02), price))
+        trades += [(k, 200 + j, rng.randrange(-3, 124), rng.choice([1, -1]), rng.choice([0.01, 0.03, None, 0.05])) for j in range(80)]
+    trades += [("a", 1, None, 1, 0.02), (None, 2, 5, 1, 0.02)]
+    bars, trades = spark.createDataFrame(bars, "k string, i long, open double, high double, low double, close double"), spark.createDataFrame(trades, "k string, id long, start long, side int, b double")
+    cells = [Rules(tp, sl, hold, back, wait, 0.001, 0.0002, 0.0005) for tp, sl, hold in ((1.0, 1.0, 9), (0.4, 2.0, 3), (3.0, 0.5, 20)) for back, wait in ((None, 3), (0.3, 3), (0.0, 1), (1.5, 5))]
+    found = {}
+    for r in simulate_grid(bars, trades, "k", cells).collect():
+        found.setdefault(r.cell, []).append(tuple(round(x, 9) if isinstance(x, float) else x for x in r[1:]))
+    columns = ["k", "id", "entry_at", "entry", "maker", "exit_at", "exit", "kind", "r", "r_net"]
+    for n, rules in enumerate(cells):
+        want = [tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in simulate(bars, trades, "k", rules).select(columns).collect()]
+        assert sorted(found.get(n, [])) == sorted(want) and want

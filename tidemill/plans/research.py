@@ -30,9 +30,6 @@ def top_jaccard(spark, sf_dir):
     return sums.select(F.explode(cells).alias("x")).where("x.there").select("x.a", "x.b", "x.jaccard")
 
 
-dual("e27_grid_metrics", f"WITH t AS ({_CELLS}) SELECT a, b, count(*) AS n, round(sum(r), 3) AS total, round(avg(r), 6) AS mean, round(avg(CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END), 6) AS win FROM t GROUP BY a, b")
-
-
 @query("e32_nested_selection", duck(f"""WITH t AS ({_CELLS}), ys AS (SELECT DISTINCT y FROM t), p AS (SELECT ys.y, a, b, avg(r) AS m FROM ys JOIN t ON t.y < ys.y GROUP BY ALL),
   c AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY y ORDER BY m DESC, a, b) = 1)
   SELECT c.y, c.a, c.b, round(c.m, 6) AS chosen_on, round(avg(t.r), 6) AS measured, count(t.id) AS n FROM c LEFT JOIN t ON t.y = c.y AND t.a = c.a AND t.b = c.b GROUP BY ALL"""))
