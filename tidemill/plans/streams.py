@@ -1,4 +1,4 @@
-"""Streaming queries (J08, K01, K02, K06, K08): each drains the event stream once and returns what its sink holds.
+"""Streaming queries (B02, J08, K01 to K03, K06, K08, K09, K11): each drains the event stream once and returns what its sink holds.
 
 A stream emits a window when the watermark has passed its end; the windows after the last watermark stay open and are in no
 result. All files of a table are one batch, however many they are and in whatever order, so none of their rows is late.
@@ -9,12 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemill.operators.simulate import Rules
-from tidemill.plans.dual import run
+from tidemill.plans.dual import duck, run
+from tidemill.plans.service import _ARRIVALS
 from tidemill.plans.trading import _NUMBERED, _simulation_sql
-from tidemill.registry import query
+from tidemill.registry import SQL, query
 from tidemill.sources.files import stream_table
 from tidemill.streaming.executor import execute
-from tidemill.streaming.sinks import drain, drain_idempotent, table_in_order
+from tidemill.streaming import timers
+from tidemill.streaming.sinks import drain, drain_idempotent, drain_routes, table_in_order
 
 LATENESS = "1 hour"
 CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
@@ -85,3 +87,55 @@ def live_executor(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(place)
     closed = drain(execute(stream, _EXECUTOR), "trades")
     return closed.withColumn("entry", F.round("entry", 6)).withColumn("exit", F.round("exit", 6))
+
+
+#: Seconds of time that a file of a timed stream holds.
+FILE = 700_000
+
+
+def _in_order(spark: SparkSession, rows: DataFrame, time: str, name: str) -> DataFrame:
+    """rows as a stream of files in order of time, and after them one row without a key, by which all timers are over."""
+    last = rows.agg((F.max(time) + 10 * FILE).alias(time)).select(*[F.col(time) if c == time else F.lit(None).cast(t).alias(c) for c, t in rows.dtypes])
+    place = table_in_order(rows.unionByName(last), time, FILE, name)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place)
+
+
+@query("k03_readiness_stream", SQL["k03_readiness"])
+def readiness_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions as k03_readiness, by timers: what never arrives is missing after six hours of silence."""
+    arrivals = run(spark, sf_dir, _ARRIVALS.replace("t / 3600", "t DIV 3600")).selectExpr("hour + 3600 AS end", "kind", "known")
+    with timers.timer_store(spark):
+        found = drain(timers.readiness(_in_order(spark, arrivals, "known", "arrivals"), 5), "readiness")
+    return found.select((F.col("end") - 3600).alias("hour"), "state", "decided")
+
+
+LIMIT = 1500
+
+
+@query("k09_silence_alerts", duck(f"""WITH e AS (SELECT event_type AS key, @epoch(ts) AS t, event_id FROM {{events}}), g AS (SELECT key, t, lag(t) OVER w AS before, lead(t) OVER w AS after FROM e WINDOW w AS (PARTITION BY key ORDER BY t, event_id))
+  SELECT key, t + {LIMIT} AS t, 'silent' AS edge FROM g WHERE after IS NULL OR after - t > {LIMIT} UNION ALL SELECT key, t, 'back' FROM g WHERE t - before > {LIMIT}"""))
+def silence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An alert when a source has been silent for 25 minutes, and its end, each once."""
+    beats = run(spark, sf_dir, "SELECT event_type AS key, @epoch(ts) AS t FROM {events}")
+    with timers.timer_store(spark):
+        return drain(timers.silence_alerts(_in_order(spark, beats, "t", "beats"), LIMIT), "silence")
+
+
+@query("k11_pending_stream", SQL["k11_pending_cancelled"])
+def pending_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same as k11_pending_cancelled, by timers: an order that no bar comes for is cancelled by the clock."""
+    rows = run(spark, sf_dir, "SELECT user_id AS key, @epoch(ts) AS t, CASE WHEN event_type = 'purchase' THEN event_id END AS id FROM {events} WHERE event_type IN ('purchase', 'view')")
+    with timers.timer_store(spark):
+        return drain(timers.pending_orders(_in_order(spark, rows, "t", "orders")), "pending").withColumnRenamed("id", "event_id")
+
+
+@query("b02_revisions_stream", duck("""WITH o AS (SELECT concat(user_id % 100, '/', event_type) AS key, event_id AS id, round(value / 50) AS value, @epoch(ts) AS t FROM {events}),
+  n AS (SELECT *, row_number() OVER w AS k, first_value(value) OVER w AS had FROM o WINDOW w AS (PARTITION BY key ORDER BY t, id))
+  SELECT key, id, value, CASE WHEN k = 1 THEN 'accepted' ELSE 'revision' END AS route FROM n WHERE k = 1 OR value <> had"""))
+def revisions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first observation of a key is accepted and stays; later ones that say something else are its revisions. Both come from
+    one state and one batch."""
+    rows = run(spark, sf_dir, "SELECT concat(user_id % 100, '/', event_type) AS key, @epoch(ts) AS t, event_id AS id, round(value / 50) AS value FROM {events}")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(table_in_order(rows, "t", FILE, "observations"))
+    with timers.timer_store(spark):
+        return drain_routes(timers.first_accepted(stream), "revisions")

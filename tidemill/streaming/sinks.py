@@ -50,6 +50,19 @@ def drain_idempotent(stream: DataFrame, name: str, routes: dict[str, Callable[[D
     return {route: spark.read.schema(rows(spark.createDataFrame([], stream.schema)).schema).parquet(f"{place}/{route}/batch=*") for route, rows in routes.items()}
 
 
+def write_routes(place: str, batch: DataFrame, number: int) -> None:
+    """One batch's rows by route, written once and in place of what an earlier delivery of the batch left."""
+    batch.write.mode("overwrite").partitionBy("route").parquet(f"{place}/rows/batch={number}")
+
+
+def drain_routes(stream: DataFrame, name: str) -> DataFrame:
+    """All that a stream with a column `route` gives, in folders by batch and route: the tables of all routes are of one batch."""
+    spark, place = stream.sparkSession, _place(stream.sparkSession, name)
+    writer = stream.writeStream.foreachBatch(lambda batch, number: write_routes(place, batch, number)).outputMode("append")
+    writer.option("checkpointLocation", f"{place}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows").select(stream.columns)
+
+
 def write_months(rows: DataFrame, time: str, order: list[str], name: str, form: str = "csv") -> str:
     """rows as files, a folder a month, sorted within each file; the folder appears as a whole when the job commits. Months are
     dealt over tasks with their days, so that a long one is several files."""
@@ -61,10 +74,14 @@ def write_months(rows: DataFrame, time: str, order: list[str], name: str, form:
 
 
 def table_in_order(rows: DataFrame, order: str, size: int, name: str) -> str:
-    """rows as files that a stream reads one after the other: file k has the rows of order from k * size on, and is written after
-    those before it, so that its time of writing is later."""
-    place = _place(rows.sparkSession, name)
+    """rows as files that a stream reads one after the other: file k has the rows of order from k * size on. They are written in one
+    job; then their times are set in order, which is what a file stream goes by."""
+    spark, place = rows.sparkSession, _place(rows.sparkSession, name)
     numbered = rows.withColumn("_file", F.floor(F.col(order) / size))
-    for k in sorted(r[0] for r in numbered.select("_file").distinct().collect()):  # a few files
-        numbered.where(F.col("_file") == k).drop("_file").coalesce(1).write.mode("append").parquet(place)
+    numbered.repartition("_file").write.partitionBy("_file").parquet(place)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(place).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = sorted((int(f.rsplit("_file=", 1)[1].split("/")[0]), f) for f in spark.read.parquet(place).inputFiles())
+    for k, (_, f) in enumerate(found):  # a second apart, some files have coarse times
+        files.setTimes(path(f), 1_600_000_000_000 + k * 1000, -1)
     return place
