@@ -136,3 +136,37 @@ def test_a_book_that_is_never_empty(spark, cap, gap, chunk):
     last_of = {r[4]: r[1] for r in rows[:300]}
     assert all(abs(r.base - after[r.id][1]) < 1e-9 for r in found) and len(found) == 300
     assert all(abs(r.equity_after - after[r.id][0]) < 1e-9 for r in found if r.id in last_of.values())
+
+
+@pytest.mark.parametrize("width", [1, 6, 1000])
+def test_asof_of_sources(spark, width):
+    """Ties, nulls, repeated rows and fractional lags; the main rows are shuffled once."""
+    rng = random.Random(width)
+    left, one, two, none = made(rng, 60), made(rng, 50), made(rng, 40), []
+    schema = "id long, k string, t long, v double"
+    frames = [spark.createDataFrame(x, schema) for x in (left, one, two, none)]
+    sources = {"one": (frames[1], "t", ["v", "id"], 0), "two": (frames[2], "t", ["id"], 2.5), "none": (frames[3], "t", ["v"], 1)}
+    got = joins.asof_sources(frames[0], sources, "t", ["k"], width)
+
+    def last(row, rows, lag, key):
+        fits = [(t2 + lag, key(v2, j)) for j, k2, t2, v2 in rows if None not in (row[1], row[2], t2) and k2 == row[1] and t2 + lag <= row[2]]
+        return max(fits, key=lambda f: (f[0], tuple((x is not None, x or 0) for x in f[1])))[1] if fits else None
+
+    want = [(*r, *(last(r, one, 0, lambda v, j: (v, j)) or (None, None)), *(last(r, two, 2.5, lambda v, j: (j,)) or (None,)), None) for r in left]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+
+
+def test_bars_to_fill_on(spark):
+    """Five fine bars or the coarse one; nothing beyond a hole, or where the first bar is missing; repeated and null rows."""
+    from tidemill.sources.candles import fill_bars
+
+    bar = lambda k, t: (k, t, 1.0, 2.0, 0.5, 1.5)
+    five = [bar("a", t) for t in (0, 300, 600, 1200)] + [bar("a", 300), bar("b", 300), bar(None, 0), ("a", None, 1.0, 1.0, 1.0, 1.0)]
+    one = [bar("a", t) for t in range(300, 600, 60)] + [bar("a", 300)] + [bar("a", t) for t in (0, 60, 120, 180, 660, 1200, 1260, 1320, 1380, 1440)] + [bar("b", t) for t in range(300, 600, 60)]
+    schema = "k string, t long, open double, high double, low double, close double"
+    frames = spark.createDataFrame(five, schema), spark.createDataFrame(one, schema)
+    fine = [(t, t + 60) for t in range(300, 600, 60)]
+    found = lambda start: sorted((r.k, r.t, r.end) for r in fill_bars(*frames, "k", 300, 60, start).collect())
+    assert found(None) == sorted([("a", 0, 300), *(("a", *f) for f in fine), ("a", 600, 900), *(("b", *f) for f in fine)])
+    assert found(0) == sorted([("a", 0, 300), *(("a", *f) for f in fine), ("a", 600, 900)])
+    assert found(1200) == [("a", t, t + 60) for t in range(1200, 1500, 60)]

@@ -74,3 +74,34 @@ def range_join(points: DataFrame, ranges: DataFrame, at: str, start: str, end: s
     r = r.withColumn("_bin", F.explode(F.sequence(bin_of(start), bin_of(end))))
     p = points.where(_known([at])).withColumn("_level", F.explode(F.array(*map(F.lit, sorted(levels))))).withColumn("_bin", bin_of(at))
     return p.join(r, [*by, "_level", "_bin"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_bin", "_level")
+
+
+def asof_sources(left: DataFrame, sources: dict[str, tuple[DataFrame, str, list[str], float]], on: str, by: list[str], width: int) -> DataFrame:
+    """left with the values of several sources as of one clock: of each source the last row that was known at `on`. sources has, by
+    name, the rows, their time, their values and the lag after which they are known; results are <name>_<value>.
+
+    One shuffle of the union of all, in which each source is a column that is carried on; what buckets of `width` of time need from
+    earlier ones comes from one table with a row a key and bucket. Of rows of one source and time the last in order of their
+    values counts. Left rows with a null time or key get nulls.
+    """
+    bys = [f"_by{i}" for i in range(len(by))]
+    known = left.where(_known([on, *by]))
+    kinds = {n: F.struct(*[F.col(c) for c in values]) for n, (_, _, values, _) in sources.items()}
+    empty = {n: rows.select(kinds[n].alias("v")).schema["v"].dataType for n, (rows, *_) in sources.items()}
+    own = lambda name: [(kinds[name] if n == name else F.lit(None).cast(empty[n])).alias(f"_v_{n}") for n in sources]
+    both = known.select(*[F.col(c).alias(b) for c, b in zip(by, bys)], F.col(on).cast("double").alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), *own(None))
+    for name, (rows, time, _, lag) in sources.items():
+        facts = rows.where(_known([time, *by])).select(*[F.col(c).alias(b) for c, b in zip(by, bys)], (F.col(time) + F.lit(lag)).cast("double").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns).alias("r")).schema["r"].dataType).alias("_row"), *own(name))
+        both = both.unionByName(facts)
+    both = both.withColumn("_bucket", F.floor(F.col("_at") / F.lit(width)))
+    columns = [f"_v_{n}" for n in sources]
+    within = W.partitionBy(*bys, "_bucket").orderBy("_at", "_side", *columns).rowsBetween(W.unboundedPreceding, 0)
+    found = both.select(*bys, "_bucket", "_row", *[F.last(c, ignorenulls=True).over(within).alias(c) for c in columns]).where("_row IS NOT NULL")
+    ends = both.groupBy(*bys, "_bucket").agg(*[F.max(F.when(F.col(c).isNotNull(), F.struct("_at", F.col(c).alias("v")))).alias(c) for c in columns])
+    earlier = W.partitionBy(*bys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(*bys, "_bucket", *[F.last(F.col(f"{c}.v"), ignorenulls=True).over(earlier).alias(f"_c{c}") for c in columns])
+    met = found.join(carried, [*bys, "_bucket"])
+    out = [F.coalesce(f"_v_{n}", f"_c_v_{n}")[c].alias(f"{n}_{c}") for n, (_, _, values, _) in sources.items() for c in values]
+    done = met.select("_row.*", *out)
+    rest = left.where(~_known([on, *by])).select("*", *[F.lit(None).cast(done.schema[f"{n}_{c}"].dataType).alias(f"{n}_{c}") for n, (_, _, values, _) in sources.items() for c in values])
+    return done.unionByName(rest)

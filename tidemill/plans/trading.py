@@ -13,7 +13,7 @@ _NUMBERED = f"{BARS}, x AS (SELECT instrument, t, open, high, low, close, row_nu
 _SIGNALS = "SELECT instrument, i * 10 + CASE WHEN close > open THEN 1 ELSE 0 END AS id, i + 1 AS start, CASE WHEN close > open THEN 1 ELSE -1 END AS side, 0.2 + t / 3600 % 6 / 10.0 AS b FROM x"
 
 
-def _simulation_sql(rules: Rules) -> str:
+def _simulation_sql(rules: Rules, signals: str = _SIGNALS) -> str:
     """The same by nested conditions on every pair of a trade and a bar."""
     fill = f"""SELECT g.instrument, g.id, g.side, g.b, g.start AS ent, g.o AS e, false AS maker, false AS part FROM g""" if rules.pullback is None else f"""
       SELECT instrument, id, side, b, CASE WHEN k IS NULL THEN start + {rules.wait} ELSE k END AS ent, CASE WHEN k IS NULL THEN later WHEN opened THEN ko ELSE lim END AS e, k IS NOT NULL AS maker, coalesce(NOT opened, false) AS part FROM (
@@ -21,7 +21,7 @@ def _simulation_sql(rules: Rules) -> str:
         FROM (SELECT *, o * exp(-side * {rules.pullback} * b) AS lim FROM g) AS g LEFT JOIN x AS n ON n.instrument = g.instrument AND n.i = g.start + {rules.wait}
         LEFT JOIN LATERAL (SELECT i, open FROM x WHERE x.instrument = g.instrument AND x.i >= g.start AND x.i < g.start + {rules.wait}
           AND (CASE WHEN g.side > 0 THEN x.open <= g.lim OR x.low <= g.lim * (1 - {rules.through}) ELSE x.open >= g.lim OR x.high >= g.lim * (1 + {rules.through}) END) ORDER BY i LIMIT 1) AS f ON true)"""
-    return duck(f"""WITH {_NUMBERED}, g AS (SELECT s.*, x.open AS o FROM ({_SIGNALS}) AS s JOIN x ON x.instrument = s.instrument AND x.i = s.start),
+    return duck(f"""WITH {_NUMBERED}, g AS (SELECT s.*, x.open AS o FROM ({signals}) AS s JOIN x ON x.instrument = s.instrument AND x.i = s.start),
       f AS ({fill}), l AS (SELECT *, e * exp(side * {rules.tp} * b) AS tp, e * exp(-side * {rules.sl} * b) AS sl FROM f WHERE e IS NOT NULL),
       p AS (SELECT l.*, x.i, x.open, x.close, CASE WHEN side > 0 THEN x.low <= sl ELSE x.high >= sl END AS hs, CASE WHEN side > 0 THEN x.high >= tp ELSE x.low <= tp END AND NOT (part AND x.i = ent) AS ht
             FROM l JOIN x ON x.instrument = l.instrument AND x.i BETWEEN l.ent AND l.ent + {rules.hold - 1}),

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from tidemill.functions import validation as v
-from tidemill.operators.joins import asof_join
+from tidemill.operators.joins import asof_join, asof_sources
 from tidemill.plans.dual import BARS, duck, dual, run
 from tidemill.registry import query
-from tidemill.sources.candles import fill, known_ms, prepare
+from tidemill.sources.candles import fill, fill_bars, known_ms, prepare
 
 #: Events as envelopes of an hour; some by their number with a wrong step, start, time of receipt, mode or schema.
 _PUT = """SELECT event_id, event_type, value, CASE WHEN bad = 1 THEN 2 ELSE 1 END AS schema_version, CASE WHEN bad = 2 THEN 'test' WHEN bad = 3 THEN NULL WHEN bad = 4 THEN 'backfill' ELSE 'live' END AS mode,
@@ -134,16 +134,18 @@ def full_outer(spark, sf_dir):
 _LAGGED = "(SELECT event_id, user_id, event_type, value, @epoch(ts) AS t FROM {events})"
 
 
-@query("d03_asof_lag", duck("".join(["WITH e AS ", _LAGGED, """, l AS (SELECT event_id, user_id, t FROM e WHERE event_type = 'click')
-  SELECT l.event_id, v.value AS viewed, p.value AS bought FROM l ASOF LEFT JOIN (SELECT user_id, t + 300 AS known, value FROM e WHERE event_type = 'view') AS v ON v.user_id = l.user_id AND v.known <= l.t
-  ASOF LEFT JOIN (SELECT user_id, t + 300 AS known, value FROM e WHERE event_type = 'purchase') AS p ON p.user_id = l.user_id AND p.known <= l.t"""])))
+#: Kinds of events as sources: seconds after which a row is known.
+_SOURCES = {"view": 300, "purchase": 600, "signup": 0, "error": 900}
+
+
+@query("d03_asof_lag", duck(f"""WITH e AS {_LAGGED}, l AS (SELECT event_id, user_id, t FROM e WHERE event_type = 'click')
+  SELECT l.event_id, {", ".join(f"{k}.value AS {k}_value" for k in _SOURCES)} FROM l {" ".join(f"ASOF LEFT JOIN (SELECT user_id, t + {lag} AS known, value FROM e WHERE event_type = '{k}') AS {k} ON {k}.user_id = l.user_id AND {k}.known <= l.t" for k, lag in _SOURCES.items())}"""))
 def asof_lag(spark, sf_dir):
-    """Several sources, each as it was known five minutes before."""
+    """Four sources, each as it was known with its own delay, carried side by side through one union."""
     events = run(spark, sf_dir, f"SELECT * FROM {_LAGGED} AS e")
-    out = events.where("event_type = 'click'").select("event_id", "user_id", "t")
-    for kind, name in (("view", "viewed"), ("purchase", "bought")):
-        out = asof_join(out, events.where(F.col("event_type") == kind).select("user_id", "t", F.col("value").alias(name)), "t", ["user_id"], [name], lag=300, width=86400).withColumnRenamed(f"asof_{name}", name)
-    return out.select("event_id", "viewed", "bought")
+    sources = {k: (events.where(F.col("event_type") == k).select("user_id", "t", "value"), "t", ["value"], lag) for k, lag in _SOURCES.items()}
+    left = events.where("event_type = 'click'").select("event_id", "user_id", "t")
+    return asof_sources(left, sources, "t", ["user_id"], 86400).drop("user_id", "t")
 
 
 _PAIR = f"WITH {BARS} SELECT instrument, t, close, volume FROM bars"
@@ -200,3 +202,17 @@ dual("a06_funding_gaps", "WITH e AS (SELECT user_id, @epoch(ts) AS t FROM {event
 def fill_gaps(spark, sf_dir):
     bars = run(spark, sf_dir, _PAIR).drop("volume")
     return fill(bars.where("t DIV 3600 % 7 <> 2"), bars.withColumn("close", F.col("close") * 2), ["instrument", "t"])
+
+
+_TWO = f"""SELECT event_type AS instrument, CAST(floor(t / %d) AS BIGINT) * %d AS t, min_by(value, (ts, event_id)) AS open, max(value) AS high, min(value) AS low, max_by(value, (ts, event_id)) AS close
+  FROM (SELECT *, @epoch(ts) AS t FROM {{events}}) AS e GROUP BY event_type, CAST(floor(t / %d) AS BIGINT) * %d"""
+_COARSE, _FINE = (f"SELECT * FROM ({_TWO % (k, k, k, k)}) AS z WHERE {hole}" for k, hole in ((18_000, "t / 18000 <> 90 OR instrument <> 'click'"), (3600, "t / 3600 % 17 <> 4")))
+
+
+@query("a14_fill_bars", duck(f"""WITH c AS ({_COARSE.replace("t / 18000", "t // 18000")}), f AS ({_FINE.replace("t / 3600", "t // 3600").replace("floor(t // 3600)", "floor(t / 3600)")}), n AS (SELECT *, t - min(t) OVER (PARTITION BY instrument) - 18000 * (row_number() OVER (PARTITION BY instrument ORDER BY t) - 1) AS off FROM c),
+  k AS (SELECT *, (SELECT count(*) FROM f WHERE f.instrument = n.instrument AND f.t >= n.t AND f.t < n.t + 18000) AS fine FROM n WHERE off = 0)
+  SELECT instrument, t, t + 18000 AS end, open, high, low, close FROM k WHERE fine < 5 UNION ALL SELECT f.instrument, f.t, f.t + 3600, f.open, f.high, f.low, f.close FROM f JOIN k ON k.instrument = f.instrument AND f.t >= k.t AND f.t < k.t + 18000 AND fine = 5"""))
+def fill_bars_of(spark, sf_dir):
+    """Five-hour bars, by their hours where all five are there, up to each instrument's first hole."""
+    coarse, fine = run(spark, sf_dir, _COARSE.replace("t / 18000 <>", "t DIV 18000 <>")), run(spark, sf_dir, _FINE.replace("t / 3600 %", "t DIV 3600 %"))
+    return fill_bars(coarse, fine, "instrument", 18_000, 3600)

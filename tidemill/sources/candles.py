@@ -53,3 +53,30 @@ def known_ms(stamp: str, kind: str, stamped_at_end: tuple[str, ...], step_ms: in
 def fill(have: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
     """have, and those rows of other whose keys it lacks; origin says which."""
     return have.withColumn("origin", F.lit("kept")).unionByName(other.join(have.select(keys), keys, "left_anti").withColumn("origin", F.lit("filled")))
+
+
+def fill_bars(coarse: DataFrame, fine: DataFrame, by: str, step: int, fine_step: int, start: int | None = None) -> DataFrame:
+    """(by, t, end, open, high, low, close): the bars that trades are filled on. A closed coarse bar is replaced by its fine ones where
+    all of them are there; the bars of a key stop before its first hole.
+
+    start is the first coarse bar's time, by default each key's own first; a key without a bar there has none. The hole is the
+    least time whose predecessor is missing, found by a join, not by going through the bars. Bars with a null key or time are
+    left out; of repeated ones any.
+    """
+    prices = ["open", "high", "low", "close"]
+    clean = lambda bars: bars.select(by, "t", *prices).dropna(subset=[by, "t"]).dropDuplicates([by, "t"])
+    five, one = clean(coarse), clean(fine)
+    if start is not None:
+        five = five.where(F.col("t") >= start)
+    before = five.select(by, (F.col("t") + step).alias("t"), F.lit(1).alias("_before"))
+    linked = five.join(before, [by, "t"], "left")
+    bounds = linked.groupBy(by).agg(F.min("t").alias("_first"))
+    bounds = bounds if start is None else bounds.where(F.col("_first") == start)
+    holes = linked.where("_before IS NULL").join(bounds, by).where("t > _first").groupBy(by).agg(F.min("t").alias("_hole"))
+    live = five.join(bounds, by).join(holes, by, "left").where("_hole IS NULL OR t < _hole").drop("_first", "_hole")
+    whole = one.withColumn("_five", F.col("t") - F.pmod("t", F.lit(step)))
+    full = whole.groupBy(by, F.col("_five").alias("t")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == step // fine_step).drop("_n")
+    kept = live.join(full, [by, "t"], "left_anti").withColumn("end", F.col("t") + step)
+    split = whole.join(live.select(by, F.col("t").alias("_five")).join(full.withColumnRenamed("t", "_five"), [by, "_five"]), [by, "_five"]).withColumn("end", F.col("t") + fine_step)
+    columns = [by, "t", "end", *prices]
+    return kept.select(columns).unionByName(split.select(columns))
