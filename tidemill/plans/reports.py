@@ -75,12 +75,6 @@ dual("n11_service_health", "WITH ev AS (SELECT user_id, @epoch(ts) AS t FROM {ev
 dual("n12_backlog", "SELECT event_type, count(*) AS n, min(event_id) AS oldest FROM {events} WHERE value > 50 GROUP BY event_type")
 dual("n13_issues", "SELECT event_id, value FROM {events} WHERE value > 200 ORDER BY ts DESC, event_id LIMIT 50")
 dual("n17_summary_total", f"WITH {TRADES} SELECT kind, count(*) AS n, round(sum(r), 3) AS r FROM trades GROUP BY kind UNION ALL SELECT 'total', count(*), round(sum(r), 3) FROM trades")
-dual("o04_auc_by_part", f"WITH {SCORED}, r AS (SELECT *, doc_id % 3 AS part, rank() OVER (PARTITION BY doc_id % 3 ORDER BY score) + (count(*) OVER (PARTITION BY doc_id % 3, score) - 1) / 2.0 AS rk FROM scored) SELECT part, {AUC} AS auc, count(*) AS n FROM r GROUP BY part")
-dual(
-    "f12_losing_streak",
-    f"""WITH {TRADES}, s AS (SELECT *, sum(CASE WHEN r > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY kind ORDER BY d, id ROWS UNBOUNDED PRECEDING) AS island FROM trades),
-    l AS (SELECT kind, island, count(*) FILTER (WHERE r <= 0) AS n FROM s GROUP BY kind, island) SELECT kind, max(n) AS losing_streak FROM l GROUP BY kind""",
-)
 dual(
     "entry_hourly_report",
     f"""WITH {SERIES}, r AS (SELECT *, ln(close / lag(close) OVER (ORDER BY t)) AS ret FROM series),

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, Window as W, functions as F
 
-from tidemill.operators.folds import average_rank
+from tidemill.operators.folds import average_rank, running
 from tidemill.plans.dual import BARS, duck, dual, run
 from tidemill.plans.reports import AUC, SCORED, TRADES
 from tidemill.registry import query
@@ -123,12 +123,20 @@ def temperature(spark, sf_dir):
     return cells.groupBy("k").agg(loss.alias("loss")).orderBy("loss", "k").limit(1).select(F.col("k").cast("long").alias("k"), F.round("loss", 6).alias("loss"))
 
 
-@query("e39_manifest", duck("SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n, min(o_orderkey) AS first_key, max(o_orderkey) AS last_key, sha256(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey)) AS sha FROM {orders} GROUP BY ALL"))
+#: Keys of a month that are hashed together; a month's hash is that of these hashes in order.
+_RANGE = 4096
+
+
+@query("e39_manifest", duck(f"""WITH k AS (SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, o_orderkey AS k, o_orderkey // {_RANGE} AS part FROM {{orders}}),
+  p AS (SELECT y, m, part, count(*) AS n, min(k) AS a, max(k) AS z, sha256(string_agg(CAST(k AS VARCHAR), ',' ORDER BY k)) AS sha FROM k GROUP BY ALL)
+  SELECT y, m, CAST(sum(n) AS BIGINT) AS n, min(a) AS first_key, max(z) AS last_key, sha256(string_agg(sha, ',' ORDER BY part)) AS sha FROM p GROUP BY y, m"""))
 def manifest(spark, sf_dir):
-    """Rows, keys and a hash of the keys in order, a month; a month's keys are its file's."""
-    rows = run(spark, sf_dir, "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, o_orderkey AS k FROM {orders}")
-    keys = F.array_join(F.transform(F.array_sort(F.collect_list("k")), lambda x: x.cast("string")), ",")
-    return rows.groupBy("y", "m").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first_key"), F.max("k").alias("last_key"), F.sha2(keys, 256).alias("sha"))
+    """Rows, keys and a hash of the keys in order, a month: a hash of the hashes of ranges of keys, so that no task has a month's."""
+    rows = run(spark, sf_dir, "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, o_orderkey AS k FROM {orders}").withColumn("part", F.floor(F.col("k") / _RANGE))
+    listed = lambda c: F.sha2(F.array_join(c, ","), 256)
+    parts = rows.groupBy("y", "m", "part").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("a"), F.max("k").alias("z"), listed(F.transform(F.array_sort(F.collect_list("k")), lambda x: x.cast("string"))).alias("sha"))
+    hashes = listed(F.transform(F.array_sort(F.collect_list(F.struct("part", "sha"))), lambda x: x["sha"]))
+    return parts.groupBy("y", "m").agg(F.sum("n").alias("n"), F.min("a").alias("first_key"), F.max("z").alias("last_key"), hashes.alias("sha"))
 
 
 def _auc(rows, score: str):
@@ -152,7 +160,6 @@ def auc_or_null(spark, sf_dir):
     return _auc(run(spark, sf_dir, f"WITH {SCORED} SELECT y, lang AS g, CAST(score AS DOUBLE) AS s FROM scored WHERE y = 1 OR lang <> 'de'"), "s")
 
 
-dual("o05_learning_curve", f"WITH {SCORED}, v AS (SELECT y, 20 AS g, p AS s FROM scored UNION ALL SELECT y, 40, 0.5 * p + 0.5 * CAST(doc_id % 10 AS DOUBLE) / 10 FROM scored), r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY s) + (count(*) OVER (PARTITION BY g, s) - 1) / 2.0 AS rk FROM v) SELECT g AS trees, {AUC} AS auc FROM r GROUP BY g")
 dual("o01_year_split", "SELECT CASE WHEN year(o_orderdate) < 1998 THEN 'train' WHEN year(o_orderdate) = 1998 THEN CASE WHEN month(o_orderdate) <= 6 THEN 'es' ELSE 'cal' END ELSE 'test' END AS part, count(*) AS n, count(*) FILTER (WHERE o_orderstatus <> 'O') AS touched, count(*) FILTER (WHERE o_orderstatus = 'F') AS up FROM {orders} GROUP BY 1")
 
 
@@ -218,3 +225,27 @@ def hash_chain(spark, sf_dir):
 
 dual("n02_recent_windows", f"WITH {BARS}, w AS (SELECT instrument, t, t - lag(t, 4) OVER (PARTITION BY instrument ORDER BY t) AS span FROM bars), m AS (SELECT max(t) AS now FROM bars) SELECT count(*) AS n FROM w CROSS JOIN m WHERE span = 14400 AND t > now - 86400")
 dual("n16_open_positions", "SELECT event_id, round(value, 2) AS entry, CAST(@json(props, 'k') AS BIGINT) AS state, CASE WHEN event_id % 2 = 0 THEN 'long' ELSE 'short' END AS side FROM {events} WHERE event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 20")
+
+
+@query("o05_learning_curve", duck(f"WITH {SCORED}, v AS (SELECT y, 20 AS g, p AS s FROM scored UNION ALL SELECT y, 40, 0.5 * p + 0.5 * CAST(doc_id % 10 AS DOUBLE) / 10 FROM scored), r AS (SELECT *, rank() OVER (PARTITION BY g ORDER BY s) + (count(*) OVER (PARTITION BY g, s) - 1) / 2.0 AS rk FROM v) SELECT g AS trees, {AUC} AS auc FROM r GROUP BY g"))
+def learning_curve(spark, sf_dir):
+    """How well scores rank as trees are added: ranks are counted by chunks of the score."""
+    rows = run(spark, sf_dir, f"WITH {SCORED} SELECT y, p, 0.5 * p + 0.5 * CAST(doc_id % 10 AS DOUBLE) / 10 AS q FROM scored")
+    cells = F.array(F.struct(F.lit(20).alias("g"), F.col("p").alias("s")), F.struct(F.lit(40).alias("g"), F.col("q").alias("s")))
+    return _auc(rows.select("y", F.explode(cells).alias("x")).select("y", "x.g", "x.s"), "s").withColumnRenamed("g", "trees")
+
+
+@query("o04_auc_by_part", duck(f"WITH {SCORED}, r AS (SELECT *, doc_id % 3 AS part, rank() OVER (PARTITION BY doc_id % 3 ORDER BY score) + (count(*) OVER (PARTITION BY doc_id % 3, score) - 1) / 2.0 AS rk FROM scored) SELECT part, {AUC} AS auc, count(*) AS n FROM r GROUP BY part"))
+def auc_by_part(spark, sf_dir):
+    """Each part's AUC, by ranks counted in chunks of the score."""
+    rows = run(spark, sf_dir, f"WITH {SCORED} SELECT y, doc_id % 3 AS g, CAST(score AS DOUBLE) AS s FROM scored")
+    return _auc(rows, "s").join(rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g").select(F.col("g").alias("part"), "auc", "n")
+
+
+@query("f12_losing_streak", duck(f"""WITH {TRADES}, s AS (SELECT *, sum(CASE WHEN r > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY kind ORDER BY d, id ROWS UNBOUNDED PRECEDING) AS island FROM trades),
+    l AS (SELECT kind, island, count(*) FILTER (WHERE r <= 0) AS n FROM s GROUP BY kind, island) SELECT kind, max(n) AS losing_streak FROM l GROUP BY kind"""))
+def losing_streak(spark, sf_dir):
+    """The longest run of losses of each kind: wins so far number the runs, counted by chunks of a year."""
+    trades = run(spark, sf_dir, f"WITH {TRADES} SELECT kind, id, d, r FROM trades")
+    numbered = running(trades, ["kind"], F.year("d"), ["d", "id"], sums={"island": F.when(F.col("r") > 0, 1).otherwise(0).cast("long")})
+    return numbered.groupBy("kind", "island").agg(F.count_if(F.col("r") <= 0).alias("n")).groupBy("kind").agg(F.max("n").alias("losing_streak"))

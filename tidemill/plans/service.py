@@ -210,7 +210,13 @@ def message_text(spark, sf_dir):
     return rows.select("o_orderkey", F.format_string("%s #%d %s", F.when(F.col("o_orderkey") % 2 == 0, "LONG").otherwise("SHORT"), "o_orderkey", status[F.col("o_orderstatus")]).alias("text"))
 
 
-dual("o34_feeds", "WITH e AS (SELECT event_id, user_id, event_type, @epoch(ts) AS t FROM {events}) SELECT a.event_id, min(b.event_id) AS reply_to FROM e AS a LEFT JOIN e AS b ON b.user_id = a.user_id AND b.event_type = 'purchase' AND b.t <= a.t WHERE a.event_type = 'click' AND a.t >= (SELECT max(t) FROM e) - 86400 GROUP BY a.event_id")
+@query("o34_feeds", duck("WITH e AS (SELECT event_id, user_id, event_type, @epoch(ts) AS t FROM {events}) SELECT a.event_id, min(b.event_id) AS reply_to FROM e AS a LEFT JOIN e AS b ON b.user_id = a.user_id AND b.event_type = 'purchase' AND b.t <= a.t WHERE a.event_type = 'click' AND a.t >= (SELECT max(t) FROM e) - 86400 GROUP BY a.event_id"))
+def feeds(spark, sf_dir):
+    """The message that a recent one replies to, the first of its user's so far: a running minimum, counted by days."""
+    rows = run(spark, sf_dir, "SELECT event_id, user_id, event_type, @epoch(ts) AS t FROM {events} WHERE event_type IN ('click', 'purchase')").withColumn("_late", F.col("event_type") == "click")
+    seen = folds.running(rows, ["user_id"], F.floor(F.col("t") / 86400), ["t", "_late", "event_id"], maxes={"_least": F.when(~F.col("_late"), -F.col("event_id"))})
+    now = run(spark, sf_dir, "SELECT max(@epoch(ts)) AS now FROM {events}")
+    return seen.where("_late").crossJoin(F.broadcast(now)).where("t >= now - 86400").select("event_id", (-F.col("_least")).alias("reply_to"))
 
 
 @query("o40_append_new", "SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'kept' ELSE 'appended' END AS state FROM events")
