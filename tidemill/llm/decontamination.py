@@ -19,15 +19,19 @@ WIDTH = 10
 BROADCAST_BYTES = 4 << 20
 #: Words of a benchmark item that are taken as one; the parts of a longer one overlap by a window less a word.
 ITEM_WORDS = 1 << 16
+#: Items of documents that are given out at once.
+ITEMS = 1 << 20
 
 
 class Windows:
-    """The windows of some benchmark items: sorted hashes by length, and for each the window's words and item, as arrays."""
+    """The distinct windows of some benchmark items: sorted hashes by length, and for each where its words are and which items
+    have it (items[at[w]:at[w + 1]], distinct), as arrays."""
 
     def __init__(self, items: pa.Array, texts: pa.Array, width: int):
         words = Words(texts, ALNUM, fold=True)
         self.text, place = words.spelled()
-        ids, hashes, self.tables = np.array(items.to_pylist(), object), words.hashes(), {}
+        named, hashes, self.tables = items.is_valid().to_numpy(zero_copy_only=False), words.hashes(), {}
+        ids = items.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
         doc, length = words.doc(), words.end - words.start
         for k in sorted({min(width, n) for n in words.counts.tolist()} - {0}):
             whole = np.repeat((words.counts == k) | ((k == width) & (words.counts > width)), words.counts)
@@ -35,24 +39,48 @@ class Windows:
             h = ngrams(hashes, k)[at]
             order = np.argsort(h, kind="stable")
             at, h = at[order], h[order]
-            self.tables[k] = (h, place[at], place[at + k - 1] + length[at + k - 1], ids[doc[at]])
+            start, end = place[at], place[at + k - 1] + length[at + k - 1]
+            window = self._distinct(h, start, end)
+            one = np.unique(window, return_index=True)[1]
+            pairs = np.unique(np.stack([window, ids[doc[at]]])[:, named[doc[at]]], axis=1)
+            self.tables[k] = (h[one], start[one], end[one], np.searchsorted(pairs[0], np.arange(len(one) + 1)), pairs[1])
+
+    def _distinct(self, h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A number for each window, the same for those of the same words; it does not fall where hashes rise."""
+        fresh = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        seen: dict[bytes, int] = {}
+        number, out = -1, np.empty(len(h), np.int64)
+        for j, new in enumerate(fresh.tolist()):
+            if new:
+                seen = {}
+            spelled = self.text[start[j] : end[j]]
+            if spelled not in seen:
+                number += 1
+                seen[spelled] = number
+            out[j] = seen[spelled]
+        return out
 
-    def hits(self, words: Words, hashes: np.ndarray) -> list[tuple[int, int, int, set]]:
-        """Verified occurrences in some texts: (text, first word, words, items)."""
+    def hits(self, words: Words, hashes: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Verified occurrences in some texts: (text, first word, words, window). Each is compared with the window of its hash, of
+        which there is one but for clashes."""
         out, doc = [], words.doc()
-        for k, (keys, start, end, items) in self.tables.items():
+        for k, (keys, start, end, _, _) in self.tables.items():
             grams = ngrams(hashes, k)
             lo = np.searchsorted(keys, grams)
             for i in np.flatnonzero((keys[np.minimum(lo, len(keys) - 1)] == grams) & words.fits(k)[: len(grams)]).tolist():
-                seen, found, same = words.bytes(i, i + k), set(), False
-                for j in range(int(lo[i]), int(np.searchsorted(keys, grams[i], "right"))):
+                seen, j = words.bytes(i, i + k), int(lo[i])
+                while j < len(keys) and keys[j] == grams[i]:
                     if self.text[start[j] : end[j]] == seen:
-                        same = True
-                        found.add(items[j])
-                if same:
-                    out.append((int(doc[i]), i, k, found - {None}))
+                        out.append((int(doc[i]), i, k, j))
+                        break
+                    j += 1
         return out
 
+    def items(self, windows: frozenset) -> np.ndarray:
+        """The items that have some of the windows (words, window), in order."""
+        some = [self.tables[k][4][self.tables[k][3][w] : self.tables[k][3][w + 1]] for k, w in windows]
+        return some[0] if len(some) == 1 else np.unique(np.concatenate(some)) if some else np.zeros(0, np.int64)
+
 
 def _scan(windows: Windows):
     def run(column):
@@ -69,11 +97,11 @@ def _report(windows: Windows):
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 words, hits = scan(batch.column(1).slice(a, b - a))
-                cover, items = np.zeros(len(words.start) + 1, np.int64), defaultdict(set)
-                for d, i, k, found in hits:
+                cover, held = np.zeros(len(words.start) + 1, np.int64), defaultdict(set)
+                for d, i, k, w in hits:
                     cover[i] += 1
                     cover[i + k] -= 1
-                    items[d].update(found)
+                    held[d].add((k, w))
                 inside = np.cumsum(cover)[:-1] > 0
                 hit = per_document(inside, words.at)
                 runs = [[] for _ in range(words.n)]
@@ -82,16 +110,28 @@ def _report(windows: Windows):
                     for r in np.split(w, np.flatnonzero(np.diff(w) > 1) + 1):
                         place = (r[0] - words.at[d], r[-1] + 1 - words.at[d], words.start[r[0]] - words.offsets[d], words.end[r[-1]] - words.offsets[d])
                         runs[d].append(dict(zip(("first", "last", "start", "end"), map(int, place))))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array(words.counts.astype(np.int64)),
-                        pa.array(hit),
-                        pa.array([sorted(items.get(d, ())) for d in range(words.n)], pa.list_(pa.int64())),
-                        pa.array(runs, pa.list_(pa.struct([(k, pa.int64()) for k in ("first", "last", "start", "end")]))),
-                    ],
-                    names=["row", "n_words", "n_hit", "items", "runs"],
-                )
+                known, items = {}, []  # documents often hold the same windows
+                for d in range(words.n):
+                    key = frozenset(held.get(d, ()))
+                    if key not in known:
+                        known[key] = windows.items(key)
+                    items.append(known[key])
+                ends = np.concatenate([[0], np.cumsum([len(x) for x in items])])
+                c = 0
+                while c < words.n:  # many items that share a window make long rows: some at a time
+                    e = max(int(np.searchsorted(ends, ends[c] + ITEMS, "right")) - 1, c + 1)
+                    lists = pa.ListArray.from_arrays(pa.array((ends[c : e + 1] - ends[c]).astype(np.int32)), pa.array(np.concatenate(items[c:e]), pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column(0).slice(a + c, e - c),
+                            pa.array(words.counts[c:e].astype(np.int64)),
+                            pa.array(hit[c:e]),
+                            lists,
+                            pa.array(runs[c:e], pa.list_(pa.struct([(k, pa.int64()) for k in ("first", "last", "start", "end")]))),
+                        ],
+                        names=["row", "n_words", "n_hit", "items", "runs"],
+                    )
+                    c = e
 
     return run
 
