@@ -1,0 +1,37 @@
+"""An account with isolated margin on hourly bars, and its results by week with liquidations."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tidemill.operators.futures_account import Account, isolated_account
+from tidemill.operators.simulate import Rules
+from tidemill.plans.dual import run
+from tidemill.plans.trading import _NUMBERED, _SIGNALS
+from tidemill.registry import query
+
+#: Wide stops and little leverage: the bars move by halves.
+RULES, ACCOUNT = Rules(tp=1.0, sl=1.0, hold=9, maker=0.0002, taker=0.0005), Account(margin=0.05, leverage=3.0, cap=3, gap=2)
+#: Bars between two settlements, and bars of a chunk of the account.
+EVERY, CHUNK = 8, 300
+
+
+def _account(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = run(spark, sf_dir, f"WITH {_NUMBERED} SELECT instrument, i, open, high, low, close FROM x")
+    signals = run(spark, sf_dir, f"WITH {_NUMBERED} {_SIGNALS}")
+    rates = bars.where(F.col("i") % EVERY == 0).select("i").distinct().withColumn("rate", (F.floor(F.col("i") / EVERY) % 5 - 2) / 500.0)
+    return isolated_account(bars, signals, rates, "instrument", RULES, ACCOUNT, CHUNK)
+
+
+@query("j09_isolated_account")
+def account_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each trade of the account: how it ended, its size, net result, funding, and what was left had all open stops been hit."""
+    found = _account(spark, sf_dir)
+    return found.select("instrument", "id", "start", "side", "exit_at", "kind", "leverage_ok", *[F.round(c, 4).alias(c) for c in ("entry", "exit", "notional", "base", "net", "funding", "equity_after", "buffer_pct")])
+
+
+@query("o22_liquidations")
+def weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades, results and liquidations by week of their exit."""
+    count = lambda kind: F.count_if(F.col("kind") == kind).alias(kind.lower())
+    return _account(spark, sf_dir).groupBy("instrument", F.floor(F.col("exit_at") / 168).alias("week")).agg(F.count(F.lit(1)).alias("n"), *map(count, ("LIQ", "SL", "TP", "TIMEOUT")), F.round(F.sum("net"), 3).alias("net"), F.round(F.sum("funding"), 3).alias("funding"), F.round(F.min("buffer_pct"), 4).alias("least_buffer_pct"))
