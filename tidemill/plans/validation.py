@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W, functions as F
 
 from tidemill.functions import validation as v
-from tidemill.operators.joins import asof_join, asof_sources
+from tidemill.operators.joins import asof_sources
 from tidemill.plans.dual import BARS, duck, dual, run
 from tidemill.registry import query
 from tidemill.sources.candles import fill, fill_bars, known_ms, prepare
