@@ -18,35 +18,31 @@ BARS = "instrument string, i long, open double, high double, low double, close d
 TRADES = "instrument string, id long, start long, side int, b double"
 
 
-def slow_trade(bars, start, side, b, rules):
-    """One trade, bar by bar, by the rules of the survey's J04, J05 and T7."""
+def expected_trade(bars, start, side, b, rules):
+    """One trade from conditions on all bars it may see: which could fill it, stop it or reach its target, and the least of each."""
     if start not in bars:
         return None
-    at, price, maker, inside = start, bars[start][0], False, False
+    beyond = lambda x, level: side * x <= side * level  # noqa: E731  as bad for the trade as level
+    adverse, favour = ({k: bar[c] for k, bar in bars.items()} for c in ((2, 1) if side > 0 else (1, 2)))
+    at, price, maker, within = start, bars[start][0], False, False
     if rules.pullback is not None:
-        limit = price * math.exp(-side * rules.pullback * b)
-        for k in range(start, start + rules.wait):
-            if k in bars and side * bars[k][0] <= side * limit:
-                at, price, maker = k, bars[k][0], True
-                break
-            if k in bars and (bars[k][2] <= limit * (1 - rules.through) if side > 0 else bars[k][1] >= limit * (1 + rules.through)):
-                at, price, maker, inside = k, limit, True, True
-                break
-        else:
-            at = start + rules.wait
-            if at not in bars:
-                return None
-            price = bars[at][0]
-    tp, sl = price * math.exp(side * rules.tp * b), price * math.exp(-side * rules.sl * b)
-    for k in range(at, at + rules.hold):
-        if k not in bars:
-            return at, price, maker, k - 1, bars[k - 1][3], "CUT"
-        o, h, l, c = bars[k]
-        if (l <= sl) if side > 0 else (h >= sl):
-            return at, price, maker, k, (min(o, sl) if side > 0 else max(o, sl)), "SL"
-        if not (inside and k == at) and ((h >= tp) if side > 0 else (l <= tp)):
-            return at, price, maker, k, tp, "TP"
-    return at, price, maker, k, c, "TIMEOUT"
+        limit, asked = price * math.exp(-side * rules.pullback * b), [k for k in range(start, start + rules.wait) if k in bars]
+        opened = {k for k in asked if beyond(bars[k][0], limit)}
+        traded = {k for k in asked if beyond(adverse[k], limit * (1 - side * rules.through))}
+        at = min(opened | traded, default=start + rules.wait)
+        maker, within = at in opened | traded, at in traded - opened
+        if at not in bars:
+            return None
+        price = limit if within else bars[at][0]
+    target, stop = (price * math.exp(sign * side * share * b) for sign, share in ((1, rules.tp), (-1, rules.sl)))
+    held = [k for k in range(at, at + rules.hold) if k in bars]
+    stopped = min((k for k in held if beyond(adverse[k], stop)), default=math.inf)
+    reached = min((k for k in held if beyond(target, favour[k]) and not (within and k == at)), default=math.inf)
+    if min(stopped, reached) == math.inf:
+        return at, price, maker, held[-1], bars[held[-1]][3], "TIMEOUT" if len(held) == rules.hold else "CUT"
+    if stopped <= reached:
+        return at, price, maker, stopped, side * min(side * bars[stopped][0], side * stop), "SL"
+    return at, price, maker, reached, target, "TP"
 
 
 @pytest.mark.parametrize("rules", [Rules(), Rules(tp=1.5, sl=0.7, hold=4, pullback=0.4, wait=2, through=0.001, maker=0.0002, taker=0.0005), Rules(pullback=0.0, wait=1, hold=1)])
@@ -60,7 +56,7 @@ def test_simulated_trades(spark, rules):
     trades = [(k, rng.randrange(-3, 405), rng.choice([1, -1]), rng.uniform(0.006, 0.03)) for k in range(250)]
     frame = spark.createDataFrame([("a", i, *b) for i, b in bars.items()], BARS)
     found = simulate(frame, spark.createDataFrame([("a", *t) for t in trades] + [("a", 900, 5, 1, None), ("b", 901, 5, 1, 0.1)], TRADES), "instrument", rules).collect()
-    want = {k: slow_trade(bars, *t, rules) for k, *t in trades}
+    want = {k: expected_trade(bars, *t, rules) for k, *t in trades}
     assert {r.id for r in found} == {k for k, w in want.items() if w}
     for r in found:
         at, entry, maker, out, price, kind = want[r.id]
