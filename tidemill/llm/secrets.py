@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -37,6 +38,8 @@ BASE_RULES = (
 SHARD_BITS = 12
 #: Strings of a literal run that are multiplied out; beyond them, the run is cut.
 MAX_STRINGS = 64
+#: Elements of an array that a fold makes grow.
+BLOCK = 64
 ANY: frozenset = frozenset([frozenset()])
 
 
@@ -137,18 +140,45 @@ def _pieces(text: Column, rule: Rule) -> tuple[Column, Column]:
     return F.arrays_zip(F.slice(before, 1, F.size(whole)).alias("before"), whole.alias("whole"), value.alias("value")), F.element_at(before, -1)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), value being evaluated once: within a lambda an expression is evaluated at each element, a variable is not."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(lengths: Column, levels: int = 3) -> Column:
+    """The sum of what stands before each element. An array that grows is copied at each step, so those here end at BLOCK elements,
+    and what stands before each block is found in the same way."""
+    none = F.array().cast("array<int>")
+
+    def step(a, x):
+        return F.struct((a["at"] + x).alias("at"), F.concat(a["sums"], F.array(a["at"])).alias("sums"))
+
+    def within(part):
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("sums")), step)
+
+    def shifted(blocks):
+        before = _running(F.transform(blocks, lambda x: x["at"]), levels - 1)
+        return F.flatten(F.zip_with(blocks, before, lambda x, s: F.transform(x["sums"], lambda v: v + s)))
+
+    def by_blocks(whole):
+        starts = F.sequence(F.lit(0), F.greatest(F.size(whole) - 1, F.lit(0)), F.lit(BLOCK))
+        return _bound(F.transform(starts, lambda i: within(F.slice(whole, i + 1, F.lit(BLOCK)))), shifted)
+
+    return within(lengths)["sums"] if levels == 1 else _bound(lengths, by_blocks)
+
+
 def _spans(text: Column, rule: Rule, number: int) -> Column:
     """Spans (start, kind, end) in code points of the rule's matches."""
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int>>")
 
-    def step(a, x):
-        start = a["at"] + F.length(x["before"])
-        end = start + F.length(x["whole"])
-        good = F.length(x["value"]) >= rule.min_length
-        more = F.when(good, F.array(F.struct(start.alias("start"), F.lit(number).alias("kind"), end.alias("end")))).otherwise(empty)
-        return F.struct(end.alias("at"), F.concat(a["found"], more).alias("found"))
+    def span(x, at):
+        start = at + F.length(x["before"])
+        return F.when(F.length(x["value"]) >= rule.min_length, F.struct(start.alias("start"), F.lit(number).alias("kind"), (start + F.length(x["whole"])).alias("end")))
+
+    def placed(pieces):
+        at = _running(F.transform(pieces, lambda x: F.length(x["before"]) + F.length(x["whole"])))
+        return F.filter(F.zip_with(pieces, at, span), lambda x: x.isNotNull())
 
-    return F.aggregate(_pieces(text, rule)[0], F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda a: a["found"])
+    return _bound(_pieces(text, rule)[0], placed)
 
 
 def _redacted(text: Column, rule: Rule, mask: str) -> Column:
