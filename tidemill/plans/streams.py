@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemill.operators.simulate import Rules
 from tidemill.plans.dual import duck, run
 from tidemill.plans.service import _ARRIVALS
-from tidemill.plans.trading import _NUMBERED, _simulation_sql
+from tidemill.plans.trading import _NUMBERED, _SIGNALS, _simulation_sql
 from tidemill.registry import SQL, query
 from tidemill.sources.files import stream_table
+from tidemill.streaming.book import Terms, live_book
 from tidemill.streaming.executor import execute
 from tidemill.streaming import timers
 from tidemill.streaming.sinks import drain, drain_idempotent, drain_routes, table_in_order
@@ -89,6 +90,41 @@ def live_executor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return closed.withColumn("entry", F.round("entry", 6)).withColumn("exit", F.round("exit", 6))
 
 
+def _book_sql(terms: Terms) -> str:
+    """The same by whole trades: each signal's trade on its own, then admission and the account by recursion over them."""
+    end = 1 << 40
+    return f"""WITH RECURSIVE {duck(_NUMBERED)}, trade AS ({_simulation_sql(terms.rules, digits=12)}),
+      h AS (SELECT s.instrument, s.id, s.start - 1 AS signal, row_number() OVER (PARTITION BY s.instrument ORDER BY s.start) AS k, CASE WHEN kind <> 'CUT' THEN exit_at ELSE {end} END AS leave FROM ({_SIGNALS}) AS s LEFT JOIN trade USING (instrument, id)),
+      a AS (SELECT instrument, id, k, 'ok' AS why, [coalesce(leave, {end})] AS held, signal AS entered FROM h WHERE k = 1 UNION ALL
+        SELECT instrument, id, k, why, CASE WHEN why = 'ok' THEN list_append(held, leave) ELSE held END, CASE WHEN why = 'ok' THEN signal ELSE entered END FROM (
+          SELECT *, CASE WHEN len(held) >= {terms.cap} THEN 'max_positions' WHEN signal - entered < {terms.gap} THEN 'min_gap' ELSE 'ok' END AS why FROM (
+            SELECT h.instrument, h.id, h.k, h.signal, coalesce(h.leave, {end}) AS leave, a.entered, list_filter(a.held, lambda x: x >= h.signal) AS held FROM a JOIN h ON h.instrument = a.instrument AND h.k = a.k + 1) AS u) AS v),
+      d AS (SELECT trade.*, CASE WHEN kind = 'CUT' THEN {end} ELSE exit_at END AS leave, CASE WHEN entry_at = exit_at THEN 1 ELSE 0 END AS late FROM a JOIN trade USING (instrument, id) WHERE why = 'ok'),
+      n AS (SELECT d.instrument, d.id, count(o.id) AS n FROM d LEFT JOIN d AS o ON o.instrument = d.instrument AND o.kind <> 'CUT' AND (o.leave, o.late, o.id) < (d.entry_at, 1, d.id) GROUP BY d.instrument, d.id),
+      c AS (SELECT d.instrument, d.id, r_net, n, row_number() OVER (PARTITION BY d.instrument ORDER BY leave, late, d.id) AS k FROM d JOIN n USING (instrument, id) WHERE kind <> 'CUT'),
+      v AS (SELECT instrument, id, k, [{terms.equity}, {terms.equity} * (1 + {terms.share} * r_net)] AS v FROM c WHERE k = 1 UNION ALL
+        SELECT c.instrument, c.id, c.k, list_append(v.v, v.v[c.k] + {terms.share} * v.v[c.n + 1] * c.r_net) FROM v JOIN c ON c.instrument = v.instrument AND c.k = v.k + 1),
+      whole AS (SELECT instrument, max_by(v, k) AS v FROM v GROUP BY instrument)
+      SELECT instrument, id, 'skipped' AS event, id // 10 AS at, why AS kind, NULL AS price, NULL AS maker, NULL AS r, NULL AS r_net, NULL AS equity FROM a WHERE why <> 'ok'
+      UNION ALL SELECT instrument, id, 'filled', entry_at, NULL, round(entry, 6), maker, NULL, NULL, round(coalesce(whole.v[n + 1], {terms.equity}), 6) FROM d JOIN n USING (instrument, id) LEFT JOIN whole USING (instrument)
+      UNION ALL SELECT instrument, id, 'closed', exit_at, kind, round(exit, 6), maker, round(r, 6), round(d.r_net, 6), round(v.v[len(v.v)], 6) FROM d JOIN v USING (instrument, id)"""
+
+
+def _live_book(name: str, terms: Terms) -> None:
+    def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bars = run(spark, sf_dir, _BOOK_BARS)
+        stream = spark.readStream.schema(bars.schema).option("maxFilesPerTrigger", 1).parquet(table_in_order(bars, "i", 200, "bars"))
+        with timers.timer_store(spark):
+            events = drain(live_book(stream, terms), "book")
+        return events.select("instrument", "id", "event", "at", "kind", "maker", *[F.round(c, 6).alias(c) for c in ("price", "r", "r_net", "equity")])
+
+    query(name, _book_sql(terms))(build)
+
+
+_live_book("j08_live_book", Terms(Rules(hold=9, maker=0.0002, taker=0.0005), cap=3, gap=2))
+_live_book("j08_live_pullback", Terms(Rules(tp=1.2, hold=9, pullback=0.3, wait=3, through=0.0001, maker=0.0002, taker=0.0005), cap=4, gap=1))
+
+
 #: Seconds of time that a file of a timed stream holds.
 FILE = 700_000
 

@@ -13,7 +13,7 @@ _NUMBERED = f"{BARS}, x AS (SELECT instrument, t, open, high, low, close, row_nu
 _SIGNALS = "SELECT instrument, i * 10 + CASE WHEN close > open THEN 1 ELSE 0 END AS id, i + 1 AS start, CASE WHEN close > open THEN 1 ELSE -1 END AS side, 0.2 + t / 3600 % 6 / 10.0 AS b FROM x"
 
 
-def _simulation_sql(rules: Rules, signals: str = _SIGNALS) -> str:
+def _simulation_sql(rules: Rules, signals: str = _SIGNALS, digits: int = 6) -> str:
     """The same by nested conditions on every pair of a trade and a bar."""
     fill = f"""SELECT g.instrument, g.id, g.side, g.b, g.start AS ent, g.o AS e, false AS maker, false AS part FROM g""" if rules.pullback is None else f"""
       SELECT instrument, id, side, b, CASE WHEN k IS NULL THEN start + {rules.wait} ELSE k END AS ent, CASE WHEN k IS NULL THEN later WHEN opened THEN ko ELSE lim END AS e, k IS NOT NULL AS maker, coalesce(NOT opened, false) AS part FROM (
@@ -28,8 +28,8 @@ def _simulation_sql(rules: Rules, signals: str = _SIGNALS) -> str:
       q AS (SELECT *, row_number() OVER (PARTITION BY instrument, id ORDER BY CASE WHEN hs OR ht THEN 0 ELSE 1 END, CASE WHEN hs OR ht THEN i ELSE -i END) AS k, count(*) OVER (PARTITION BY instrument, id) AS n FROM p),
       z AS (SELECT *, CASE WHEN hs THEN 'SL' WHEN ht THEN 'TP' WHEN n < {rules.hold} THEN 'CUT' ELSE 'TIMEOUT' END AS kind,
               CASE WHEN hs THEN CASE WHEN side > 0 AND open < sl OR side < 0 AND open > sl THEN open ELSE sl END WHEN ht THEN tp ELSE close END AS px FROM q WHERE k = 1)
-      SELECT instrument, id, ent AS entry_at, round(e, 6) AS entry, maker, i AS exit_at, round(px, 6) AS exit, kind, round(side * ln(px / e) / ({rules.sl} * b), 6) AS r,
-        round(side * ln(px / e) / ({rules.sl} * b) - (CASE WHEN maker THEN {rules.maker} ELSE {rules.taker} END + {rules.taker}) / ({rules.sl} * b), 6) AS r_net FROM z""")
+      SELECT instrument, id, ent AS entry_at, round(e, {digits}) AS entry, maker, i AS exit_at, round(px, {digits}) AS exit, kind, round(side * ln(px / e) / ({rules.sl} * b), {digits}) AS r,
+        round(side * ln(px / e) / ({rules.sl} * b) - (CASE WHEN maker THEN {rules.maker} ELSE {rules.taker} END + {rules.taker}) / ({rules.sl} * b), {digits}) AS r_net FROM z""")
 
 
 def _simulation(name: str, rules: Rules) -> None:
