@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import Column, Window as W, functions as F
 
 from tidemill.functions import validation as v
 from tidemill.operators.joins import asof_sources
 from tidemill.plans.dual import BARS, duck, dual, run
 from tidemill.registry import query
 from tidemill.sources.candles import fill, fill_bars, known_ms, prepare
+from tidemill.sources.envelopes import envelopes as enveloped
+from tidemill.sources.positioning import MEASURES, PREMIUM, positioning, reply_measures, reply_premium
 
 #: Events as envelopes of an hour; some by their number with a wrong step, start, time of receipt, mode or schema.
 _PUT = """SELECT event_id, event_type, value, CASE WHEN bad = 1 THEN 2 ELSE 1 END AS schema_version, CASE WHEN bad = 2 THEN 'test' WHEN bad = 3 THEN NULL WHEN bad = 4 THEN 'backfill' ELSE 'live' END AS mode,
@@ -216,3 +218,93 @@ def fill_bars_of(spark, sf_dir):
     """Five-hour bars, by their hours where all five are there, up to each instrument's first hole."""
     coarse, fine = run(spark, sf_dir, _COARSE.replace("t / 18000 <>", "t DIV 18000 <>")), run(spark, sf_dir, _FINE.replace("t / 3600 %", "t DIV 3600 %"))
     return fill_bars(coarse, fine, "instrument", 18_000, 3600)
+
+
+# --- positioning: each kind of event is an endpoint, hours are bars, users are dealt over four series
+
+_HOUR, _CUTOVER, _PRICE = 3_600_000, 1_705_492_800_000, 5000
+_POSITIONS = """SELECT event_id AS seq, event_type, user_id % 4 AS series, CAST(floor(@epoch(ts) / 3600) AS BIGINT) * 3600000 + CASE WHEN event_id % 29 = 0 THEN 1 ELSE 0 END AS ms,
+  CASE WHEN event_id % 11 = 0 THEN -1 ELSE CAST(floor(value) AS BIGINT) + 1 END AS v, CASE WHEN event_id % 3 = 0 THEN 0 ELSE event_id % 1000 END AS p, 5000 + 55 * (event_id % 5) AS rate FROM {events}"""
+_GRID = "SELECT series, open_time_ms, CAST(CASE WHEN open_time_ms / 3600000 % 10 = 0 THEN NULL ELSE 5000 END AS DOUBLE) AS price FROM (SELECT DISTINCT user_id % 4 AS series, CAST(floor(@epoch(ts) / 3600) AS BIGINT) * 3600000 AS open_time_ms FROM {events}) AS g"
+
+
+def _said(kind: str, **values: str) -> str:
+    """The last record of each bar of one endpoint."""
+    columns = ", ".join(f"{v} AS {c}" for c, v in values.items())
+    return f"(SELECT series, ms, {columns} FROM e WHERE event_type = '{kind}' QUALIFY row_number() OVER (PARTITION BY series, ms ORDER BY seq DESC) = 1)"
+
+
+def _nearest(table: str, columns: list[str], age: str) -> str:
+    """For each bar the row of table that is nearest before it, three bars at most."""
+    return f"""SELECT g.series, g.open_time_ms, (g.open_time_ms - s.open_time_ms) // {_HOUR} AS {age}, {", ".join(f"s.{c}" for c in columns)} FROM g JOIN {table} AS s
+      ON s.series = g.series AND s.open_time_ms BETWEEN g.open_time_ms - {3 * _HOUR} AND g.open_time_ms QUALIFY row_number() OVER (PARTITION BY g.series, g.open_time_ms ORDER BY s.open_time_ms DESC) = 1"""
+
+
+_LATER = ", ".join(f"(SELECT z.{c} FROM zeroed AS z WHERE z.series = w.series AND z.{c} IS NOT NULL AND z.open_time_ms BETWEEN w.open_time_ms - {3 * _HOUR} AND w.open_time_ms ORDER BY z.open_time_ms DESC LIMIT 1) AS prem_{c}" for c in PREMIUM)
+
+
+@query("a15_positioning_table", duck(f"""WITH g AS ({_GRID.replace("/ 3600000 %", "// 3600000 %")}), e AS ({_POSITIONS}),
+  j AS (SELECT * FROM {_said("click", oi="CAST(v AS DOUBLE)", oi_usd="CAST(v * rate AS DOUBLE)")} AS a FULL JOIN {_said("view", top_acct_ls="CAST(v AS DOUBLE)")} AS b USING (series, ms)
+        FULL JOIN {_said("purchase", top_pos_ls="CAST(v AS DOUBLE)")} AS c USING (series, ms) FULL JOIN {_said("signup", acct_ls="CAST(v AS DOUBLE)")} AS d USING (series, ms)),
+  o AS (SELECT j.*, CASE WHEN ms < {_CUTOVER} THEN ms - {_HOUR} ELSE ms END AS open_time_ms FROM j),
+  owned AS (SELECT o.* FROM o SEMI JOIN g USING (series, open_time_ms) QUALIFY row_number() OVER (PARTITION BY o.series, o.open_time_ms ORDER BY ms DESC) = 1),
+  m AS ({_nearest("owned", list(MEASURES), "m_age_bars")}),
+  real AS (SELECT r.* FROM (SELECT series, ms AS open_time_ms, * EXCLUDE (series, ms) FROM {_said("error", **{c: f"CAST(CASE WHEN seq % {k + 4} = 0 THEN 0 ELSE p + {k} * sign(p) END AS DOUBLE)" for k, c in enumerate(PREMIUM)})} AS x) AS r SEMI JOIN g USING (series, open_time_ms)),
+  w AS ({_nearest("real", list(PREMIUM), "p_age_bars")}), zeroed AS (SELECT series, open_time_ms, {", ".join(f"nullif({c}, 0) AS {c}" for c in PREMIUM)} FROM w),
+  p AS (SELECT w.series, w.open_time_ms, p_age_bars, 1.0 AS prem_samples, {_LATER} FROM w)
+  SELECT *, CAST(oi IS NOT NULL AS INTEGER) AS m_ok, CAST(prem_close IS NOT NULL AS INTEGER) AS p_ok, CAST(top_pos_ls IS NOT NULL AS INTEGER) AS top_ok, CAST(acct_ls IS NOT NULL AS INTEGER) AS acct_ok FROM (
+    SELECT g.series, g.open_time_ms, CASE WHEN oi > 0 THEN oi END AS oi, CASE WHEN oi_usd > 0 AND NOT coalesce(oi > 0 AND abs(oi_usd / (oi * price) - 1) > 0.02, false) THEN oi_usd END AS oi_usd,
+      {", ".join(f"CASE WHEN {c} > 0 THEN {c} END AS {c}" for c in MEASURES[2:])}, {", ".join(f"prem_{c}" for c in PREMIUM)}, prem_samples, m_age_bars, p_age_bars
+    FROM g LEFT JOIN m USING (series, open_time_ms) LEFT JOIN p USING (series, open_time_ms)) AS t"""))
+def positioning_table(spark, sf_dir):
+    """Replies of four endpoints as JSON objects and premium bars as JSON arrays, on the bars that each series has."""
+    rows = run(spark, sf_dir, _POSITIONS)
+    endpoint = F.create_map(*[F.lit(x) for pair in (("click", "oi"), ("view", "top_acct"), ("purchase", "top_pos"), ("signup", "acct")) for x in pair])[F.col("event_type")]
+    text = F.col("v").cast("string")
+    raw = F.when(endpoint == "oi", F.to_json(F.struct(F.col("ms").alias("timestamp"), text.alias("sumOpenInterest"), (F.col("v") * F.col("rate")).alias("sumOpenInterestValue")))).otherwise(F.to_json(F.struct(F.col("ms").alias("timestamp"), text.alias("longShortRatio"))))
+    measures = reply_measures(rows.select("series", endpoint.alias("endpoint"), raw.alias("raw"), "seq"), "series")
+    prices = [F.when(F.col("seq") % (k + 4) == 0, 0).otherwise(F.col("p") + k * F.signum("p")).cast("long").cast("string") for k in range(4)]
+    premium = reply_premium(rows.where("event_type = 'error'").select("series", F.to_json(F.array(F.col("ms").cast("string"), *prices)).alias("raw"), "seq"), "series")
+    return positioning(measures, premium, run(spark, sf_dir, _GRID.replace("open_time_ms / 3600000 %", "open_time_ms DIV 3600000 %")), "series", _HOUR, _CUTOVER)
+
+
+# --- envelopes of all kinds of events; some by their number with a fault of each sort
+
+_WIRE = """SELECT event_id, event_type, s, floor(value) + 2 AS v, event_id % 9 + 1 AS d, event_id % 10 AS bad, CASE WHEN event_id % 10 = 7 THEN 'test' ELSE 'live' END AS mode, CASE WHEN event_id % 10 = 8 THEN s - 3600000 ELSE s + 7200000 END AS received_at_ms
+  FROM (SELECT event_id, event_type, value, CAST(floor(@epoch(ts) / 3600) AS BIGINT) * 3600000 AS s FROM {events}) AS e"""
+_KINDS = {"click": "candle", "view": "premium", "purchase": "ratio", "signup": "taker", "error": "funding"}
+
+
+@query("c01_envelopes", duck(f"""WITH w AS (SELECT * REPLACE (CAST(v AS BIGINT) AS v) FROM ({_WIRE})), k AS (SELECT *,
+    CASE event_type {" ".join(f"WHEN '{e}' THEN '{k}'" for e, k in _KINDS.items())} END AS kind, CASE event_type WHEN 'purchase' THEN s WHEN 'error' THEN s - 3600000 ELSE s END AS period_start_ms,
+    CASE event_type
+      WHEN 'click' THEN printf('@"close":"%d","high":"%d","low":"%d","open":"%d.5","quote_volume":"9","taker_buy_base":"4","taker_buy_quote":"2.25","trade_count":3,"volume":"5"~', v + 1, v + 2, CASE WHEN bad = 1 THEN v + 1 ELSE v - 1 END, v)
+      WHEN 'view' THEN printf('@"close":"0","high":"%s","low":"-0.0%d","open":"0.0%d","source_timestamp_ms":%d~', CASE WHEN bad = 3 THEN '0.1' ELSE '0.099' END, d, d, s)
+      WHEN 'purchase' THEN printf('@"longAccount":"0.%d","longShortRatio":"%d","shortAccount":"%s","source_timestamp_ms":%d~', d, v, CASE WHEN bad = 4 THEN '1.5' ELSE printf('0.%d', 10 - d) END, s + 3600000)
+      WHEN 'signup' THEN printf('@"buySellRatio":"1","buyVol":"%d","sellVol":"%d","source_timestamp_ms":%d~', v, CASE WHEN bad = 5 THEN -v ELSE v END, s)
+      ELSE printf('@"fundingRate":"-0.0%d","markPrice":"%d","source_timestamp_ms":%d~', CASE WHEN bad = 6 THEN 7 ELSE d % 4 + 1 END, CASE WHEN event_id % 2 = 0 THEN 0 ELSE v END, s + 4) END AS made FROM w),
+  j AS (SELECT *, replace(replace(made, '@', chr(123)), '~', chr(125)) AS data FROM k)
+  SELECT event_id, kind, period_start_ms, period_start_ms + 3600000 AS period_end_ms, data, sha256('["venue:pair","' || kind || '","1h",' || period_start_ms || ',' || data || ']') AS id,
+    CASE WHEN bad = 2 AND kind = 'candle' THEN 'close' WHEN bad = 7 OR received_at_ms < period_start_ms + 3600000 THEN 'envelope'
+      WHEN (kind, bad) IN (('candle', 1), ('premium', 3), ('ratio', 4), ('taker', 5), ('funding', 6)) THEN 'value' END AS issue FROM j"""))
+def envelopes_of_all_kinds(spark, sf_dir):
+    """Bars as JSON arrays, measures as JSON objects, of an hour each."""
+    rows = run(spark, sf_dir, _WIRE).withColumn("v", F.col("v").cast("long"))
+    v, d, bad = F.col("v"), F.col("d"), F.col("bad")
+    text = lambda *parts: F.concat(*[p.cast("string") if isinstance(p, Column) else F.lit(p) for p in parts])
+    end = F.col("s") + F.when(bad == 2, 3_600_000).otherwise(3_599_999)
+    hour = F.col("s").cast("string")
+    candle = [hour, text(v, ".50"), text(v + 2), text(F.when(bad == 1, v + 1).otherwise(v - 1), ".00"), text(v + 1), F.lit("5"), end.cast("string"), F.lit("9.0"), F.lit("3"), F.lit("4"), F.lit("2.250")]
+    premium = [hour, text("0.0", d, "0"), F.when(bad == 3, "0.1").otherwise("0.099"), text("-0.0", d), F.lit("0.00"), F.lit("0"), text(F.col("s") + 3_599_999)]
+    objects = {
+        "ratio": {"timestamp": F.col("s") + 3_600_000, "longShortRatio": text(v), "longAccount": text("0.", d), "shortAccount": F.when(bad == 4, "1.5").otherwise(text("0.", 10 - d))},
+        "taker": {"timestamp": F.col("s"), "buySellRatio": F.lit("1.0"), "buyVol": text(v), "sellVol": text(F.when(bad == 5, -v).otherwise(v))},
+        "funding": {"fundingTime": F.col("s") + 4, "fundingRate": text("-0.0", F.when(bad == 6, 7).otherwise(d % 4 + 1), "00"), "markPrice": F.when(F.col("event_id") % 2 == 1, text(v))},
+    }
+    kind = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])[F.col("event_type")]
+    raw = F.when(kind == "candle", F.to_json(F.array(*candle))).when(kind == "premium", F.to_json(F.array(*premium)))
+    for name, fields in objects.items():
+        raw = raw.when(kind == name, F.to_json(F.struct(*[c.alias(k) for k, c in fields.items()])))
+    sent = rows.select("event_id", kind.alias("kind"), F.lit("1h").alias("timeframe"), raw.alias("raw"), F.lit("rest").alias("source"), "mode", "received_at_ms")
+    made = enveloped(sent.withColumnRenamed("event_id", "number"), "venue:pair", F.lit(_NOW))
+    return made.select(F.col("number").alias("event_id"), "kind", "period_start_ms", "period_end_ms", "data", F.col("event_id").alias("id"), "issue")
