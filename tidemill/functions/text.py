@@ -67,3 +67,23 @@ def duration(seconds: Column) -> Column:
     """'1d 2h', '3h 05m' or '7m'."""
     d, h, m = F.floor(seconds / 86400), F.floor(seconds / 3600) % 24, F.floor(seconds / 60) % 60
     return F.when(d > 0, F.format_string("%dd %dh", d, h)).when(h > 0, F.format_string("%dh %02dm", h, m)).otherwise(F.format_string("%dm", m))
+
+
+def fixed(c: Column, digits: int = 2, signed: bool = False) -> Column:
+    """A number with that many digits after the point, halves away from zero: '1.25', '-0.30'; signed, '+1.25'. By whole numbers, so that
+    it is the same wherever it is written. Null for null and what is not finite."""
+    unit = 10**digits
+    whole = F.floor(F.abs(c) * unit + 0.5).cast("long")
+    sign = F.when((c < 0) & (whole > 0), "-").otherwise("+" if signed else "")
+    tail = F.lpad((whole % unit).cast("string"), digits, "0")
+    return F.when(c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")), F.concat(sign, F.floor(whole / unit).cast("string"), F.lit("."), tail))
+
+
+def trade_message(kind: Column, side: Column, name: Column, entry: Column, price: Column, gain: Column, net: Column) -> Column:
+    """What is said of a trade: one closed has its result with fees too, one still open (kind null or CUT) the gain at the last price;
+    one without an entry was skipped, for the reason that kind gives."""
+    what = F.concat(F.when(side > 0, "LONG").otherwise("SHORT"), F.lit(" #"), name.cast("string"))
+    way = F.concat(what, F.lit(" "), fixed(entry), F.lit(" -> "), fixed(price), F.lit(" "), fixed(gain, signed=True), F.lit(" R"))
+    is_open = F.coalesce(kind == "CUT", F.lit(True))
+    closed = F.concat(kind, F.lit(" "), way, F.lit(" (net "), fixed(net, signed=True), F.lit(" R)"))
+    return F.when(entry.isNull(), F.concat(F.lit("SKIPPED "), what, F.lit(": "), F.coalesce(kind, F.lit("unknown")))).when(is_open, F.concat(F.lit("OPEN "), way)).otherwise(closed)

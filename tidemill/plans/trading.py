@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window as W, functions as F
 
+from tidemill.functions.text import trade_message
 from tidemill.operators.simulate import Rules, simulate
 from tidemill.plans.dual import BARS, SERIES, duck, run
 from tidemill.registry import query
@@ -42,6 +43,25 @@ def _simulation(name: str, rules: Rules) -> None:
     query(name, _simulation_sql(rules))(build)
 
 
+def _cents(c: str, signed: bool = False) -> str:
+    whole = f"CAST(floor(abs({c}) * 100 + 0.5) AS BIGINT)"
+    return f"""(CASE WHEN {c} < 0 AND {whole} > 0 THEN '-' ELSE '{"+" if signed else ""}' END || {whole} // 100 || '.' || lpad(CAST({whole} % 100 AS VARCHAR), 2, '0'))"""
+
+
+_SAID = Rules(hold=9, maker=0.0002, taker=0.0005)
+
+
+@query("o33_trade_messages", f"""SELECT instrument, id, CASE kind WHEN 'CUT' THEN 'OPEN' ELSE kind END || CASE WHEN id % 10 = 1 THEN ' LONG #' ELSE ' SHORT #' END || id || ' ' || {_cents("entry")} || ' -> ' || {_cents("exit")} || ' ' || {_cents("r", True)} || ' R'
+  || CASE WHEN kind = 'CUT' THEN '' ELSE ' (net ' || {_cents("r_net", True)} || ' R)' END AS text FROM ({_simulation_sql(_SAID, digits=9)})""")
+def trade_messages(spark, sf_dir):
+    """The message of each trade, closed or marked to the last close."""
+    bars = run(spark, sf_dir, f"WITH {_NUMBERED} SELECT instrument, i, open, high, low, close FROM x")
+    found = simulate(bars, run(spark, sf_dir, f"WITH {_NUMBERED} {_SIGNALS}"), "instrument", _SAID)
+    entry, price, gain, net = (F.round(c, 9) for c in ("entry", "exit", "r", "r_net"))
+    said = trade_message(F.col("kind"), F.when(F.col("id") % 10 == 1, 1).otherwise(-1), F.col("id"), entry, price, gain, net)
+    return found.select("instrument", "id", said.alias("text"))
+
+
 _simulation("j04_simulate_exits", Rules(hold=9, maker=0.0002, taker=0.0005))
 _simulation("j05_limit_pullback", Rules(tp=1.2, hold=9, pullback=0.3, wait=3, through=0.0001, maker=0.0002, taker=0.0005))
 
