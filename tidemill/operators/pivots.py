@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tidemill.functions.ieee import over
 from tidemill.operators.folds import running
 
 BLOCK = 64
@@ -129,14 +130,15 @@ def confirmed_pivots(bars: DataFrame, by: str, order: str, high: str, low: str,
 
     Up to the first pivot both extremes are tracked (the earliest bar of each) and the larger swing wins, a rise if both are as
     large; after that a bar that reaches the running extreme moves it and is not tested. A chunk is `width` of time; no task
-    has more than a chunk's bars, or a series' table of records. Bars with nulls are left out; times are unique.
+    has more than a chunk's bars, or a series' table of records. Bars with nulls are left out; times are unique; prices may be zero,
+    from which any rise is endless.
     """
     good = bars.select(by, F.col(order).cast("long").alias("t"), F.col(high).cast("double").alias("high"), F.col(low).cast("double").alias("low")).dropna()
     chunk = F.floor(F.col("t") / F.lit(width))
     # the first pivot: running extremes, each with its earliest bar
     seen = running(good, [by], chunk, ["t"], maxes={"_top": F.struct(F.col("high").alias("v"), (-F.col("t")).alias("t")), "_bottom": F.struct((-F.col("low")).alias("v"), (-F.col("t")).alias("t"))})
     top, bottom = F.col("_top.v"), -F.col("_bottom.v")
-    up, down = F.col("high") / bottom - 1, 1 - F.col("low") / top
+    up, down = over(F.col("high"), bottom) - 1, 1 - over(F.col("low"), top)
     rose = (up >= reversal) & (up >= down) & (F.col("_bottom.t") != -F.col("t"))
     fell = (down >= reversal) & (F.col("_top.t") != -F.col("t"))
     first = seen.where(rose | fell).groupBy(by).agg(F.min(F.struct("t", F.when(rose, -1).otherwise(1).alias("kind"), F.when(rose, -F.col("_bottom.t")).otherwise(-F.col("_top.t")).alias("pivot"), F.when(rose, bottom).otherwise(top).alias("price"))).alias("_first"))

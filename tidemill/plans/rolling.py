@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, Window as W, functions as F
 
+from tidemill.functions.ieee import ln
 from tidemill.operators.folds import ewm_volatility
 from tidemill.operators.pivots import confirmed_pivots
 from tidemill.plans import market  # noqa: F401  registers J01
@@ -52,7 +53,7 @@ _EWM = """r AS (SELECT instrument, t, ln(close) AS lc, coalesce(ln(close) - lag(
 
 def _with_sigma(spark, sf_dir):
     bars = _bars(spark, sf_dir)
-    return bars.join(ewm_volatility(bars, "instrument", "t", "close", 24, 400 * 3600), ["instrument", "t"]).withColumn("lc", F.log("close"))
+    return bars.join(ewm_volatility(bars, "instrument", "t", "close", 24, 400 * 3600), ["instrument", "t"]).withColumn("lc", ln("close"))
 
 
 @query("f07_trend", duck(f"WITH RECURSIVE {BARS}, {_EWM} SELECT instrument, t, round((lc - lag(lc, 24) OVER w) / (sigma * sqrt(24)), 6) AS trend24, round((lc - lag(lc, 120) OVER w) / (sigma * sqrt(120)), 6) AS trend120 FROM s WINDOW w AS (PARTITION BY instrument ORDER BY t)"))
@@ -67,7 +68,7 @@ def trend(spark, sf_dir):
   SELECT instrument, t, round(disp, 6) AS disp, round(plen, 6) AS plen, round(abs(disp) / greatest(plen, 1e-12), 6) AS er, round(sqrt(sq / 8), 6) AS rv FROM p"""))
 def path_statistics(spark, sf_dir):
     """Displacement, length, efficiency and realised volatility of the path over the last 8 moves."""
-    rows = _bars(spark, sf_dir).withColumn("lc", F.log("close")).withColumn("r", F.col("lc") - F.lag("lc").over(_of()))
+    rows = _bars(spark, sf_dir).withColumn("lc", ln("close")).withColumn("r", F.col("lc") - F.lag("lc").over(_of()))
     moves = _rows(8)
     rows = rows.select("instrument", "t", (F.col("lc") - F.lag("lc", 8).over(_of())).alias("disp"), F.sum(F.abs("r")).over(moves).alias("plen"), F.sum(F.col("r") * F.col("r")).over(moves).alias("sq")).where("disp IS NOT NULL")
     return rows.select("instrument", "t", F.round("disp", 6).alias("disp"), F.round("plen", 6).alias("plen"), F.round(F.abs("disp") / F.greatest("plen", F.lit(1e-12)), 6).alias("er"), F.round(F.sqrt(F.col("sq") / 8), 6).alias("rv"))
@@ -160,7 +161,7 @@ def leg_maximum(spark, sf_dir):
     """The largest move of each leg, from its pivot up to the bar before the next."""
     bars, pivots = _pivots(spark, sf_dir)
     starts = pivots.select("instrument", F.col("pivot").alias("t"), F.lit(1).alias("starts"))
-    rows = bars.withColumn("r", F.abs(F.log("close") - F.lag(F.log("close")).over(_of()))).join(starts, ["instrument", "t"], "left")
+    rows = bars.withColumn("r", F.abs(ln("close") - F.lag(ln("close")).over(_of()))).join(starts, ["instrument", "t"], "left")
     rows = rows.withColumn("a", F.last(F.when(F.col("starts") == 1, F.col("t")), ignorenulls=True).over(_of())).where("a IS NOT NULL")
     legs = pivots.select("instrument", F.col("pivot").alias("a"), F.lead("pivot").over(W.partitionBy("instrument").orderBy("pivot")).alias("b")).where("b IS NOT NULL")
     return rows.groupBy("instrument", "a").agg(F.round(F.max("r"), 6).alias("most"), F.count(F.lit(1)).alias("bars")).join(legs, ["instrument", "a"]).select("instrument", "a", "b", "most", "bars")
