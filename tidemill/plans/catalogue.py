@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
+from tidemill.functions.ieee import ln, over as divided
 from tidemill.operators.folds import ewm_volatility
 from tidemill.operators.pivots import confirmed_pivots
 from tidemill.plans import market  # noqa: F401  registers J01
@@ -30,7 +31,7 @@ def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bars with number, log price, move, volatility and running sums of the moves' sizes and squares."""
     bars = run(spark, sf_dir, f"WITH {BARS} SELECT instrument, t, open, high, low, close, volume, ticks FROM bars")
     over = W.partitionBy("instrument").orderBy("t")
-    rows = bars.withColumn("lc", F.log("close")).withColumn("r", F.coalesce(F.col("lc") - F.lag("lc").over(over), F.lit(0.0)))
+    rows = bars.withColumn("lc", ln("close")).withColumn("r", F.coalesce(F.col("lc") - F.lag("lc").over(over), F.lit(0.0)))
     rows = rows.select("*", F.row_number().over(over).alias("i"), F.sum(F.abs("r")).over(over).alias("cs"), F.sum(F.col("r") * F.col("r")).over(over).alias("cq"))
     return rows.join(ewm_volatility(bars, "instrument", "t", "close", SPAN, 400 * 3600), ["instrument", "t"])
 
@@ -46,11 +47,11 @@ def with_pivots(rows: DataFrame) -> DataFrame:
     legs = rows.join(starts, ["instrument", "t"], "left").withColumn("pivot", F.last(F.when(F.col("turn"), F.col("t")), ignorenulls=True).over(over))
     legs = legs.groupBy("instrument", "pivot").agg(F.max(F.abs("r")).alias("jump"))
     order = W.partitionBy("instrument").orderBy("confirmed")
-    known = pivots.join(legs, ["instrument", "pivot"]).withColumn("p", F.collect_list(F.struct("i", F.log("price").alias("lc"), "cs", "cq", "kind", "jump")).over(order.rowsBetween(1 - EIGHT, 0)))
+    known = pivots.join(legs, ["instrument", "pivot"]).withColumn("p", F.collect_list(F.struct("i", ln("price").alias("lc"), "cs", "cq", "kind", "jump")).over(order.rowsBetween(1 - EIGHT, 0)))
     seen = rows.join(known.select("instrument", F.col("confirmed").alias("t"), "p", F.col("confirmed").alias("since")), ["instrument", "t"], "left")
     seen = seen.withColumn("known", F.last(F.when(F.col("since").isNotNull(), F.struct("p", "since")), ignorenulls=True).over(over)).where("known IS NOT NULL").drop("p", "since").select("*", "known.*").drop("known")
     rising = F.element_at("p", -1)["kind"] < 0
-    value = F.when(rising, F.log("high")).otherwise(-F.log("low"))
+    value = F.when(rising, ln("high")).otherwise(-ln("low"))
     best = F.max(F.struct(value.alias("v"), "i", "cs", "cq")).over(W.partitionBy("instrument", "since").orderBy("t"))
     seen = seen.withColumn("b", best).withColumn("dev", F.struct(F.col("b.i").alias("i"), F.when(rising, F.col("b.v")).otherwise(-F.col("b.v")).alias("lc"), F.col("b.cs").alias("cs"), F.col("b.cq").alias("cq")))
     return seen.where(F.size("p") == EIGHT).drop("b")
@@ -141,7 +142,7 @@ def relation_features(spark, sf_dir):
         (a, b), (c, d) = ends[x], ends[y]
         size = lambda p, q: F.greatest(F.abs(q["lc"] - p["lc"]), F.lit(1e-9))
         first, second = b["i"] - a["i"], d["i"] - c["i"]
-        out += [F.round(F.log(size(a, b) / size(c, d)), 5).alias(f"rel_{x}_{y}_size"), F.round(F.when((first > 0) & (second > 0), F.log(first / second)), 5).alias(f"rel_{x}_{y}_time")]
+        out += [F.round(ln(size(a, b) / size(c, d)), 5).alias(f"rel_{x}_{y}_size"), F.round(F.when((first > 0) & (second > 0), F.log(first / second)), 5).alias(f"rel_{x}_{y}_time")]
     return _seen(spark, sf_dir).select("instrument", "t", *out)
 
 
@@ -176,7 +177,7 @@ def channel_features(spark, sf_dir):
     width = lambda x: (F.col("h1.y") + F.col("su") * (x - F.col("h1.x"))) - (F.col("l1.y") + F.col("sl") * (x - F.col("l1.x")))
     clip = lambda c: F.round(F.least(F.greatest(c, F.lit(-20.0)), F.lit(20.0)), 4)
     now = width(F.lit(0.0))
-    return rows.select("instrument", "t", clip(now / F.col("rb")).alias("ch_width"), clip((now - width(F.col("ref"))) / F.greatest(-F.col("ref"), F.lit(1e-6))).alias("ch_conv"))
+    return rows.select("instrument", "t", clip(divided(now, F.col("rb"))).alias("ch_width"), clip((now - width(F.col("ref"))) / F.greatest(-F.col("ref"), F.lit(1e-6))).alias("ch_conv"))
 
 
 def _levels_sql() -> str:
@@ -190,7 +191,7 @@ def level_features(spark, sf_dir):
     """The nearest level above and below among five pivots and the developing one, and how many are within reach."""
     y = lambda c: (c["lc"] - F.col("lc")) / F.col("s")
     rows = _seen(spark, sf_dir).where("rb IS NOT NULL").withColumn("ys", F.array(*[y(_p(j)) for j in range(1, 6)], y(F.col("dev"))))
-    nearest = lambda sign: F.round(F.array_min(F.transform(F.filter("ys", lambda v: v * sign > 0), lambda v: v * sign)) / F.col("rb"), 5)
+    nearest = lambda sign: F.round(divided(F.array_min(F.transform(F.filter("ys", lambda v: v > 0 if sign > 0 else v < 0), lambda v: v * sign)), F.col("rb")), 5)
     return rows.select("instrument", "t", nearest(1).alias("lvl_above"), nearest(-1).alias("lvl_below"), F.size(F.filter("ys", lambda v: F.abs(v) <= F.col("rb"))).cast("long").alias("lvl_count"))
 
 
@@ -251,9 +252,9 @@ def positioning_features(spark, sf_dir):
     last = lambda k: over.rowsBetween(1 - k, 0)
     positive = lambda c: F.when(c > 0, F.log(c))
     rows = run(spark, sf_dir, f"WITH {BARS} SELECT instrument, t, open, high, low, close, volume FROM bars")
-    rows = rows.select("instrument", "t", F.log("close").alias("lc"), positive(F.col("volume") - 5).alias("oi"), *[positive(F.col(c) - 3).alias(n) for n, c in _KINDS], ((F.col("close") / F.col("open") - 1) * 10).alias("prem"))
+    rows = rows.select("instrument", "t", ln("close").alias("lc"), positive(F.col("volume") - 5).alias("oi"), *[positive(F.col(c) - 3).alias(n) for n, c in _KINDS], ((divided(F.col("close"), F.col("open")) - 1) * 10).alias("prem"))
     change = lambda c, k: F.col(c) - F.lag(c, k).over(over)
-    z = lambda c: F.when(F.count(c).over(last(48)) >= 20, (F.col(c) - F.avg(c).over(last(48))) / F.stddev_samp(c).over(last(48)))
+    z = lambda c: F.when(F.count(c).over(last(48)) >= 20, divided(F.col(c) - F.avg(c).over(last(48)), F.stddev_samp(c).over(last(48))))
     named = {f"p_oi_{k}h": change("oi", k) for k in (1, 4, 24)} | {"p_oi4_x_ret4": change("oi", 4) * F.signum(change("lc", 4))}
     for n, _ in _KINDS:
         named |= {f"p_{n}": F.col(n), f"p_{n}_z7d": z(n), f"p_{n}_d4": change(n, 4)}
@@ -282,4 +283,4 @@ def more_direction_features(spark, sf_dir):
     rows = rows.join(known, ["instrument", "t"], "left").withColumn("p", F.last("p", ignorenulls=True).over(over))
     mean = lambda k: F.round(F.when(F.count("imb").over(last(k)) == k, F.avg("imb").over(last(k))), 6).alias(f"d_taker_{k}")
     z = F.when(F.count("close").over(last(90)) >= 30, (F.col("close") - F.avg("close").over(last(90))) / F.greatest(F.stddev_samp("close").over(last(90)), F.lit(1e-9)))
-    return rows.select("instrument", "t", *map(mean, (3, 6, 12, 24)), F.round((F.col("close") - 60) / 100, 6).alias("d_funding"), F.round(z, 6).alias("d_funding_z"), (-F.col("p.kind")).alias("d_last_pivot_kind"), F.round(F.log(F.col("p.price") / F.col("p.before")) / F.col("sigma"), 6).alias("d_pivot_hhll"))
+    return rows.select("instrument", "t", *map(mean, (3, 6, 12, 24)), F.round((F.col("close") - 60) / 100, 6).alias("d_funding"), F.round(z, 6).alias("d_funding_z"), (-F.col("p.kind")).alias("d_last_pivot_kind"), F.round(ln(divided(F.col("p.price"), F.col("p.before"))) / F.col("sigma"), 6).alias("d_pivot_hhll"))
