@@ -12,6 +12,7 @@ from oracle import SF, TABLES, duck_rows, rows
 
 PIVOTS = ["j01_confirmed_pivots", "j02_developing_extreme", "f09_leg_maximum"]
 FEATURES = ["p03_leg_features", "p04_relation_features", "p05_position_features", "p06_channel_features", "p07_level_features", "p08_context_features", "p09_positioning_features", "p10_more_direction_features", "f06_ewm_volatility", "f07_trend", "f08_path_statistics"]
+OTHERS = ["i01_scalar_functions", "p01_window_features", "p02_direction_features", "e34_random_nulls", "j04_simulate_exits", "j05_limit_pullback", "j08_live_book", "j08_live_pullback"]
 
 
 @pytest.fixture(scope="module")
@@ -27,7 +28,7 @@ def zeros(tmp_path_factory):
     return str(place)
 
 
-@pytest.mark.parametrize("name", PIVOTS + FEATURES)
+@pytest.mark.parametrize("name", PIVOTS + FEATURES + OTHERS)
 def test_zero_prices(spark, zeros, name):
     found, wanted = rows(QUERIES[name](spark, zeros).toPandas()), duck_rows(SQL[name], zeros)
     assert found[0] == wanted[0] and Counter(found[1]) == Counter(wanted[1])  # in any order: 0.0 and -0.0 are the same
