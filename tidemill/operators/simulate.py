@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemill.functions.ieee import ln, over
 from tidemill.operators.joins import range_join
 
 
@@ -73,6 +74,6 @@ def simulate(bars: DataFrame, trades: DataFrame, by: str, rules: Rules) -> DataF
         F.when(stopped, F.col("_s.i")).otherwise(F.coalesce("_t", "_last.i")).alias("exit_at"),
         F.when(stopped, F.col("_s.price")).when(F.col("_t").isNotNull(), F.col("_tp")).otherwise(F.col("_last.close")).alias("exit"),
     )
-    out = out.withColumn("r", F.col("side") * F.log(F.col("exit") / F.col("entry")) / (rules.sl * F.col("b")))
+    out = out.withColumn("r", F.col("side") * ln(over(F.col("exit"), F.col("entry"))) / (rules.sl * F.col("b")))
     fee = F.when(F.col("maker"), rules.maker).otherwise(rules.taker) + rules.taker
     return out.withColumn("r_net", F.col("r") - fee / (rules.sl * F.col("b"))).drop("side", "b")
