@@ -1,12 +1,13 @@
 """Order statistics of sliding frames and chunked turning points, against their definitions."""
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
 from tidemill.operators import pivots
 from tidemill.operators.pivots import Chunk, confirmed_pivots, entering
-from tidemill.operators.ranks import GatedRanks, Ranks, _descend, gated_quantiles, rolling_quantiles
+from tidemill.operators.ranks import GatedRanks, Ranks, _descend, continuous, gated_quantiles, rolling_quantiles
 
 
 @pytest.mark.parametrize("n", [1, 2, 5, 40, 700])
@@ -127,3 +128,13 @@ def test_pivots(spark, width):
 def test_pivots_of_nothing(spark):
     bars = spark.createDataFrame([], "k string, at long, high double, low double")
     assert confirmed_pivots(bars, "k", "at", "high", "low", 0.05).count() == 0
+
+
+@pytest.mark.parametrize("q", [0.5, 0.6, 0.7, 0.8])
+def test_quantiles_to_the_last_bit(q):
+    """A threshold between two prices may be a third one's price: it has to be the very double that SQL gets."""
+    rng, sql = np.random.default_rng(3), duckdb.connect()
+    for _ in range(60):
+        values = np.sort(rng.integers(0, 50_000, rng.integers(2, 40)) / 100)
+        want = sql.execute(f"SELECT quantile_cont(x, {q}) FROM (SELECT unnest(?) AS x)", [values.tolist()]).fetchone()[0]
+        assert continuous(np.array([len(values)]), q, lambda k: values[k])[0] == want
