@@ -2,12 +2,17 @@
 
 import random
 
+import __spark_entry__  # noqa: F401  registers the queries
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.operators import books, folds, joins
+from tidemill.registry import QUERIES
+
+from oracle import SF
 
 
 def made(rng, n, keys="ab"):
@@ -170,3 +175,10 @@ def test_bars_to_fill_on(spark):
     assert found(None) == sorted([("a", 0, 300), *(("a", *f) for f in fine), ("a", 600, 900), *(("b", *f) for f in fine)])
     assert found(0) == sorted([("a", 0, 300), *(("a", *f) for f in fine), ("a", 600, 900)])
     assert found(1200) == [("a", t, t + 60) for t in range(1200, 1500, 60)]
+
+
+def test_forward_values_of_any_delay(spark):
+    """A row whose next view comes after more than six hours has its value too."""
+    found = QUERIES["d08_asof_forward"](spark, SF).where("asof_value IS NOT NULL").count()
+    views, clicks = (f"SELECT user_id, floor(epoch(ts)) AS t FROM read_parquet('{SF}/events.parquet') WHERE event_type = '{kind}'" for kind in ("view", "click"))
+    assert found == duckdb.sql(f"SELECT count(*) FROM ({clicks}) AS c WHERE EXISTS (SELECT 1 FROM ({views}) AS v WHERE v.user_id = c.user_id AND v.t >= c.t)").fetchall()[0][0]
