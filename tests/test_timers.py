@@ -1,6 +1,7 @@
 """Streams with timers: restarts, repeated deliveries, ties, nulls and what is left in state."""
 
 import pytest
+from pyspark.sql import Row
 
 from tidemill.streaming import sinks, timers
 
@@ -70,3 +71,28 @@ def test_files_in_order(spark, size):
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place)
     stream.writeStream.foreachBatch(lambda b, _: batches.append([r.t for r in b.collect()])).trigger(availableNow=True).start().awaitTermination()
     assert [min(b) for b in batches] == list(range(0, 60, size)) and sorted(sum(batches, [])) == list(range(60))
+
+
+def test_many_rows_of_a_key_are_no_rows_of_python(spark, tmp_path):
+    """A source's beats come as arrays, and orders met within a batch leave no call of the state behind."""
+    schema, place, build = "key string, t long", str(tmp_path / "in"), lambda s: timers.silence_alerts(s, 600)
+    feed(spark, [("a", t) for t in [*range(3000), *range(4000, 6000)] * 3] + [("a", None)], schema, place)
+    assert start(spark, build, schema, place, str(tmp_path)) == [("a", 3599, "silent"), ("a", 4000, "back")]
+
+    class State(dict):
+        def iterator(self):
+            return iter(list(self.items()))
+
+        def updateValue(self, k, v):
+            calls.append(("put", k))
+            self[k] = v
+
+        def removeKey(self, k):
+            calls.append(("drop", k))
+            del self[k]
+
+    calls, own = [], timers._Pending(100)
+    own.open, own._arm = State({(1,): (0,)}), lambda t: calls.append(("arm", t))
+    rows = [Row(key=5, t=10, id=2), Row(key=5, t=20, id=3), Row(key=5, t=30, id=None), Row(key=5, t=40, id=4)]
+    assert [tuple(r) for r in own.handleInputRows((5,), iter(rows), None)] == [(1, 30, "OPEN"), (2, 20, "OPEN"), (3, 10, "OPEN")]
+    assert calls == [("drop", (1,)), ("put", (4,)), ("arm", 140)]
