@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from oracle import SF
+from tidemill.operators import boosting
 from tidemill.operators.boosting import Params, fit, predict, walk_forward
 from tidemill.plans.fits import FEATURES, samples
 
@@ -84,3 +85,22 @@ def test_cases(spark, tmp_path):
     changed = table.withColumn("y", 1 - F.col("y"))
     assert first and sorted(map(tuple, walk_forward(changed, "id", 2, params, place).collect())) == first
     assert sorted(map(tuple, walk_forward(changed, "id", 2, Params(rounds=2, depth=1, bins=8), place).collect())) != first
+
+
+def test_levels_go_over_distinct_rows(spark, monkeypatch):
+    """A level's pass has as many rows as there are different ones, however often each is there; the trees are the same."""
+    taken, sums, params = [], boosting._sums, Params(rounds=3, depth=2, bins=8)
+    monkeypatch.setattr(boosting, "_sums", lambda rows, *more: taken.append(rows.count()) or sums(rows, *more))
+    rows = spark.range(1200).selectExpr("1 AS fold", "if(id % 3 = 0, 'es', 'train') AS part", "CAST(id % 5 = 0 OR id % 7 = 1 AS INT) AS y", "array(id % 5, id % 7) AS x")
+    once, often = fit(rows, 2, params)[1], fit(rows.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(9)))).where("r < 5 OR part = 'es'"), 2, params)[1]
+    assert set(taken) == {len({(i % 3 == 0, i % 5 == 0 or i % 7 == 1, i % 5, i % 7) for i in range(1200)})}
+    assert [t.feature.tolist() for t in once.trees] == [t.feature.tolist() for t in often.trees] and once.best == often.best
+
+
+def test_many_equal_rows_are_summed_exactly(spark):
+    """Sums of gradients of a billion equal rows, which no double holds to the unit."""
+    model, n = boosting.Model(0.123), 10**9 + 7
+    rows = spark.createDataFrame([(1, "train", 1, [0], n), (1, "train", 0, [0], 3)], "fold long, part string, y int, x array<int>, n long")
+    p = float(boosting.probability(model.margin(boosting.np.zeros((1, 1), int)))[0])
+    growing = {1: boosting.Tree(boosting.np.full(4, -1), boosting.np.zeros(4, int), boosting.np.zeros(4))}
+    assert boosting._sums(rows, {1: model}, growing, 8)[1, 1, 0, 0][0] == round((p - 1) * 1e9) * n + round(p * 1e9) * 3

@@ -1,7 +1,8 @@
 """Boosted trees on binned features, grown for several folds at once by sums over executors; the driver sees sums only.
 
-A level of all folds' trees is one pass: each batch of rows works out where its rows stand by the trees so far, and gives sums of
-gradients by node, feature and bin. Those are whole numbers, so they do not depend on how rows are dealt. The best split of each
+Rows of one fold, part, label and features count as one with their number, so the input is read once to fit. A level of all folds'
+trees is one pass over those: each batch works out where its rows stand by the trees so far, and gives sums of gradients by node,
+feature and bin. Those are whole numbers, so they do not depend on how rows are dealt. The best split of each
 node is found among the sums, of which there are folds x nodes x features x bins at most, whatever the rows.
 """
 
@@ -16,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidemill.streaming.sinks import settled
+
 #: Gradients are counted in parts of this size.
 UNIT = 1e9
 #: Parts of a fold: rows that trees are grown on, and those that say when to stop.
@@ -86,29 +89,36 @@ def _by_fold(batches) -> Iterator[tuple]:
             yield fold, rows, x[rows], batch
 
 
+def _whole(x: np.ndarray) -> np.ndarray:
+    return np.round(x * UNIT).astype(np.int64)
+
+
 _SUMS = "fold long, node int, feature int, bin int, g long, h long"
 
 
 def _sums(rows: DataFrame, models: dict[int, Model], growing: dict[int, Tree], bins: int) -> dict[tuple, tuple]:
-    """Sums by (fold, node, feature, bin); node 0 has the loss on the rows that say when to stop, in g, and their number, in h."""
+    """Sums by (fold, node, feature, bin) of rows that stand for n each; node 0 has the loss on the rows that say when to stop, in g,
+    and their number, in h."""
 
     def run(batches):
         for fold, at, x, batch in _by_fold(batches):
             if fold not in growing:
                 continue
-            y, part = (batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("y", "part"))
+            y, part, n = (batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("y", "part", "n"))
             p = probability(models[fold].margin(x))
             out = []
             stop = part == STOP
             if stop.any():
                 q = np.clip(p[stop], 1e-12, 1 - 1e-12)
-                out.append((0, 0, 0, int(np.round(-np.where(y[stop] == 1, np.log(q), np.log(1 - q)) * UNIT).sum()), int(stop.sum())))
+                out.append((0, 0, 0, int((_whole(-np.where(y[stop] == 1, np.log(q), np.log(1 - q))) * n[stop]).sum()), int(n[stop].sum())))
             own = part == TRAIN
-            node, g, h = growing[fold].nodes(x[own]), np.round((p[own] - y[own]) * UNIT), np.round(p[own] * (1 - p[own]) * UNIT)
+            node, g, h = growing[fold].nodes(x[own]), _whole(p[own] - y[own]) * n[own], _whole(p[own] * (1 - p[own])) * n[own]
             size = int(node.max(initial=0)) + 1
             for f in range(x.shape[1]):
                 cell = node * bins + np.clip(x[own, f], 0, bins - 1)
-                sums = [np.bincount(cell, w, size * bins) for w in (g, h)]
+                sums = np.zeros((2, size * bins), np.int64)
+                np.add.at(sums[0], cell, g)
+                np.add.at(sums[1], cell, h)
                 for c in np.unique(cell).tolist():
                     out.append((c // bins, f, c % bins, int(sums[0][c]), int(sums[1][c])))
             columns = list(zip(*out)) if out else [[]] * 5
@@ -143,7 +153,8 @@ def fit(rows: DataFrame, features: int, params: Params) -> dict[int, Model]:
     with a null are left out; a fold without TRAIN rows has no model."""
     rows = rows.select(F.col("fold").cast("long").alias("fold"), F.col("part").cast("string").alias("part"), F.col("y").cast("int").alias("y"), F.col("x").cast("array<int>").alias("x"))
     rows = rows.dropna().where(F.col("part").isin(TRAIN, STOP) & (F.size("x") == features))
-    start = rows.where(F.col("part") == TRAIN).groupBy("fold").agg(F.sum("y").alias("good"), F.count(F.lit(1)).alias("n")).collect()  # a row a fold
+    rows = settled(rows.groupBy("fold", "part", "y", "x").agg(F.count(F.lit(1)).alias("n")), "samples")
+    start = rows.where(F.col("part") == TRAIN).groupBy("fold").agg(F.sum(F.col("y") * F.col("n")).alias("good"), F.sum("n").alias("n")).collect()  # a row a fold
     models = {r.fold: Model(float(np.log((r.good + 0.5) / (r.n - r.good + 0.5)))) for r in start}
     live, size = set(models), 2 ** (params.depth + 1)
     for _ in range(params.rounds + 1):
