@@ -182,3 +182,27 @@ def test_forward_values_of_any_delay(spark):
     found = QUERIES["d08_asof_forward"](spark, SF).where("asof_value IS NOT NULL").count()
     views, clicks = (f"SELECT user_id, floor(epoch(ts)) AS t FROM read_parquet('{SF}/events.parquet') WHERE event_type = '{kind}'" for kind in ("view", "click"))
     assert found == duckdb.sql(f"SELECT count(*) FROM ({clicks}) AS c WHERE EXISTS (SELECT 1 FROM ({views}) AS v WHERE v.user_id = c.user_id AND v.t >= c.t)").fetchall()[0][0]
+
+
+def test_signals_of_one_time_are_one_row_of_a_task(spark, monkeypatch):
+    """Forty trades at each of thirty times: what a book's tasks go through is thirty rows, and the flags are a loop's."""
+    rng, taken, settled = random.Random(5), {}, books.settled
+
+    def counted(rows, name):
+        out = settled(rows, name)
+        taken.setdefault(name, out.count())
+        return out
+
+    monkeypatch.setattr(books, "settled", counted)
+    rows = [("p", i, 7 * (i % 30), 7 * (i % 30) + rng.choice([0, 9, 40, 130])) for i in range(1200)]
+    frame = spark.createDataFrame(rows, "book string, id long, signal long, leave long")
+    want, held, last = {}, [], None
+    for _, i, t, end in sorted(rows, key=lambda r: (r[2], r[1])):
+        held = [e for e in held if e >= t]
+        want[i] = len(held) < 3 and (last is None or t - last >= 5)
+        if want[i]:
+            held.append(end)
+            last = t
+    found = books.admit(frame, "book", "signal", "leave", 3, 5, 50).collect()
+    assert len(found) == 1200 and {r.id: r.admitted for r in found} == want and 0 < sum(want.values()) < 30
+    assert taken["signals"] == 30

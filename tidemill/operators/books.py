@@ -12,6 +12,8 @@ import heapq
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidemill.streaming.sinks import settled
@@ -46,44 +48,58 @@ def admit(trades: DataFrame, by: str, signal: str, leave: str, cap: int, gap: in
     signals soon hold the same. Where the guess is not what the chunk before really leaves, the chunk is gone through again
     with that, until all edges agree; the first chunk's is right, so then all are. A round takes only the chunks that
     disagree. Trades with a null time or id are left out.
+
+    With a gap, only the first trade of a signal's time can be admitted: if it is, the others are too near, and if it is not,
+    they meet the same book. So a chunk's task has at most a row for each time in two chunks, however many trades there are;
+    the others are refused as they are. Without a gap a task has all trades of two chunks.
     """
     kind = dict(trades.dtypes)[by]
-    good = trades.select(by, "id", F.col(signal).cast("long").alias("t"), F.col(leave).cast("long").alias("end")).dropna().withColumn("_chunk", F.floor(F.col("t") / F.lit(chunk)))
-
-    def enters(frame: pd.DataFrame) -> tuple[list, int | None]:
-        held, last = frame["held_in"].iloc[0], frame["last_in"].iloc[0]
-        return ([] if held is None else [int(x) for x in held]), (None if pd.isna(last) else int(last))
-
-    def leaves(frame: pd.DataFrame, held: list, last: int | None) -> tuple:
-        t, end = frame["t"].to_numpy(), frame["end"].to_numpy()
+    good = trades.select(by, F.col("id").cast("long").alias("id"), F.col(signal).cast("long").alias("t"), F.col(leave).cast("long").alias("end")).dropna().withColumn("_chunk", F.floor(F.col("t") / F.lit(chunk)))
+    later = None
+    if gap > 0:
+        good = good.withColumn("_place", F.row_number().over(W.partitionBy(by, "t").orderBy("id")))
+        later = good.where("_place > 1").select(by, "id", F.lit(False).alias("admitted"))
+        good = settled(good.where("_place = 1").drop("_place"), "signals")
+
+    def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        t = table["t"].to_numpy()
+        order = np.lexsort((table["id"].to_numpy(), t))
+        return order, t[order], table["end"].to_numpy()[order]
+
+    def enters(table: pa.Table) -> tuple[list, int | None]:
+        return table["held_in"][0].as_py() or [], table["last_in"][0].as_py()
+
+    def table_of(book: pa.ChunkedArray, rows: list[tuple]) -> pa.Table:
+        long, longs = pa.int64(), pa.list_(pa.int64())
+        columns = [pa.array([r[k] for r in rows], of) for k, of in enumerate((long, long, longs, long, longs, long))]
+        return pa.Table.from_arrays([book, *columns], names=[by, "_chunk", "first", "held_in", "last_in", "held_out", "last_out"])
+
+    def state(table: pa.Table, number: int, t: np.ndarray, end: np.ndarray, held: list, last: int | None) -> pa.Table:
         _, out, last_out = admitted_of(t, end, cap, gap, held, last)
-        held = [x for x in held if x >= t[0]]
-        return int(t[0]), held, (last if last is not None and t[0] - last < gap else None), out, last_out
-
-    def table(frame: pd.DataFrame, chunk_number: int, row: tuple) -> pd.DataFrame:
-        return pd.DataFrame([(frame[by].iloc[0], chunk_number, *row)], columns=[by, "_chunk", "first", "held_in", "last_in", "held_out", "last_out"]).astype({"last_in": "Int64", "last_out": "Int64"})
+        last = last if last is not None and t[0] - last < gap else None
+        return table_of(table[by].slice(0, 1), [(number, int(t[0]), [x for x in held if x >= t[0]], last, out, last_out)])
 
-    def guess(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "id"])
-        before, own = frame[~frame["own"]], frame[frame["own"]]
+    def guess(key: tuple, table: pa.Table) -> pa.Table:
+        before, own = (table.filter(m) for m in (pc.invert(table["own"]), table["own"]))
+        number = key[1].as_py()
         if not len(own):
-            return pd.DataFrame(columns=[by, "_chunk", "first", "held_in", "last_in", "held_out", "last_out"])
-        _, held, last = admitted_of(before["t"].to_numpy(), before["end"].to_numpy(), cap, gap, [], None)
-        return table(own, int(own["_chunk"].iloc[0]), leaves(own, held, last))
+            return table_of(table[by].slice(0, 0), [])
+        _, held, last = admitted_of(*ordered(before)[1:], cap, gap, [], None)
+        return state(own, number, *ordered(own)[1:], held, last)
 
-    def again(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "id"])
-        return table(frame, int(frame["_chunk"].iloc[0]), leaves(frame, *enters(frame)))
+    def again(table: pa.Table) -> pa.Table:
+        return state(table, table["_chunk"][0].as_py(), *ordered(table)[1:], *enters(table))
 
-    def judge(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "id"])
-        taken, _, _ = admitted_of(frame["t"].to_numpy(), frame["end"].to_numpy(), cap, gap, *enters(frame))
-        return pd.DataFrame({by: frame[by], "id": frame["id"], "admitted": taken})
+    def judge(table: pa.Table) -> pa.Table:
+        order, t, end = ordered(table)
+        taken = np.zeros(len(t), bool)
+        taken[order] = admitted_of(t, end, cap, gap, *enters(table))[0]
+        return table.select([by, "id"]).append_column("admitted", pa.array(taken))
 
     schema = f"{by} {kind}, _chunk long, {_STATE}"
     both = F.explode(F.array(F.struct(F.col("_chunk").alias("c"), F.lit(True).alias("own")), F.struct((F.col("_chunk") + 1).alias("c"), F.lit(False).alias("own"))))
-    dealt = good.withColumn("_at", both).select(by, "id", "t", "end", "_chunk", F.col("_at.c").alias("_task"), F.col("_at.own").alias("own"))
-    edges = settled(dealt.groupBy(by, "_task").applyInPandas(guess, schema), "edges")
+    dealt = good.withColumn("_at", both).select(by, "id", "t", "end", F.col("_at.c").alias("_task"), F.col("_at.own").alias("own"))
+    edges = settled(dealt.groupBy(by, "_task").applyInArrow(guess, schema), "edges")
     while True:
         over = W.partitionBy(by).orderBy("_chunk")  # a row a chunk
         seen = edges.withColumn("_held", F.filter(F.coalesce(F.lag("held_out").over(over), F.array().cast("array<long>")), lambda x: x >= F.col("first"))).withColumn("_last", F.lag("last_out").over(over))
@@ -91,8 +107,9 @@ def admit(trades: DataFrame, by: str, signal: str, leave: str, cap: int, gap: in
         wrong = seen.where(~(F.col("_held").eqNullSafe(F.col("held_in")) & F.col("_last").eqNullSafe(F.col("last_in"))))
         wrong = settled(wrong.select(by, "_chunk", F.col("_held").alias("held_in"), F.col("_last").alias("last_in")), "wrong")
         if wrong.isEmpty():
-            return good.join(edges.select(by, "_chunk", "held_in", "last_in"), [by, "_chunk"]).groupBy(by, "_chunk").applyInPandas(judge, f"{by} {kind}, id long, admitted boolean")
-        fixed = good.join(wrong, [by, "_chunk"]).groupBy(by, "_chunk").applyInPandas(again, schema)
+            judged = good.join(edges.select(by, "_chunk", "held_in", "last_in"), [by, "_chunk"]).groupBy(by, "_chunk").applyInArrow(judge, f"{by} {kind}, id long, admitted boolean")
+            return judged if later is None else judged.unionByName(later)
+        fixed = good.join(wrong, [by, "_chunk"]).groupBy(by, "_chunk").applyInArrow(again, schema)
         edges = settled(edges.join(wrong, [by, "_chunk"], "left_anti").select(fixed.columns).unionByName(fixed), "edges")
 
 
